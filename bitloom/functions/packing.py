@@ -7,6 +7,8 @@ is ever formed, so the packed width has no limit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +59,17 @@ def _code(v: Column, q: QuantType) -> Column:
     return v if q.bits == 64 else v.bitwiseAND(F.lit((1 << q.bits) - 1).cast("long"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once per row and use it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _nibbles_up(bits: Column) -> Column:
     """Bit text whose length divides by 8 to hex text."""
+    return _once(bits, _octets_to_hex)
+
+
+def _octets_to_hex(bits: Column) -> Column:
     starts = F.sequence(F.lit(0), (F.length(bits) / 8).cast("int") - 1)
     chunk = F.transform(starts, lambda i: F.lpad(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
     return F.when(F.length(bits) == 0, F.lit("")).otherwise(F.array_join(chunk, ""))
@@ -145,10 +156,16 @@ def unpack_hex(text: Column, q: QuantType, n: int, reverse_inner: bool = False,
         clean = F.array_join(F.reverse(hex_to_bytes(clean)), "")
     even = F.when(F.length(clean) % 2 == 1, F.concat(F.lit("0"), clean)).otherwise(clean)
     octets = F.transform(hex_to_bytes(even), lambda b: F.lpad(F.conv(b, 16, 2), 8, "0"))
-    bits, width = F.array_join(octets, ""), n * q.bits
-    body = F.when(F.length(bits) >= width, F.right(bits, F.lit(width))).otherwise(F.lpad(bits, width, "0"))
-    at = F.sequence(F.lit(0), F.lit(n - 1))
-    out = F.transform(at, lambda i: _element(F.substring(body, i * q.bits + 1, F.lit(q.bits)), q))
+    width = n * q.bits
+
+    def cut(bits: Column) -> Column:
+        return F.when(F.length(bits) >= width, F.right(bits, F.lit(width))).otherwise(F.lpad(bits, width, "0"))
+
+    def elements(body: Column) -> Column:
+        at = F.sequence(F.lit(0), F.lit(n - 1))
+        return F.transform(at, lambda i: _once(F.substring(body, i * q.bits + 1, F.lit(q.bits)), lambda b: _element(b, q)))
+
+    out = _once(_once(F.array_join(octets, ""), cut), elements)
     return F.reverse(out) if reverse_inner else out
 
 

@@ -96,10 +96,11 @@ def read_hex_words(spark: SparkSession, glob: str) -> DataFrame:
     A file is read line by line; ``line`` is the number written in front of ``:`` when there is
     one, else 0 (a file of one line).
     """
+    name = r"[/=](\d+)_(\d+)_[^/]*(?:/part-[^/]*)?$"
     lines = spark.read.text(glob).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_(\d+)", 1).cast("int").alias("part"),
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_(\d+)", 2).cast("int").alias("layer"),
-        F.coalesce(F.try_to_number(F.regexp_extract("value", r"^(\d+):", 1), F.lit("9999999999")).cast("long"), F.lit(0).cast("long")).alias("line"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).cast("int").alias("part"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 2).cast("int").alias("layer"),
+        F.coalesce(F.nullif(F.regexp_extract("value", r"^(\d+):", 1), F.lit("")).cast("long"), F.lit(0).cast("long")).alias("line"),
         F.regexp_replace("value", r"^\d+:", "").alias("body"),
     )
     words = lines.select("part", "layer", "line", F.posexplode(F.filter(F.split(F.trim("body"), r"\s+"), lambda s: s != "")).alias("pos", "hex"))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +71,30 @@ def dump_activations(stages: dict[str, DataFrame], path: str) -> None:
     """Activations of each step ``(item, vec, status)`` in one table, partitioned by step and status."""
     for step, df in stages.items():
         df.withColumn("step", F.lit(step)).write.mode("append").partitionBy("step", "status").parquet(path)
+
+
+def write_npy(df: DataFrame, path: str, vec: str = "vec", label: str | None = None) -> int:
+    """Vectors as ``.npy`` files, one per Arrow batch, written by the tasks; gives the number of rows.
+
+    With ``label`` it becomes the last column. File names come from partition and batch, so a
+    repeated task replaces its own files.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa_fs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            if batch.num_rows == 0:
+                continue
+            rows = np.stack([np.asarray(v.as_py(), dtype=np.float64) for v in batch.column("vec")])
+            if label is not None:
+                rows = np.column_stack([rows, batch.column("label").to_numpy(zero_copy_only=False)])
+            data = io.BytesIO()
+            np.save(data, rows)
+            with fs.open_output_stream(f"{root}/part-{part:05d}-{i:05d}.npy") as sink:
+                sink.write(data.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    cols = [F.col(vec).alias("vec")] + ([F.col(label).alias("label")] if label is not None else [])
+    return df.select(*cols).mapInArrow(save, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

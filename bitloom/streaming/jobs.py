@@ -145,6 +145,22 @@ def throughput_windows(events: DataFrame, ts: str, width: str, by: tuple[str, ..
     )
 
 
+def keep_latest(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the changed rows of a running aggregate, one partition per micro-batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _replace_batch(batch, out, batch_id)
+
+    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark, out: str, key: tuple[str, ...]) -> DataFrame:
+    """The newest row of each key from ``keep_latest``."""
+    rows = spark.read.parquet(out)
+    value = F.struct(*[c for c in rows.columns if c not in (*key, "batch")])
+    return rows.groupBy(*key).agg(F.max_by(value, "batch").alias("_v")).select(*key, "_v.*")
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows a finished or running query left out because they came after the watermark."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
