@@ -98,3 +98,10 @@ def signed_width(low: Column, high: Column) -> Column:
     """Smallest b with ``-2^(b-1) <= low`` and ``high <= 2^(b-1) - 1``."""
     reach = F.greatest(-low.cast("double"), high.cast("double") + 1)
     return (bits_needed(reach - 1) + 1).cast("int")
+
+
+def clock_micros(ts: Column) -> Column:
+    """Microseconds of a timestamp's wall clock since 1970, the same in every session time zone."""
+    days = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (days * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
+    return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("long")

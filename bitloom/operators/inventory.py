@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from ..sizing import param_join
 
 # Memory primitives as (width, depth).
 MEMORY_PRIMITIVES = {
@@ -66,56 +68,119 @@ def layers_and_totals(metrics: DataFrame) -> DataFrame:
     return kept.groupingSets(sets, "model_id", "layer_id", "metric").agg(F.sum("value").alias("value"))
 
 
-def cycles_of(pe: Column, simd: Column) -> Column:
-    """Cycles per item of a layer at a given parallelism."""
+def with_cost(layers: DataFrame) -> DataFrame:
+    """Add the terms of each layer's cycle estimate ``floor(base + work / factors)``.
+
+    ``_by_pe`` and ``_by_simd`` say which factors divide the work. Attributes are read once here,
+    so trying a candidate later is one division.
+    """
     def d(name: str, default: int = 1) -> Column:
         return attr(name, default).cast("double")
 
     op = F.col("op_type")
-    ch, vec, batch = d("C"), d("vec"), d("batch")
+    ch, vec, batch, k = d("C"), d("vec"), d("batch"), d("kh") * d("kw")
     is_1d = attr("is1d", 0) == 1
-    per_ch = ch / simd
-    window_2d = d("W") * d("kh") * d("dh") * per_ch + d("OH") * F.greatest(d("OW") * d("kw") * d("kh") * per_ch, d("sw") * d("W") * per_ch)
     depthwise = attr("depthwise", 0) == 1
+    window_2d = ch * (d("W") * d("kh") * d("dh") + d("OH") * F.greatest(d("OW") * k, d("sw") * d("W")))
+    # one-dimensional windows: parallel, depthwise with a stride above 2 or dilation, depthwise, plain
+    parallel = attr("parallel_window", 0) == 1
     naive = depthwise & ((attr("sw") * attr("sh") > 2) | (attr("dw") * attr("dh") > 1))
-    # stride of 1 or 2 without dilation has a buffered variant
-    window_1d = (
-        F.when(attr("parallel_window", 0) == 1, d("kw") + d("OW"))
-        .when(naive, d("W") * per_ch + d("OW") * d("kw") * per_ch)
-        .when(depthwise, 1 + d("OW") * d("kw") * per_ch + per_ch * (d("kw") - 1) - (d("kw") - 1))
-        .otherwise(1 + d("OW") * d("kw") * per_ch)
-    )
-    pool_1d = d("OW") * (ch / pe) * (d("kw") + 1)
-    pool_2d = d("W") * d("W") * (1 + 1 / (d("kw") * d("kw")))
-    value = (
-        F.when(op == "matmul", (d("MH") / pe) * (d("MW") / simd) * vec)
-        .when(op == "depthwise", ch * d("kh") * d("kw") / pe / simd * d("H") * d("W"))
-        .when(op.isin(*SAME_SHAPE_OPS), vec * ch / pe)
-        .when(op == "sumpool", vec * ch / pe + ch / pe)
-        .when(op == "pool", ch * d("kh") * d("kw") / pe * d("OH") * d("OW") * batch)
-        .when(op == "maxpool", F.when(is_1d, pool_1d).otherwise(pool_2d))
-        .when(op == "im2col", F.when(is_1d, window_1d).otherwise(window_2d))
-        .when(op == "downsample", per_ch * batch * F.when(is_1d, d("W")).otherwise(d("W") * d("W")))
-        .when(op.isin("pad", "pixelpad"), per_ch * batch * d("OH") * d("OW"))
+    reads = ch * d("OW") * d("kw")
+    base_1d = F.when(parallel, d("kw") + d("OW")).when(naive, F.lit(0.0)).when(depthwise, 2 - d("kw")).otherwise(F.lit(1.0))
+    work_1d = F.when(parallel, F.lit(0.0)).when(naive, reads + ch * d("W")).when(depthwise, reads + ch * (d("kw") - 1)).otherwise(reads)
+    flat_pool = (op == "maxpool") & ~is_1d
+    work = (
+        F.when(op == "matmul", d("MH") * d("MW") * vec)
+        .when(op == "depthwise", ch * k * d("H") * d("W"))
+        .when(op.isin(*SAME_SHAPE_OPS), vec * ch)
+        .when(op == "sumpool", vec * ch + ch)
+        .when(op == "pool", ch * k * d("OH") * d("OW") * batch)
+        .when(op == "maxpool", F.when(is_1d, d("OW") * ch * (d("kw") + 1)).otherwise(F.lit(0.0)))
+        .when(op == "im2col", F.when(is_1d, work_1d).otherwise(window_2d))
+        .when(op == "downsample", ch * batch * F.when(is_1d, d("W")).otherwise(d("W") * d("W")))
+        .when(op.isin("pad", "pixelpad"), ch * batch * d("OH") * d("OW"))
         .when(op == "upsample", F.when(is_1d, d("OW")).otherwise(d("OW") * d("OW") * batch))
-        .when(op == "topk", d("labels") / pe)
+        .when(op == "topk", d("labels"))
         .when(op == "lookup", vec)
     )
-    return F.floor(value).cast("long")
+    base = F.when(flat_pool, d("W") * d("W") * (1 + 1 / (d("kw") * d("kw")))).when((op == "im2col") & is_1d, base_1d).otherwise(F.lit(0.0))
+    return (
+        layers.withColumn("_base", base)
+        .withColumn("_work", work)
+        .withColumn("_by_pe", op.isin("matmul", "depthwise", "sumpool", "pool", "maxpool", "topk", *SAME_SHAPE_OPS))
+        .withColumn("_by_simd", op.isin("matmul", "depthwise", "im2col", "downsample", "pad", "pixelpad"))
+    )
+
+
+COST = ("_base", "_work", "_by_pe", "_by_simd")
+
+
+def cycles_at(pe: Column, simd: Column) -> Column:
+    """Cycles per item at a given parallelism; needs the columns of ``with_cost``."""
+    parts = F.when(F.col("_by_pe"), pe).otherwise(1) * F.when(F.col("_by_simd"), simd).otherwise(1)
+    return F.floor(F.col("_base") + F.col("_work") / parts).cast("long")
 
 
 def cycles(layers: DataFrame) -> DataFrame:
     """Layers with their cycle estimate."""
-    return layers.withColumn("cycles", cycles_of(attr("PE").cast("double"), attr("SIMD").cast("double")))
+    return with_cost(layers).withColumn("cycles", cycles_at(attr("PE"), attr("SIMD"))).drop(*COST)
+
 
+#: models with more edges than this are not solved inside one task
+MODEL_EDGES = 100_000
 
-def critical_path(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+
+def critical_path(nodes: DataFrame, edges: DataFrame, max_edges: int = MODEL_EDGES) -> DataFrame:
     """Longest path per node ``(model_id, layer_id, path)`` in acyclic graphs; ``nodes`` carry ``cycles``.
 
-    All models advance together, one round per depth; only nodes whose value grew go on. Each
-    round is checkpointed.
+    A model of up to ``max_edges`` edges is solved by one task, all of them after a single
+    shuffle. Larger models advance together, one round per depth.
     """
-    cost = cut_lineage(nodes.select("model_id", "layer_id", "cycles"))
+    cost = nodes.select("model_id", "layer_id", F.col("cycles").cast("long").alias("cycles"))
+    large = cut_lineage(edges.groupBy("model_id").agg(F.count("*").alias("_n")).where(F.col("_n") > max_edges).select("model_id"))
+    if large.isEmpty():
+        return _path_by_model(cost, edges)
+    # a broadcast of at most one row per max_edges edges
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return param_join(df, large, ["model_id"], how, spread=[c for c in df.columns if c != "model_id"])
+
+    rounds = _path_by_rounds(part(cost, "left_semi"), part(edges, "left_semi"))
+    small = cost.join(F.broadcast(large), "model_id", "left_anti"), edges.join(F.broadcast(large), "model_id", "left_anti")
+    return _path_by_model(*small).unionByName(rounds)
+
+
+def _longest(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+    """Longest path to each node of one model, in topological order."""
+    own = dict(zip(nodes["layer_id"], nodes["cycles"]))
+    before = {n: [s for s in src if s in own] for n, src in zip(nodes["layer_id"], nodes["srcs"])}
+    after: dict[int, list[int]] = {}
+    for n, sources in before.items():
+        for s in sources:
+            after.setdefault(s, []).append(n)
+    waiting = {n: len(sources) for n, sources in before.items()}
+    ready, path = [n for n, w in waiting.items() if w == 0], {}
+    while ready:
+        n = ready.pop()
+        path[n] = own[n] + max((path[s] for s in before[n]), default=0)
+        for m in after.get(n, ()):
+            waiting[m] -= 1
+            if waiting[m] == 0:
+                ready.append(m)
+    if len(path) != len(own):
+        raise ValueError(f"the graph of {key[0]} has a cycle")
+    return pd.DataFrame({"model_id": key[0], "layer_id": list(path), "path": list(path.values())})
+
+
+def _path_by_model(cost: DataFrame, edges: DataFrame) -> DataFrame:
+    sources = edges.groupBy("model_id", F.col("dst").alias("layer_id")).agg(F.collect_list("src").alias("srcs"))
+    nodes = cost.join(sources, ["model_id", "layer_id"], "left").withColumn("srcs", F.coalesce("srcs", F.array().cast("array<int>")))
+    kind = cost.schema["layer_id"].dataType.simpleString()
+    return nodes.groupBy("model_id").applyInPandas(_longest, f"model_id string, layer_id {kind}, path bigint")
+
+
+def _path_by_rounds(cost: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Only nodes whose value grew go on to the next round; each round is checkpointed."""
+    cost = cut_lineage(cost)
     links = cut_lineage(
         edges.join(cost.withColumnRenamed("layer_id", "dst"), ["model_id", "dst"]).select("model_id", "src", "dst", F.col("cycles").alias("_own"))
     )
@@ -188,10 +253,10 @@ def divisors(n: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(small, large)))
 
 
-def _first_meeting(options: Column, cycles_at: Callable[[Column], Column], target: Column) -> Column:
+def _first_meeting(options: Column, cycles_for: Callable[[Column], Column], target: Column) -> Column:
     """The first option below the target, else the largest."""
-    good = F.filter(options, lambda v: cycles_at(v) < target)
-    return F.when(F.size(good) > 0, F.element_at(good, 1)).otherwise(F.element_at(options, -1))
+    good = F.filter(options, lambda v: cycles_for(v) < target)
+    return F.coalesce(F.try_element_at(good, F.lit(1)), F.element_at(options, -1))
 
 
 # operators whose factor is called PE, and those whose factor is called SIMD
@@ -201,36 +266,32 @@ SIMD_OPS = ("downsample", "pad", "pixelpad", "im2col")
 
 def _one_sweep(layers: DataFrame, target: Column, max_weight_bits: int) -> DataFrame:
     """Choose factors per layer; every candidate is tried inside its own row."""
-    one = F.lit(1.0)
-    op = F.col("op_type")
-
-    def at(pe: Column, simd: Column) -> Column:
-        return cycles_of(pe.cast("double"), simd.cast("double"))
-
-    work = layers.withColumn("_target", target)
-    target = F.col("_target")
+    one, op = F.lit(1).cast("long"), F.col("op_type")
+    goal, first, pe = F.col("_goal"), F.col("_first"), F.col("_pe")
+    work = with_cost(layers).withColumn("_goal", target)
     # input width of a product: stop at the first option that meets the target or is too wide
-    simd_options = divisors(attr("MW"))
-    stops = F.filter(simd_options, lambda v: (at(one, v) < target) | (attr("weight_bits") * v > max_weight_bits))
-    stop = F.element_at(stops, 1)
-    below = F.filter(simd_options, lambda v: v < stop)
-    before = F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.lit(1).cast("long"))
-    simd = F.when(F.size(stops) == 0, F.element_at(simd_options, -1)).when(at(one, stop) < target, stop).otherwise(before)
-    work = work.withColumn("_simd", F.when(op == "matmul", simd).otherwise(F.lit(1).cast("long")))
-    limit = (
-        F.when(op == "matmul", attr("MH")).when(op == "topk", attr("labels")).when(op.isin(*PE_OPS, "depthwise", "pool"), attr("C"))
-    )
-    pe = _first_meeting(divisors(limit), lambda v: at(v, F.col("_simd")), target)
-    work = work.withColumn("_pe", F.when(limit.isNotNull(), pe).otherwise(attr("PE")))
-    dense_window = (op != "im2col") | (attr("depthwise", 0) == 0)
-    free = op.isin(*SIMD_OPS) & dense_window
-    wide = _first_meeting(divisors(attr("C")), lambda v: at(F.col("_pe"), v), target)
-    taps = _first_meeting(divisors(attr("kh") * attr("kw")), lambda v: at(F.col("_pe"), v), target)
-    exhausted = (op == "depthwise") & (F.col("_pe") == attr("C")) & (at(F.col("_pe"), one) > target)
-    work = work.withColumn(
-        "_simd2", F.when(op == "matmul", F.col("_simd")).when(exhausted, taps).when(op == "depthwise", F.lit(1)).when(free, wide).otherwise(attr("SIMD"))
+    options = F.when(op == "matmul", divisors(attr("MW")))
+    work = work.withColumn("_options", options).withColumn("_bits", attr("weight_bits"))
+    stops = F.filter("_options", lambda v: (cycles_at(one, v) < goal) | (F.col("_bits") * v > max_weight_bits))
+    work = work.withColumn("_stop", F.try_element_at(stops, F.lit(1)))
+    below = F.filter("_options", lambda v: v < F.col("_stop"))
+    simd = (
+        F.when(F.col("_options").isNull(), one)
+        .when(F.col("_stop").isNull(), F.element_at("_options", -1))
+        .when(cycles_at(one, F.col("_stop")) < goal, F.col("_stop"))
+        .otherwise(F.coalesce(F.try_element_at(below, F.lit(-1)), one))
     )
-    return work.withColumn("PE", F.col("_pe").cast("long")).withColumn("SIMD", F.col("_simd2").cast("long")).drop("_pe", "_simd", "_simd2", "_target")
+    limit = F.when(op == "matmul", attr("MH")).when(op == "topk", attr("labels")).when(op.isin(*PE_OPS, "depthwise", "pool"), attr("C"))
+    work = work.withColumn("_first", simd).withColumn("_options", divisors(limit)).withColumn("_own_pe", attr("PE"))
+    best = _first_meeting(F.col("_options"), lambda v: cycles_at(v, first), goal)
+    work = work.withColumn("_pe", F.when(F.col("_options").isNotNull(), best).otherwise(F.col("_own_pe")))
+    spare = (op == "depthwise") & (pe == attr("C")) & (cycles_at(pe, one) > goal)
+    free = op.isin(*SIMD_OPS) & ((op != "im2col") | (attr("depthwise", 0) == 0))
+    work = work.withColumn("_options", F.when(spare, divisors(attr("kh") * attr("kw"))).when(free, divisors(attr("C"))))
+    second = _first_meeting(F.col("_options"), lambda v: cycles_at(pe, v), goal)
+    chosen = F.when(op.isin("matmul"), first).when(F.col("_options").isNotNull(), second).when(op == "depthwise", one).otherwise(attr("SIMD"))
+    out = work.withColumn("PE", pe.cast("long")).withColumn("SIMD", chosen.cast("long"))
+    return out.drop("_goal", "_first", "_pe", "_own_pe", "_options", "_bits", "_stop")
 
 
 def _match_windows(chosen: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -250,13 +311,12 @@ def sweep(layers: DataFrame, target: int, edges: DataFrame | None = None, max_we
     A model that misses the target is balanced again for the slowest layer's cycles.
     """
     def measured(d: DataFrame) -> DataFrame:
-        return d.withColumn("cycles", cycles_of(F.col("PE").cast("double"), F.col("SIMD").cast("double")))
+        return d.withColumn("cycles", cycles_at(F.col("PE"), F.col("SIMD"))).drop(*COST)
 
     first = measured(_match_windows(_one_sweep(layers, F.lit(target).cast("long"), max_weight_bits), edges))
     if not two_pass:
         return first
     first = cut_lineage(first)
-    reached = first.groupBy("model_id").agg(F.max("cycles").alias("_max"))
-    goal = F.greatest(F.col("_max"), F.lit(target).cast("long"))
-    again = first.drop("PE", "SIMD", "cycles").join(reached.select("model_id", goal.alias("_goal")), "model_id")
-    return measured(_match_windows(_one_sweep(again, F.col("_goal"), max_weight_bits), edges)).drop("_goal")
+    reached = first.groupBy("model_id").agg(F.greatest(F.max("cycles"), F.lit(target).cast("long")).alias("_reached"))
+    again = param_join(first.drop("PE", "SIMD", "cycles"), reached, ["model_id"], spread=["layer_id"])
+    return measured(_match_windows(_one_sweep(again, F.col("_reached"), max_weight_bits), edges)).drop("_reached")

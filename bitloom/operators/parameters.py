@@ -155,7 +155,7 @@ def absorb_out_bias(layers: DataFrame, adds: DataFrame) -> DataFrame:
     low, high = bias, bias + F.col("steps") * F.col("out_scale")
     whole = (low == F.floor(low)) & (high == F.floor(high))
     kind = F.when((low == -1) & (high == 1) & (F.col("steps") == 1), F.lit("BIPOLAR")).when(whole, smallest_type_name(low, high)).otherwise(F.lit("FLOAT32"))
-    return joined.withColumn("out_bias", bias).withColumn("out_type", kind).drop("_a")
+    return joined.withColumn("out_type", kind).withColumn("out_bias", bias).drop("_a")
 
 
 def validate_thresholds(thresholds: DataFrame, steps: DataFrame, integral: bool = True) -> DataFrame:

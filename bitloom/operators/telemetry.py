@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sizing import param_join
 from .ranking import rank_by
 from .scans import block_scan
@@ -108,6 +109,7 @@ def buffer_depth(prod: DataFrame, cons: DataFrame, period: int) -> DataFrame:
     Flows rise by at most one per cycle, so the first cycle at which the producer reaches a level
     is an equality join on the level; no pair of cycles is compared.
     """
+    prod, cons = cut_lineage(prod), cut_lineage(cons)
     early_p, early_c = prod.where(F.col("t") < period), cons.where(F.col("t") < period)
     reach = early_p.groupBy("edge_id", "level").agg(F.min("t").alias("tau"))
     need = early_c.groupBy("edge_id", "level").agg(F.min("t").alias("t0"))

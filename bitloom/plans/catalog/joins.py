@@ -22,7 +22,7 @@ def scores(spark, sf):
 def _lookup_sql(idx: str, extra: str) -> str:
     return f"""WITH {V}, s AS (SELECT row_id, list_sum(vec)::BIGINT AS s FROM v), n AS (SELECT count(*) AS n FROM embeddings),
 l AS (SELECT l_linenumber, {idx} AS idx FROM lineitem)
-SELECT l_linenumber, count(*) AS n, sum(s.s)::BIGINT AS total{extra} FROM l JOIN s ON s.row_id = CASE WHEN idx >= (SELECT n FROM n) THEN 0 ELSE idx END GROUP BY 1"""
+SELECT l_linenumber::BIGINT AS l_linenumber, count(*) AS n, sum(s.s)::BIGINT AS total{extra} FROM l JOIN s ON s.row_id = CASE WHEN idx >= (SELECT n FROM n) THEN 0 ELSE idx END GROUP BY 1"""
 
 
 @query("j1_lookup_row0", _lookup_sql("l_partkey % 600", ", (count(*) FILTER (idx >= (SELECT n FROM n)))::BIGINT AS n_out_of_range"))
@@ -110,7 +110,7 @@ def _(spark, sf):
 
 @query(
     "j6_threshold_many_steps",
-    """WITH p AS (SELECT l_orderkey AS row_id, l_linenumber - 1 AS c, CAST(floor(l_extendedprice) AS BIGINT) AS val FROM lineitem WHERE l_linenumber <= 7)
+    """WITH p AS (SELECT l_orderkey AS row_id, (l_linenumber - 1)::BIGINT AS c, CAST(floor(l_extendedprice) AS BIGINT) AS val FROM lineitem WHERE l_linenumber <= 7)
 SELECT row_id, c, val, greatest(0, least(2000, (val - 900 - c) // 50 + 1)) AS y FROM p""",
 )
 def _(spark, sf):
@@ -145,7 +145,7 @@ def _(spark, sf):
     return out
 
 
-@query("j9_name_labels", "SELECT s_suppkey, s_nationkey AS label, n_name AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+@query("j9_name_labels", "SELECT s_suppkey, s_nationkey::BIGINT AS label, n_name AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def _(spark, sf):
     names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("name"))
     return E.name_labels(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("label")), names)
@@ -264,7 +264,7 @@ def _(spark, sf):
     return M.overall(M.verify_stages({"exact": (cells, cells), "shifted": (cells, moved)}))
 
 
-@query("m6_within_tolerance", "SELECT l_linenumber, avg_price, max_price, (abs(max_price - avg_price) < abs(max_price) * 0.5)::BIGINT AS within FROM (SELECT l_linenumber, round(avg(l_extendedprice), 4) AS avg_price, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1)")
+@query("m6_within_tolerance", "SELECT l_linenumber::BIGINT AS l_linenumber, avg_price, max_price, (abs(max_price - avg_price) < abs(max_price) * 0.5)::BIGINT AS within FROM (SELECT l_linenumber, round(avg(l_extendedprice), 4) AS avg_price, max(l_extendedprice) AS max_price FROM lineitem GROUP BY 1)")
 def _(spark, sf):
     p = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.max("l_extendedprice").alias("max_price"))
     return M.within(p, "avg_price", "max_price", 0.5)

@@ -152,7 +152,7 @@ def _(spark, sf):
     return out.withColumn("mul", F.col("mul") + 0).withColumn("add", F.col("add") + 0)
 
 
-@query("p11_push_affine", f"WITH {BASE} SELECT model_id, layer_id, channel AS out_idx, 0.5::DOUBLE AS mul, (layer_id - 1) * 0.25::DOUBLE * sum(w)::BIGINT + 0 AS \"add\" FROM wt GROUP BY ALL")
+@query("p11_push_affine", f"WITH {BASE} SELECT model_id, layer_id, channel AS out_idx, 0.5::DOUBLE AS mul, (layer_id - 1) * 0.25::DOUBLE * sum(w)::BIGINT + 0 AS \"add\" FROM wt GROUP BY model_id, layer_id, channel")
 def _(spark, sf):
     affine = types(spark, sf).selectExpr("model_id", "layer_id", "0.5D AS mul", "(layer_id - 1) * 0.25D AS add")
     return P.push_affine_past_matmul(affine, weights(spark, sf)).withColumn("add", F.col("add") + 0)

@@ -94,7 +94,7 @@ def _(spark, sf):
     path = scratch_path(spark, "xml")
     body.repartition("p_brand").write.format("xml").option("rowTag", "tablerow").option("rootTag", "table").partitionBy("p_brand").save(path)
     back = readers.read_xml_report(spark, path)
-    return back.select(F.url_decode(F.regexp_extract("file", "p_brand=([^/]+)/", 1)).alias("report"), "instance", "resource", "value")
+    return back.select(F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]+)/", 1))).alias("report"), "instance", "resource", "value")
 
 
 @query("s8_read_trace", f"WITH {STATS} SELECT iface, v, r, n, fraction FROM stats")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.scalars import clock_micros
 from ...operators import integrity as I
 from ...operators import telemetry as V
 from .base import WORDS, query, table, words
@@ -45,9 +46,9 @@ def _(spark, sf):
 
 def trace(spark, sf):
     e = table(spark, sf, "events").where("event_type <> 'error'")
-    first = table(spark, sf, "events").agg(F.min("ts")).scalar()
+    first = table(spark, sf, "events").agg(F.min(clock_micros(F.col("ts")))).scalar()
     kind = F.when(F.col("event_type").isin("purchase", "view"), "TVALID").otherwise("TREADY")
-    t = F.floor((F.unix_micros("ts") - F.unix_micros(first)) / 1000000) * 20
+    t = F.floor((clock_micros(F.col("ts")) - first) / 1000000) * 20
     raw = e.select(F.concat(F.lit("u"), "user_id", F.lit("_"), kind).alias("signal"), t.alias("t"), "event_id")
     return raw.groupBy("signal", "t").agg((F.max("event_id") % 2).alias("val"))
 
@@ -147,7 +148,7 @@ def _(spark, sf):
 @query(
     "e9_throughput",
     """WITH r AS (SELECT l_linenumber, sum(l_quantity) AS n, sum(l_tax + 0.01) AS t, sum(l_quantity * 75) AS bi, sum(l_quantity) AS bo FROM lineitem GROUP BY 1)
-SELECT l_linenumber, n AS batch_size, round(t * 1000, 3) AS runtime_ms, round(n / t, 3) AS items_per_s, round(bi * 0.000001 / t, 6) AS mb_in_per_s, round(bo * 0.000001 / t, 6) AS mb_out_per_s FROM r""",
+SELECT l_linenumber::BIGINT AS l_linenumber, n AS batch_size, round(t * 1000, 3) AS runtime_ms, round(n / t, 3) AS items_per_s, round(bi * 0.000001 / t, 6) AS mb_in_per_s, round(bo * 0.000001 / t, 6) AS mb_out_per_s FROM r""",
 )
 def _(spark, sf):
     runs = table(spark, sf, "lineitem").selectExpr("l_linenumber", "l_quantity AS n_items", "l_tax + 0.01D AS runtime_s", "l_quantity * 75 AS bytes_in", "l_quantity AS bytes_out")

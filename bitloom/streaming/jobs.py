@@ -8,6 +8,7 @@ when that frame or word is complete.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import gcd
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.scalars import clock_micros
 from ..operators.integrity import MODULUS, frame_terms
 
 Chain = Callable[[DataFrame, DataFrame], DataFrame]
@@ -136,12 +138,13 @@ def accuracy_stream(predictions: DataFrame, by: tuple[str, ...] = ("run_id",)) -
 
 def throughput_windows(events: DataFrame, ts: str, width: str, by: tuple[str, ...] = (), late: str | None = None, size=None) -> DataFrame:
     """Items and bytes per second in time windows; with ``late`` a watermark drops later rows."""
-    source = events.withWatermark(ts, late) if late else events
+    source = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     bytes_ = F.sum(size) if size is not None else F.lit(0)
-    seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / 1e6
+    start = clock_micros(F.col("window.start"))
+    seconds = (clock_micros(F.col("window.end")) - start) / 1e6
     grouped = source.groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n_items"), bytes_.alias("n_bytes"))
     return grouped.select(
-        F.unix_micros("window.start").alias("start_us"), *by, "n_items", (F.col("n_items") / seconds).alias("items_per_s"), (F.col("n_bytes") / seconds).alias("bytes_per_s")
+        start.alias("start_us"), *by, "n_items", (F.col("n_items") / seconds).alias("items_per_s"), (F.col("n_bytes") / seconds).alias("bytes_per_s")
     )
 
 
@@ -178,8 +181,21 @@ def fan_out(stream: DataFrame, paths: list[str], checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def keyed_state_store(spark) -> Iterator[None]:
+    """State of the stateful processors needs the RocksDB store; a running query keeps its setting."""
+    key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def run_to_end(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process what is there, append to Parquet, and read the result back."""
-    query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    with keyed_state_store(df.sparkSession):
+        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
