@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,62 +69,58 @@ def layers_and_totals(metrics: DataFrame) -> DataFrame:
     return kept.groupingSets(sets, "model_id", "layer_id", "metric").agg(F.sum("value").alias("value"))
 
 
-def with_cost(layers: DataFrame) -> DataFrame:
-    """Add the terms of each layer's cycle estimate ``floor(base + work / factors)``.
+def _a(name: str, default: int = 1) -> str:
+    """SQL for a whole-number attribute of a layer."""
+    return f"coalesce(CAST(try_element_at(attrs, '{name}') AS BIGINT), {default}L)"
 
-    ``_by_pe`` and ``_by_simd`` say which factors divide the work. Attributes are read once here,
-    so trying a candidate later is one division.
-    """
-    def d(name: str, default: int = 1) -> Column:
-        return attr(name, default).cast("double")
-
-    op = F.col("op_type")
-    ch, vec, batch, k = d("C"), d("vec"), d("batch"), d("kh") * d("kw")
-    is_1d = attr("is1d", 0) == 1
-    depthwise = attr("depthwise", 0) == 1
-    window_2d = ch * (d("W") * d("kh") * d("dh") + d("OH") * F.greatest(d("OW") * k, d("sw") * d("W")))
-    # one-dimensional windows: parallel, depthwise with a stride above 2 or dilation, depthwise, plain
-    parallel = attr("parallel_window", 0) == 1
-    naive = depthwise & ((attr("sw") * attr("sh") > 2) | (attr("dw") * attr("dh") > 1))
-    reads = ch * d("OW") * d("kw")
-    base_1d = F.when(parallel, d("kw") + d("OW")).when(naive, F.lit(0.0)).when(depthwise, 2 - d("kw")).otherwise(F.lit(1.0))
-    work_1d = F.when(parallel, F.lit(0.0)).when(naive, reads + ch * d("W")).when(depthwise, reads + ch * (d("kw") - 1)).otherwise(reads)
-    flat_pool = (op == "maxpool") & ~is_1d
-    work = (
-        F.when(op == "matmul", d("MH") * d("MW") * vec)
-        .when(op == "depthwise", ch * k * d("H") * d("W"))
-        .when(op.isin(*SAME_SHAPE_OPS), vec * ch)
-        .when(op == "sumpool", vec * ch + ch)
-        .when(op == "pool", ch * k * d("OH") * d("OW") * batch)
-        .when(op == "maxpool", F.when(is_1d, d("OW") * ch * (d("kw") + 1)).otherwise(F.lit(0.0)))
-        .when(op == "im2col", F.when(is_1d, work_1d).otherwise(window_2d))
-        .when(op == "downsample", ch * batch * F.when(is_1d, d("W")).otherwise(d("W") * d("W")))
-        .when(op.isin("pad", "pixelpad"), ch * batch * d("OH") * d("OW"))
-        .when(op == "upsample", F.when(is_1d, d("OW")).otherwise(d("OW") * d("OW") * batch))
-        .when(op == "topk", d("labels"))
-        .when(op == "lookup", vec)
-    )
-    base = F.when(flat_pool, d("W") * d("W") * (1 + 1 / (d("kw") * d("kw")))).when((op == "im2col") & is_1d, base_1d).otherwise(F.lit(0.0))
-    return (
-        layers.withColumn("_base", base)
-        .withColumn("_work", work)
-        .withColumn("_by_pe", op.isin("matmul", "depthwise", "sumpool", "pool", "maxpool", "topk", *SAME_SHAPE_OPS))
-        .withColumn("_by_simd", op.isin("matmul", "depthwise", "im2col", "downsample", "pad", "pixelpad"))
-    )
+
+def _in(*ops: str) -> str:
+    return "op_type IN (" + ", ".join(f"'{o}'" for o in ops) + ")"
 
 
 COST = ("_base", "_work", "_by_pe", "_by_simd")
 
 
-def cycles_at(pe: Column, simd: Column) -> Column:
-    """Cycles per item at a given parallelism; needs the columns of ``with_cost``."""
-    parts = F.when(F.col("_by_pe"), pe).otherwise(1) * F.when(F.col("_by_simd"), simd).otherwise(1)
-    return F.floor(F.col("_base") + F.col("_work") / parts).cast("long")
+def with_cost(layers: DataFrame) -> DataFrame:
+    """Add the terms of each layer's cycle estimate ``floor(base + work / factors)``.
+
+    ``_by_pe`` and ``_by_simd`` say which factors divide the work. Attributes are read once here,
+    so trying a candidate later is one division.
+    """
+    names = "C vec batch kh kw dh dw sh sw H W OH OW MW MH labels".split()
+    parts = [f"'{n}', double({_a(n)})" for n in names]
+    parts += [f"'flat', {_a('is1d', 0)} = 1", f"'deep', {_a('depthwise', 0)} = 1", f"'par', {_a('parallel_window', 0)} = 1"]
+    known = layers.selectExpr("*", f"named_struct({', '.join(parts)}) AS _l")
+    naive = "_l.deep AND (_l.sw * _l.sh > 2 OR _l.dw * _l.dh > 1)"  # depthwise with a stride above 2, or dilated
+    window = f"""CASE WHEN NOT _l.flat THEN _l.C * (_l.W * _l.kh * _l.dh + _l.OH * greatest(_l.OW * _l.kh * _l.kw, _l.sw * _l.W))
+        WHEN _l.par THEN 0 WHEN {naive} THEN _l.C * _l.OW * _l.kw + _l.C * _l.W WHEN _l.deep THEN _l.C * _l.OW * _l.kw + _l.C * (_l.kw - 1)
+        ELSE _l.C * _l.OW * _l.kw END"""
+    work = f"""CASE WHEN op_type = 'matmul' THEN _l.MH * _l.MW * _l.vec
+        WHEN op_type = 'depthwise' THEN _l.C * _l.kh * _l.kw * _l.H * _l.W
+        WHEN {_in(*SAME_SHAPE_OPS)} THEN _l.vec * _l.C
+        WHEN op_type = 'sumpool' THEN _l.vec * _l.C + _l.C
+        WHEN op_type = 'pool' THEN _l.C * _l.kh * _l.kw * _l.OH * _l.OW * _l.batch
+        WHEN op_type = 'maxpool' THEN if(_l.flat, _l.OW * _l.C * (_l.kw + 1), 0)
+        WHEN op_type = 'im2col' THEN {window}
+        WHEN op_type = 'downsample' THEN _l.C * _l.batch * if(_l.flat, _l.W, _l.W * _l.W)
+        WHEN {_in("pad", "pixelpad")} THEN _l.C * _l.batch * _l.OH * _l.OW
+        WHEN op_type = 'upsample' THEN if(_l.flat, _l.OW, _l.OW * _l.OW * _l.batch)
+        WHEN op_type = 'topk' THEN _l.labels WHEN op_type = 'lookup' THEN _l.vec END"""
+    base = f"""CASE WHEN op_type = 'maxpool' AND NOT _l.flat THEN _l.W * _l.W * (1 + 1 / (_l.kw * _l.kw))
+        WHEN op_type = 'im2col' AND _l.flat THEN CASE WHEN _l.par THEN _l.kw + _l.OW WHEN {naive} THEN 0 WHEN _l.deep THEN 2 - _l.kw ELSE 1 END ELSE 0 END"""
+    by_pe = _in("matmul", "depthwise", "sumpool", "pool", "maxpool", "topk", *SAME_SHAPE_OPS)
+    by_simd = _in("matmul", "depthwise", "im2col", "downsample", "pad", "pixelpad")
+    return known.selectExpr("*", f"double({base}) AS _base", f"double({work}) AS _work", f"{by_pe} AS _by_pe", f"{by_simd} AS _by_simd").drop("_l")
+
+
+def cycles_at(pe: str, simd: str) -> str:
+    """SQL for the cycles per item at a given parallelism; needs the columns of ``with_cost``."""
+    return f"CAST(floor(_base + _work / (if(_by_pe, {pe}, 1) * if(_by_simd, {simd}, 1))) AS BIGINT)"
 
 
 def cycles(layers: DataFrame) -> DataFrame:
     """Layers with their cycle estimate."""
-    return with_cost(layers).withColumn("cycles", cycles_at(attr("PE"), attr("SIMD"))).drop(*COST)
+    return with_cost(layers).selectExpr("*", f"{cycles_at(_a('PE'), _a('SIMD'))} AS cycles").drop(*COST)
 
 
 #: models with more edges than this are not solved inside one task
@@ -149,15 +146,14 @@ def critical_path(nodes: DataFrame, edges: DataFrame, max_edges: int = MODEL_EDG
     return _path_by_model(*small).unionByName(rounds)
 
 
-def _longest(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+def _longest(own: dict[int, int], before: dict[int, list[int]]) -> dict[int, int]:
     """Longest path to each node of one model, in topological order."""
-    own = dict(zip(nodes["layer_id"], nodes["cycles"]))
-    before = {n: [s for s in src if s in own] for n, src in zip(nodes["layer_id"], nodes["srcs"])}
     after: dict[int, list[int]] = {}
+    waiting = dict.fromkeys(own, 0)
     for n, sources in before.items():
         for s in sources:
             after.setdefault(s, []).append(n)
-    waiting = {n: len(sources) for n, sources in before.items()}
+            waiting[n] += 1
     ready, path = [n for n, w in waiting.items() if w == 0], {}
     while ready:
         n = ready.pop()
@@ -167,15 +163,25 @@ def _longest(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
             if waiting[m] == 0:
                 ready.append(m)
     if len(path) != len(own):
-        raise ValueError(f"the graph of {key[0]} has a cycle")
-    return pd.DataFrame({"model_id": key[0], "layer_id": list(path), "path": list(path.values())})
+        raise ValueError("the graph of a model has a cycle, or an edge without its node")
+    return path
 
 
 def _path_by_model(cost: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with their sources, brought together by model; a task holds one model at a time."""
     sources = edges.groupBy("model_id", F.col("dst").alias("layer_id")).agg(F.collect_list("src").alias("srcs"))
-    nodes = cost.join(sources, ["model_id", "layer_id"], "left").withColumn("srcs", F.coalesce("srcs", F.array().cast("array<int>")))
+    nodes = cost.join(sources, ["model_id", "layer_id"], "left").select("model_id", "layer_id", "cycles", "srcs")
     kind = cost.schema["layer_id"].dataType.simpleString()
-    return nodes.groupBy("model_id").applyInPandas(_longest, f"model_id string, layer_id {kind}, path bigint")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        for model, group in groupby(rows, key=lambda r: r[0]):
+            part = list(group)
+            path = _longest({r[1]: r[2] for r in part}, {r[1]: r[3] or [] for r in part})
+            nodes_ = pa.array(list(path), pa.int32() if kind == "int" else pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(path)), nodes_, pa.array(list(path.values()), pa.int64())], ["model_id", "layer_id", "path"])
+
+    return nodes.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(solve, f"model_id string, layer_id {kind}, path bigint")
 
 
 def _path_by_rounds(cost: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -246,17 +252,15 @@ def memory_fit(requests: DataFrame, primitives: dict[str, tuple[int, int]] | Non
     return ranked.select(*requests.columns, "o.primitive", "o.count", "o.efficiency", "o.waste", (F.col("rank") + 1).alias("rank"))
 
 
-def divisors(n: Column) -> Column:
-    """Divisors in ascending order, found up to the square root."""
-    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n.cast("double")))), lambda d: n % d == 0)
-    large = F.transform(small, lambda d: F.floor(n / d))
-    return F.array_sort(F.array_distinct(F.concat(small, large)))
+def divisors(n: str) -> str:
+    """SQL for the divisors of a number in ascending order, found up to the square root."""
+    small = f"filter(sequence(1L, CAST(floor(sqrt({n})) AS BIGINT)), d -> {n} % d = 0)"
+    return f"array_sort(array_distinct(flatten(transform({small}, d -> array(d, {n} DIV d)))))"
 
 
-def _first_meeting(options: Column, cycles_for: Callable[[Column], Column], target: Column) -> Column:
-    """The first option below the target, else the largest."""
-    good = F.filter(options, lambda v: cycles_for(v) < target)
-    return F.coalesce(F.try_element_at(good, F.lit(1)), F.element_at(options, -1))
+def _first_meeting(options: str, cycles_for: str) -> str:
+    """SQL for the first option ``v`` below the goal, else the largest."""
+    return f"coalesce(try_element_at(filter({options}, v -> {cycles_for} < _goal), 1), element_at({options}, -1))"
 
 
 # operators whose factor is called PE, and those whose factor is called SIMD
@@ -264,34 +268,25 @@ PE_OPS = ("add", "channelwise", "duplicate", "sumpool", "threshold")
 SIMD_OPS = ("downsample", "pad", "pixelpad", "im2col")
 
 
-def _one_sweep(layers: DataFrame, target: Column, max_weight_bits: int) -> DataFrame:
+def _one_sweep(layers: DataFrame, target: str, max_weight_bits: int) -> DataFrame:
     """Choose factors per layer; every candidate is tried inside its own row."""
-    one, op = F.lit(1).cast("long"), F.col("op_type")
-    goal, first, pe = F.col("_goal"), F.col("_first"), F.col("_pe")
-    work = with_cost(layers).withColumn("_goal", target)
+    work = with_cost(layers).selectExpr("*", f"CAST({target} AS BIGINT) AS _goal", f"{_a('MW')} AS _mw", f"{_a('weight_bits')} AS _bits", f"{_a('kh')} * {_a('kw')} AS _taps", f"{_a('C')} AS _c")
     # input width of a product: stop at the first option that meets the target or is too wide
-    options = F.when(op == "matmul", divisors(attr("MW")))
-    work = work.withColumn("_options", options).withColumn("_bits", attr("weight_bits"))
-    stops = F.filter("_options", lambda v: (cycles_at(one, v) < goal) | (F.col("_bits") * v > max_weight_bits))
-    work = work.withColumn("_stop", F.try_element_at(stops, F.lit(1)))
-    below = F.filter("_options", lambda v: v < F.col("_stop"))
-    simd = (
-        F.when(F.col("_options").isNull(), one)
-        .when(F.col("_stop").isNull(), F.element_at("_options", -1))
-        .when(cycles_at(one, F.col("_stop")) < goal, F.col("_stop"))
-        .otherwise(F.coalesce(F.try_element_at(below, F.lit(-1)), one))
-    )
-    limit = F.when(op == "matmul", attr("MH")).when(op == "topk", attr("labels")).when(op.isin(*PE_OPS, "depthwise", "pool"), attr("C"))
-    work = work.withColumn("_first", simd).withColumn("_options", divisors(limit)).withColumn("_own_pe", attr("PE"))
-    best = _first_meeting(F.col("_options"), lambda v: cycles_at(v, first), goal)
-    work = work.withColumn("_pe", F.when(F.col("_options").isNotNull(), best).otherwise(F.col("_own_pe")))
-    spare = (op == "depthwise") & (pe == attr("C")) & (cycles_at(pe, one) > goal)
-    free = op.isin(*SIMD_OPS) & ((op != "im2col") | (attr("depthwise", 0) == 0))
-    work = work.withColumn("_options", F.when(spare, divisors(attr("kh") * attr("kw"))).when(free, divisors(attr("C"))))
-    second = _first_meeting(F.col("_options"), lambda v: cycles_at(pe, v), goal)
-    chosen = F.when(op.isin("matmul"), first).when(F.col("_options").isNotNull(), second).when(op == "depthwise", one).otherwise(attr("SIMD"))
-    out = work.withColumn("PE", pe.cast("long")).withColumn("SIMD", chosen.cast("long"))
-    return out.drop("_goal", "_first", "_pe", "_own_pe", "_options", "_bits", "_stop")
+    work = work.selectExpr("*", f"if(op_type = 'matmul', {divisors('_mw')}, NULL) AS _wide")
+    work = work.selectExpr("*", f"try_element_at(filter(_wide, v -> {cycles_at('1', 'v')} < _goal OR _bits * v > {max_weight_bits}), 1) AS _stop")
+    first = f"""CASE WHEN _wide IS NULL THEN 1L WHEN _stop IS NULL THEN element_at(_wide, -1) WHEN {cycles_at("1", "_stop")} < _goal THEN _stop
+        ELSE coalesce(try_element_at(filter(_wide, v -> v < _stop), -1), 1L) END"""
+    limit = f"CASE WHEN op_type = 'matmul' THEN {_a('MH')} WHEN op_type = 'topk' THEN {_a('labels')} WHEN {_in(*PE_OPS, 'depthwise', 'pool')} THEN _c END"
+    work = work.selectExpr("*", f"{first} AS _first", f"{limit} AS _limit")
+    work = work.selectExpr("*", f"if(_limit IS NOT NULL, {divisors('_limit')}, NULL) AS _tall")
+    work = work.selectExpr("*", f"if(_limit IS NOT NULL, {_first_meeting('_tall', cycles_at('v', '_first'))}, {_a('PE')}) AS _pe")
+    spare = f"op_type = 'depthwise' AND _pe = _c AND {cycles_at('_pe', '1')} > _goal"
+    free = f"{_in(*SIMD_OPS)} AND (op_type <> 'im2col' OR {_a('depthwise', 0)} = 0)"
+    work = work.selectExpr("*", f"CASE WHEN {spare} THEN {divisors('_taps')} WHEN {free} THEN {divisors('_c')} END AS _deep")
+    second = _first_meeting("_deep", cycles_at("_pe", "v"))
+    chosen = f"CASE WHEN op_type = 'matmul' THEN _first WHEN _deep IS NOT NULL THEN {second} WHEN op_type = 'depthwise' THEN 1L ELSE {_a('SIMD')} END"
+    out = work.selectExpr("*", "CAST(_pe AS BIGINT) AS PE", f"CAST({chosen} AS BIGINT) AS SIMD")
+    return out.drop("_goal", "_mw", "_bits", "_taps", "_c", "_wide", "_stop", "_first", "_limit", "_tall", "_pe", "_deep")
 
 
 def _match_windows(chosen: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -311,12 +306,12 @@ def sweep(layers: DataFrame, target: int, edges: DataFrame | None = None, max_we
     A model that misses the target is balanced again for the slowest layer's cycles.
     """
     def measured(d: DataFrame) -> DataFrame:
-        return d.withColumn("cycles", cycles_at(F.col("PE"), F.col("SIMD"))).drop(*COST)
+        return d.selectExpr("*", f"{cycles_at('PE', 'SIMD')} AS cycles").drop(*COST)
 
-    first = measured(_match_windows(_one_sweep(layers, F.lit(target).cast("long"), max_weight_bits), edges))
+    first = measured(_match_windows(_one_sweep(layers, str(int(target)), max_weight_bits), edges))
     if not two_pass:
         return first
     first = cut_lineage(first)
     reached = first.groupBy("model_id").agg(F.greatest(F.max("cycles"), F.lit(target).cast("long")).alias("_reached"))
     again = param_join(first.drop("PE", "SIMD", "cycles"), reached, ["model_id"], spread=["layer_id"])
-    return measured(_match_windows(_one_sweep(again, F.col("_reached"), max_weight_bits), edges)).drop("_reached")
+    return measured(_match_windows(_one_sweep(again, "_reached", max_weight_bits), edges)).drop("_reached")

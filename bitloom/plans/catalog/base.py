@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import scalars as S
+from ...session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +94,8 @@ def layer_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         'OH', string(dim - 2), 'OW', string(dim - 2), 'kh', '3', 'kw', '3', 'dh', '1', 'dw', '1', 'sh', '1', 'sw', '1', 'steps', '15',
         'labels', string(mw), 'weight_bits', string(2 + m % 3), 'input_bits', string(1 + layer_id % 4), 'acc_bits', string(8 + m % 9),
         'no_activation', string(m % 2), 'batch', '1', 'depthwise', string((m + 1) % 2))"""
-    layers = sized.selectExpr("concat('m', m) AS model_id", "layer_id", f"element_at({kinds}, layer_id + 1) AS op_type", f"{attrs} AS attrs")
+    # saved once: a stored map keeps the plans of its readers small
+    layers = cut_lineage(sized.selectExpr("concat('m', m) AS model_id", "layer_id", f"element_at({kinds}, layer_id + 1) AS op_type", f"{attrs} AS attrs"))
     edges = o.where("layer_id < 11").selectExpr("m", "layer_id AS src", "layer_id + 1 AS dst").unionByName(
         o.where("layer_id % 4 = 0 AND layer_id < 8").selectExpr("m", "layer_id AS src", "layer_id + 4 AS dst")
     )
