@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: 2^b for b = 0..63: widths come from this table, never from a floating-point logarithm
-POWERS = [2.0**b for b in range(64)]
-
-
 def to_binary(c: Column) -> Column:
     """-1/+1 to 0/1."""
     return ((c + 1) / 2).cast("int")
@@ -41,7 +37,7 @@ def right_shift(c: Column, n: int) -> Column:
 def half_up(c: Column) -> Column:
     """0.5 -> 1, 1.5 -> 2, 2.45 -> 2 (values from 0 up)."""
     low = F.floor(c)
-    return F.when(c - low < 0.5, low).otherwise(F.ceil(c)).cast("long")
+    return (low + (c - low >= 0.5).cast("int")).cast("long")
 
 
 def half_even(c: Column) -> Column:
@@ -63,9 +59,8 @@ def quantize_int8(c: Column) -> Column:
 
 
 def bits_needed(peak: Column) -> Column:
-    """Smallest b with ``peak + 1 <= 2^b``."""
-    table = F.array(*[F.lit(p) for p in POWERS])
-    short = F.size(F.filter(table, lambda p: p < peak.cast("double") + 1))
+    """Smallest b with ``peak + 1 <= 2^b``, by comparing with powers: a floating-point log2 is inexact."""
+    short = F.size(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.pow(F.lit(2.0), b.cast("double")) < peak.cast("double") + 1))
     return F.when(peak.isNotNull(), short).cast("int")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import cut_lineage
-from ..sizing import param_join
+from ..sizing import BROADCAST_ROWS, param_join, rows_at_most
 from .scans import row_numbers
 
 
@@ -21,21 +21,25 @@ def string_columns(df: DataFrame) -> list[str]:
 def label_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: position of each value among the sorted distinct values of its column.
 
-    All columns are read in one pass. Sorting runs over first letters before whole values, so a
-    column of many distinct values is not sorted by one task.
+    All columns are read in one pass. A vocabulary too long for one sort per column is ranked
+    within groups of equal first letters, whose sizes are then added up.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])).alias("p"))
-    distinct = long.select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
-    head = F.substring("value", 1, 2)
-    distinct = distinct.withColumn("_head", head)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+    distinct = cut_lineage(df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value IS NOT NULL").distinct())
+    if rows_at_most(distinct, BROADCAST_ROWS):
+        whole = Window.partitionBy("column").orderBy("value")
+        return distinct.select("column", "value", (F.row_number().over(whole) - 1).alias("code"))
+    return _ranked_by_prefix(distinct)
+
+
+def _ranked_by_prefix(distinct: DataFrame, letters: int = 2) -> DataFrame:
+    distinct = distinct.withColumn("_head", F.substring("value", 1, letters))
     inside = Window.partitionBy("column", "_head").orderBy("value")
     heads = distinct.groupBy("column", "_head").agg(F.count("*").alias("n"))
     before = Window.partitionBy("column").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranked = distinct.withColumn("rn", F.row_number().over(inside) - 1)
-    return ranked.join(heads, ["column", "_head"]).select(
-        "column", "value", (F.col("rn") + F.col("base")).cast("int").alias("code")
-    )
+    return ranked.join(heads, ["column", "_head"]).select("column", "value", (F.col("rn") + F.col("base")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -83,34 +87,47 @@ def _scaled(c: Column, smallest: Column) -> Column:
     return F.when(inverse > 1, c.cast("double") * inverse).otherwise(c.cast("double"))
 
 
-def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, int]]:
-    """Per column: smallest positive value and bits of the scaled, unclipped maximum.
+Stats = dict[str, tuple[float | None, int]]
+
+
+def _width(smallest: float | None, peak: float | None) -> int:
+    """Bits of the scaled, unclipped maximum."""
+    if peak is None:
+        return 0
+    scaled = peak * (1.0 / smallest) if smallest is not None and 1.0 / smallest > 1 else peak
+    return next((b for b in range(64) if scaled + 1 <= 2.0**b), 64)
+
+
+def column_stats(df: DataFrame, cols: Sequence[str]) -> Stats:
+    """Per column: smallest positive value and bits of the scaled maximum.
 
     Scaling is monotone, so both follow from one aggregate over the data. The result has the size
     of the schema.
     """
+    if not cols:
+        return {}
     row = df.agg(
         *[F.min(F.when(F.col(c) > 0, F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.max(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)],
-    )
-    bits = row.select(
-        *[f"m{i}" for i in range(len(cols))],
-        *[
-            S.bits_needed(F.when(F.col(f"m{i}").isNull(), F.col(f"x{i}")).otherwise(_scaled(F.col(f"x{i}"), F.col(f"m{i}")))).alias(f"b{i}")
-            for i in range(len(cols))
-        ],
     ).first()
-    return {c: (bits[f"m{i}"], bits[f"b{i}"]) for i, c in enumerate(cols)}
+    return {c: (row[f"m{i}"], _width(row[f"m{i}"], row[f"x{i}"])) for i, c in enumerate(cols)}
+
+
+def code_stats(vocabulary: DataFrame) -> Stats:
+    """The same for encoded columns, from their vocabulary alone."""
+    rows = vocabulary.groupBy("column").agg(F.max("code").alias("x")).collect()
+    return {r["column"]: (1.0 if r["x"] > 0 else None, _width(None, float(r["x"]))) for r in rows}
 
 
-def scale_by_min_positive(df: DataFrame, cols: Sequence[str], stats: Mapping[str, tuple[float, int]] | None = None) -> DataFrame:
+def scale_by_min_positive(df: DataFrame, cols: Sequence[str], stats: Stats | None = None) -> DataFrame:
     """Multiply a column by ``1/m`` where that is above 1; ``m`` is its smallest positive value."""
     stats = column_stats(df, cols) if stats is None else stats
-    return df.select(*[
-        (_scaled(F.col(c), F.lit(stats[c][0])) if stats[c][0] is not None else F.col(c).cast("double")).alias(c)
-        if c in stats else F.col(c)
-        for c in df.columns
-    ])
+
+    def scaled(c: str) -> Column:
+        smallest, value = stats[c][0], F.col(c).cast("double")
+        return value * F.lit(1.0 / smallest) if smallest is not None and 1.0 / smallest > 1 else value
+
+    return df.select(*[scaled(c).alias(c) if c in stats else F.col(c) for c in df.columns])
 
 
 def bits_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -136,7 +153,7 @@ def apply_overrides(df: DataFrame, key: str, col: str, overrides: DataFrame) ->
     return out.withColumn(col, F.coalesce("_override", col)).drop("_override").select(*df.columns)
 
 
-def quantize_columns(df: DataFrame, cols: Sequence[str], stats: Mapping[str, tuple[float, int]]) -> DataFrame:
+def quantize_columns(df: DataFrame, cols: Sequence[str], stats: Stats) -> DataFrame:
     """Scale, clip to 32 bits and round half up."""
     scaled = scale_by_min_positive(df, cols, stats)
     return scaled.select(*[S.quantize_u32(F.col(c)).alias(c) if c in stats else F.col(c) for c in df.columns])
@@ -164,8 +181,10 @@ def feature_job(
     Two passes over the data: one aggregate for vocabulary and ranges, one projection. The
     projection needs no shuffle.
     """
-    encoded = label_encode(df.select(*keep, *cols), [c for c in string_columns(df) if c in cols])
-    stats = column_stats(encoded, cols)
+    text = [c for c in string_columns(df) if c in cols]
+    vocabulary = cut_lineage(label_vocabulary(df, text)) if text else None
+    stats = column_stats(df, [c for c in cols if c not in text]) | (code_stats(vocabulary) if text else {})
+    encoded = label_encode(df.select(*keep, *cols), text, vocabulary)
     ready = quantize_columns(encoded, cols, stats)
     if overrides is not None:
         key, col, table = overrides

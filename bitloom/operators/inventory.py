@@ -88,29 +88,30 @@ def with_cost(layers: DataFrame) -> DataFrame:
     so trying a candidate later is one division.
     """
     names = "C vec batch kh kw dh dw sh sw H W OH OW MW MH labels".split()
-    parts = [f"'{n}', double({_a(n)})" for n in names]
-    parts += [f"'flat', {_a('is1d', 0)} = 1", f"'deep', {_a('depthwise', 0)} = 1", f"'par', {_a('parallel_window', 0)} = 1"]
-    known = layers.selectExpr("*", f"named_struct({', '.join(parts)}) AS _l")
-    naive = "_l.deep AND (_l.sw * _l.sh > 2 OR _l.dw * _l.dh > 1)"  # depthwise with a stride above 2, or dilated
-    window = f"""CASE WHEN NOT _l.flat THEN _l.C * (_l.W * _l.kh * _l.dh + _l.OH * greatest(_l.OW * _l.kh * _l.kw, _l.sw * _l.W))
-        WHEN _l.par THEN 0 WHEN {naive} THEN _l.C * _l.OW * _l.kw + _l.C * _l.W WHEN _l.deep THEN _l.C * _l.OW * _l.kw + _l.C * (_l.kw - 1)
-        ELSE _l.C * _l.OW * _l.kw END"""
-    work = f"""CASE WHEN op_type = 'matmul' THEN _l.MH * _l.MW * _l.vec
-        WHEN op_type = 'depthwise' THEN _l.C * _l.kh * _l.kw * _l.H * _l.W
-        WHEN {_in(*SAME_SHAPE_OPS)} THEN _l.vec * _l.C
-        WHEN op_type = 'sumpool' THEN _l.vec * _l.C + _l.C
-        WHEN op_type = 'pool' THEN _l.C * _l.kh * _l.kw * _l.OH * _l.OW * _l.batch
-        WHEN op_type = 'maxpool' THEN if(_l.flat, _l.OW * _l.C * (_l.kw + 1), 0)
+    # one column per attribute: used more than once, a column is kept and not copied into its uses
+    read = [f"double({_a(n)}) AS `_l_{n}`" for n in names]
+    read += [f"{_a('is1d', 0)} = 1 AS _l_flat", f"{_a('depthwise', 0)} = 1 AS _l_deep", f"{_a('parallel_window', 0)} = 1 AS _l_par"]
+    known = layers.selectExpr("*", *read)
+    naive = "_l_deep AND (_l_sw * _l_sh > 2 OR _l_dw * _l_dh > 1)"  # depthwise with a stride above 2, or dilated
+    window = f"""CASE WHEN NOT _l_flat THEN _l_C * (_l_W * _l_kh * _l_dh + _l_OH * greatest(_l_OW * _l_kh * _l_kw, _l_sw * _l_W))
+        WHEN _l_par THEN 0 WHEN {naive} THEN _l_C * _l_OW * _l_kw + _l_C * _l_W WHEN _l_deep THEN _l_C * _l_OW * _l_kw + _l_C * (_l_kw - 1)
+        ELSE _l_C * _l_OW * _l_kw END"""
+    work = f"""CASE WHEN op_type = 'matmul' THEN _l_MH * _l_MW * _l_vec
+        WHEN op_type = 'depthwise' THEN _l_C * _l_kh * _l_kw * _l_H * _l_W
+        WHEN {_in(*SAME_SHAPE_OPS)} THEN _l_vec * _l_C
+        WHEN op_type = 'sumpool' THEN _l_vec * _l_C + _l_C
+        WHEN op_type = 'pool' THEN _l_C * _l_kh * _l_kw * _l_OH * _l_OW * _l_batch
+        WHEN op_type = 'maxpool' THEN if(_l_flat, _l_OW * _l_C * (_l_kw + 1), 0)
         WHEN op_type = 'im2col' THEN {window}
-        WHEN op_type = 'downsample' THEN _l.C * _l.batch * if(_l.flat, _l.W, _l.W * _l.W)
-        WHEN {_in("pad", "pixelpad")} THEN _l.C * _l.batch * _l.OH * _l.OW
-        WHEN op_type = 'upsample' THEN if(_l.flat, _l.OW, _l.OW * _l.OW * _l.batch)
-        WHEN op_type = 'topk' THEN _l.labels WHEN op_type = 'lookup' THEN _l.vec END"""
-    base = f"""CASE WHEN op_type = 'maxpool' AND NOT _l.flat THEN _l.W * _l.W * (1 + 1 / (_l.kw * _l.kw))
-        WHEN op_type = 'im2col' AND _l.flat THEN CASE WHEN _l.par THEN _l.kw + _l.OW WHEN {naive} THEN 0 WHEN _l.deep THEN 2 - _l.kw ELSE 1 END ELSE 0 END"""
+        WHEN op_type = 'downsample' THEN _l_C * _l_batch * if(_l_flat, _l_W, _l_W * _l_W)
+        WHEN {_in("pad", "pixelpad")} THEN _l_C * _l_batch * _l_OH * _l_OW
+        WHEN op_type = 'upsample' THEN if(_l_flat, _l_OW, _l_OW * _l_OW * _l_batch)
+        WHEN op_type = 'topk' THEN _l_labels WHEN op_type = 'lookup' THEN _l_vec END"""
+    base = f"""CASE WHEN op_type = 'maxpool' AND NOT _l_flat THEN _l_W * _l_W * (1 + 1 / (_l_kw * _l_kw))
+        WHEN op_type = 'im2col' AND _l_flat THEN CASE WHEN _l_par THEN _l_kw + _l_OW WHEN {naive} THEN 0 WHEN _l_deep THEN 2 - _l_kw ELSE 1 END ELSE 0 END"""
     by_pe = _in("matmul", "depthwise", "sumpool", "pool", "maxpool", "topk", *SAME_SHAPE_OPS)
     by_simd = _in("matmul", "depthwise", "im2col", "downsample", "pad", "pixelpad")
-    return known.selectExpr("*", f"double({base}) AS _base", f"double({work}) AS _work", f"{by_pe} AS _by_pe", f"{by_simd} AS _by_simd").drop("_l")
+    return known.selectExpr("*", f"double({base}) AS _base", f"double({work}) AS _work", f"{by_pe} AS _by_pe", f"{by_simd} AS _by_simd").drop(*[f"_l_{n}" for n in [*names, "flat", "deep", "par"]])
 
 
 def cycles_at(pe: str, simd: str) -> str:

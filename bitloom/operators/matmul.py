@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.packing import lanes
 from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
@@ -43,17 +44,53 @@ def _dense(column: pa.Array, width: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
+def _bits(column: pa.Array, width: int, bipolar: bool) -> np.ndarray:
+    """Texts of 0 and 1 of one length, padded with zeros to ``width``; 0 becomes -1 when bipolar."""
+    texts = column.cast(pa.large_binary())
+    if texts.null_count:
+        raise ValueError("null vector")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    lengths = np.diff(offsets)
+    if len(lengths) and (lengths.min() != lengths.max() or lengths[0] > width):
+        raise ValueError("bit texts of different length, or longer than the first layer")
+    chars = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(len(texts), -1)
+    out = np.zeros((len(texts), width))
+    out[:, : chars.shape[1]] = chars - 48
+    return out * 2 - 1 if bipolar else out
+
+
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Matrix product, in single precision where every partial sum is exact in it."""
+    peak = max(abs(float(x.min())), abs(float(x.max())))
+    whole = np.array_equal(w, np.rint(w)) and np.array_equal(x, np.rint(x))
+    if whole and peak * np.abs(w).sum(axis=0).max() < 1 << 24:
+        return x.astype(np.float32) @ w.astype(np.float32)
+    return x @ w
+
+
+def _steps_reached(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Number of thresholds at or below each value; ``t`` is ``channels x steps``."""
+    if t.shape[1] <= 32:
+        count = np.zeros(x.shape, dtype=np.int32)
+        for step in t.T:
+            count += x >= step
+        return count
+    return np.stack([np.searchsorted(t[c], x[:, c], side="right") for c in range(x.shape[1])], axis=1)
+
+
 def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel().astype(np.int64)).cast(kind))
 
 
-def dense_layers(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray | None, float, float]], vec: str = "vec") -> DataFrame:
+def dense_layers(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray | None, float, float]], vec: str = "vec", bipolar_bits: bool = False) -> DataFrame:
     """Run vectors through layers of ``(weights, thresholds or None, out_scale, out_bias)``.
 
     All layers run on one Arrow batch, so a chain of layers costs one transfer. Integer results
-    are exact up to 2^53.
+    are exact up to 2^53. ``vec`` is an array, or a text of bits that is padded with zeros to the
+    width of the first layer and, with ``bipolar_bits``, mapped to -1 and +1.
     """
+    as_text = isinstance(df.schema[vec].dataType, T.StringType)
     keep = [c for c in df.columns if c != vec]
     payload = df.sparkSession.sparkContext.broadcast(list(layers))
 
@@ -62,12 +99,12 @@ def dense_layers(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray |
             if batch.num_rows == 0:
                 continue
             table = pa.Table.from_batches([batch])
-            x = _dense(table[vec].combine_chunks(), payload.value[0][0].shape[0])
+            column, width = table[vec].combine_chunks(), payload.value[0][0].shape[0]
+            x = _bits(column, width, bipolar_bits) if as_text else _dense(column, width)
             for w, t, scale, bias in payload.value:
-                x = x @ w
+                x = _product(x, w)
                 if t is not None:
-                    count = np.stack([np.searchsorted(t[c], x[:, c], side="right") for c in range(x.shape[1])], axis=1)
-                    x = count * scale + bias
+                    x = _steps_reached(x, t) * scale + bias
             columns = [table[c].combine_chunks() for c in keep] + [_lists(x, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, vec])
 

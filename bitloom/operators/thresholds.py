@@ -37,7 +37,7 @@ def multi_threshold(
 
 
 def multi_threshold_wide(
-    cells: DataFrame, thresholds: DataFrame, out_scale: float = 1, out_bias: float = 0, chunk: int = 256, spread: tuple[str, ...] = ("row_id",)
+    cells: DataFrame, thresholds: DataFrame, out_scale: float = 1, out_bias: float = 0, chunk: int = 64, spread: tuple[str, ...] = ("row_id",)
 ) -> DataFrame:
     """For channels with very many steps: thresholds are cut into chunks of ``chunk`` steps.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ...functions import scalars as S
 from ...session import cut_lineage
+from ...sizing import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,13 +46,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` shares a small file with all cores for costly row-local work."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, df.columns[0]) if heavy else df
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """INT8 vectors of 64 elements with a label 0..9."""
-    e = table(spark, sf, "embeddings")
+    e = table(spark, sf, "embeddings", heavy=True)
     return e.select(F.col("vec_id").alias("row_id"), "label", F.transform("embedding", S.quantize_int8).alias("vec"))
 
 
@@ -88,7 +91,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 def layer_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Twelve layers per model, one model per twelve orders; chain edges plus a skip edge every four."""
     kinds = "array('matmul','threshold','im2col','depthwise','maxpool','add','sumpool','pool','channelwise','upsample','pad','topk')"
-    o = table(spark, sf, "orders").selectExpr("o_orderkey DIV 12 AS m", "CAST(o_orderkey % 12 AS INT) AS layer_id")
+    o = table(spark, sf, "orders", heavy=True).selectExpr("o_orderkey DIV 12 AS m", "CAST(o_orderkey % 12 AS INT) AS layer_id")
     sized = o.selectExpr("m", "layer_id", "16 * (1 + layer_id % 8) AS mw", "16 * (1 + (layer_id + m) % 8) AS mh", "4 + m % 5 AS dim")
     attrs = """map('MW', string(mw), 'MH', string(mh), 'vec', string(1 + m % 4), 'C', string(mh), 'H', string(dim), 'W', string(dim),
         'OH', string(dim - 2), 'OW', string(dim - 2), 'kh', '3', 'kw', '3', 'dh', '1', 'dw', '1', 'sh', '1', 'sw', '1', 'steps', '15',

@@ -1,13 +1,14 @@
 """Matrix products and accumulations."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ...functions import scalars as S
 from ...layouts import to_cells
-from ...operators import evaluation, ranking
+from ...operators import evaluation, features, ranking
 from ...operators import matmul as MM
 from ...operators import spatial as N
-from .base import ACC, OUT, Q, W, image, image_sql, query, step_thresholds, ternary_weights, vectors
+from .base import ACC, OUT, Q, W, image, image_sql, query, step_thresholds, table, ternary_weights, vectors
 
 
 @query("a1_matmul_dense", f"WITH {ACC} SELECT row_id, o AS out_idx, acc FROM acc")
@@ -75,6 +76,29 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
+def mlp_layers():
+    """A fixed 600-64-64-64-1 chain of small weights and 2-bit activations, as matrices by formula."""
+    sizes, layers = [600, 64, 64, 64, 1], []
+    for n, (a, b) in enumerate(zip(sizes, sizes[1:])):
+        i, o = np.arange(a)[:, None], np.arange(b)[None, :]
+        w = ((i * (7 + n) + o * 13 + i * o) % 3 - 1).astype(float)
+        steps = np.array([[-8.0, 0.0, 8.0]]) + np.arange(b)[:, None] % 3 if b > 1 else np.zeros((1, 1))
+        layers.append((w, steps, 1, -1) if b > 1 else (w, steps, 2, -1))
+    return layers
+
+
+MLP_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("mlp_flow_scoring")
+def _(spark, sf):
+    """Feature job on lineitem, bits padded to 600, scored by the chain against ``l_linestatus``."""
+    li = table(spark, sf, "lineitem", heavy=True).withColumn("label", F.when(F.col("l_linestatus") == "O", 1).otherwise(-1))
+    bits, _width = features.feature_job(li, MLP_COLUMNS, keep=["label"], as_text=True)
+    out = MM.dense_layers(bits, mlp_layers(), "bits", bipolar_bits=True)
+    return evaluation.accuracy(out.select("label", F.element_at("bits", 1).alias("predicted")), by=["label"])
+
+
 def _taps(spark, kh, kw, channels, bipolar=False):
     raw = spark.range(channels * kh * kw).selectExpr(f"CAST(id DIV {kh * kw} AS INT) c", f"CAST(id DIV {kw} % {kh} AS INT) kh", f"CAST(id % {kw} AS INT) kw")
     value = "2 * ((c + kh + kw) % 2) - 1" if bipolar else "(c * 5 + kh * 3 + kw * 7) % 5 - 2"

@@ -20,6 +20,19 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small input with all cores; a large one already has enough splits and is left alone.
+
+    A file of one row group is read by one task, whatever the number of cores. Below one split of
+    data per core, a hash on ``key`` costs little and lets the row-local work run in parallel.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
+
+
 def param_join(
     df: DataFrame,
     params: DataFrame,
