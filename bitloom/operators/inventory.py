@@ -173,14 +173,21 @@ def _path_by_model(cost: DataFrame, edges: DataFrame) -> DataFrame:
     sources = edges.groupBy("model_id", F.col("dst").alias("layer_id")).agg(F.collect_list("src").alias("srcs"))
     nodes = cost.join(sources, ["model_id", "layer_id"], "left").select("model_id", "layer_id", "cycles", "srcs")
     kind = cost.schema["layer_id"].dataType.simpleString()
+    kinds = (pa.string(), pa.int32() if kind == "int" else pa.int64(), pa.int64())
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        done: tuple[list, list, list] = ([], [], [])
         for model, group in groupby(rows, key=lambda r: r[0]):
             part = list(group)
             path = _longest({r[1]: r[2] for r in part}, {r[1]: r[3] or [] for r in part})
-            nodes_ = pa.array(list(path), pa.int32() if kind == "int" else pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(path)), nodes_, pa.array(list(path.values()), pa.int64())], ["model_id", "layer_id", "path"])
+            done[0].extend([model] * len(path))
+            done[1].extend(path)
+            done[2].extend(path.values())
+            if len(done[0]) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], ["model_id", "layer_id", "path"])
+                done = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], ["model_id", "layer_id", "path"])
 
     return nodes.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(solve, f"model_id string, layer_id {kind}, path bigint")
 
