@@ -21,25 +21,28 @@ def string_columns(df: DataFrame) -> list[str]:
 def label_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: position of each value among the sorted distinct values of its column.
 
-    All columns are read in one pass. A vocabulary too long for one sort per column is ranked
-    within groups of equal first letters, whose sizes are then added up.
+    All columns are read in one pass. A vocabulary too long for one sort per column is sorted
+    by range over all tasks.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
     distinct = cut_lineage(df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value IS NOT NULL").distinct())
     if rows_at_most(distinct, BROADCAST_ROWS):
         whole = Window.partitionBy("column").orderBy("value")
         return distinct.select("column", "value", (F.row_number().over(whole) - 1).alias("code"))
-    return _ranked_by_prefix(distinct)
-
-
-def _ranked_by_prefix(distinct: DataFrame, letters: int = 2) -> DataFrame:
-    distinct = distinct.withColumn("_head", F.substring("value", 1, letters))
-    inside = Window.partitionBy("column", "_head").orderBy("value")
-    heads = distinct.groupBy("column", "_head").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("column").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranked = distinct.withColumn("rn", F.row_number().over(inside) - 1)
-    return ranked.join(heads, ["column", "_head"]).select("column", "value", (F.col("rn") + F.col("base")).cast("int").alias("code"))
+    return _ranked_by_range(distinct)
+
+
+def _ranked_by_range(distinct: DataFrame) -> DataFrame:
+    """Positions from a range sort: rows of a task are in order, and so are the tasks."""
+    ordered = distinct.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+    # the id is stored with the rows: task number in the high bits, position in the low 33
+    stored = cut_lineage(ordered.select("column", "value", F.monotonically_increasing_id().alias("_id")))
+    stored = stored.withColumn("_task", F.shiftright("_id", 33))
+    tasks = stored.groupBy("column", "_task").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("column").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.select("column", "_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    joined = param_join(stored, offsets, ["column", "_task"], spread=["value"])
+    return joined.select("column", "value", (F.col("_base") + F.col("_id") - F.col("_first")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:

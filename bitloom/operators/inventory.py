@@ -124,27 +124,27 @@ def cycles(layers: DataFrame) -> DataFrame:
     return with_cost(layers).selectExpr("*", f"{cycles_at(_a('PE'), _a('SIMD'))} AS cycles").drop(*COST)
 
 
-#: models with more edges than this are not solved inside one task
-MODEL_EDGES = 100_000
+#: models with more nodes or edges than this are not solved inside one task
+MODEL_SIZE = 100_000
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, max_edges: int = MODEL_EDGES) -> DataFrame:
+def critical_path(nodes: DataFrame, edges: DataFrame, max_size: int = MODEL_SIZE) -> DataFrame:
     """Longest path per node ``(model_id, layer_id, path)`` in acyclic graphs; ``nodes`` carry ``cycles``.
 
-    A model of up to ``max_edges`` edges is solved by one task, all of them after a single
+    A model of up to ``max_size`` nodes and edges is solved by one task, all of them after a single
     shuffle. Larger models advance together, one round per depth.
     """
     cost = nodes.select("model_id", "layer_id", F.col("cycles").cast("long").alias("cycles"))
-    large = cut_lineage(edges.groupBy("model_id").agg(F.count("*").alias("_n")).where(F.col("_n") > max_edges).select("model_id"))
+    sizes = cost.select("model_id").unionByName(edges.select("model_id")).groupBy("model_id").agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > max_size).select("model_id"))
     if large.isEmpty():
         return _path_by_model(cost, edges)
-    # a broadcast of at most one row per max_edges edges
+
     def part(df: DataFrame, how: str) -> DataFrame:
         return param_join(df, large, ["model_id"], how, spread=[c for c in df.columns if c != "model_id"])
 
     rounds = _path_by_rounds(part(cost, "left_semi"), part(edges, "left_semi"))
-    small = cost.join(F.broadcast(large), "model_id", "left_anti"), edges.join(F.broadcast(large), "model_id", "left_anti")
-    return _path_by_model(*small).unionByName(rounds)
+    return _path_by_model(part(cost, "left_anti"), part(edges, "left_anti")).unionByName(rounds)
 
 
 def _longest(own: dict[int, int], before: dict[int, list[int]]) -> dict[int, int]:

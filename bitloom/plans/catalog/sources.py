@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...operators import evaluation as M
 from ...operators import telemetry as V
 from ...operators.inventory import op_counts
-from ...session import scratch_path
+from ...session import cut_lineage, scratch_path
 from ...sources import readers, writers
 from .base import LAYERS, layer_tables, query, table, vectors
 from .base import V as VSQL
@@ -113,7 +113,7 @@ def _(spark, sf):
     lines = scope.unionByName(head).unionByName(close).unionByName(marks).unionByName(changes)
     path = scratch_path(spark, "trace")
     lines.repartition("dump").sortWithinPartitions("dump", "t", "k").select("dump", "value").write.partitionBy("dump").text(path)
-    back = readers.read_trace(spark, f"{path}/*/*.txt")
+    back = cut_lineage(readers.read_trace(spark, f"{path}/*/*.txt"))
     plain = back.select(F.regexp_replace("signal", r"^top\.", "").alias("signal"), "t", "val")
     return V.interface_stats(V.interface_events(plain))
 

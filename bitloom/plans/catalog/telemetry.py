@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ...functions.scalars import clock_micros
 from ...operators import integrity as I
 from ...operators import telemetry as V
+from ...session import cut_lineage
 from .base import WORDS, query, table, words
 
 _FOLD = "xor(xor({v} & 8388607, ({v} >> 23) & 8388607), ({v} >> 46) & 8388607)"
@@ -50,7 +51,8 @@ def trace(spark, sf):
     kind = F.when(F.col("event_type").isin("purchase", "view"), "TVALID").otherwise("TREADY")
     t = F.floor((clock_micros(F.col("ts")) - first) / 1000000) * 20
     raw = e.select(F.concat(F.lit("u"), "user_id", F.lit("_"), kind).alias("signal"), t.alias("t"), "event_id")
-    return raw.groupBy("signal", "t").agg((F.max("event_id") % 2).alias("val"))
+    # a recorded trace is a stored table that is read more than once
+    return cut_lineage(raw.groupBy("signal", "t").agg((F.max("event_id") % 2).alias("val")))
 
 
 TRACE = """tr AS (SELECT 'u' || user_id || '_' || CASE WHEN event_type IN ('purchase', 'view') THEN 'TVALID' ELSE 'TREADY' END AS signal,

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: most rows of a parameter table that may be broadcast
+from .session import cut_lineage
+
+#: most rows, and most bytes, of a parameter table that may be broadcast
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: most weights that may be held by every task as one matrix
 MATRIX_ELEMENTS = 4_000_000
-#: copies of a parameter row when the join has to shuffle
+#: a key with more rows than this is hot; its rows are shared by SALTS tasks
+HOT_ROWS = 2_000_000
 SALTS = 32
 
 
@@ -20,6 +25,23 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def _bytes_of(field: T.StructField) -> Column:
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        flat = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)
+        return F.greatest(F.size(c), F.lit(0)) * (8 if flat else 64) + 16
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
+    """Whether a table has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes, by reading it."""
+    size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0))
+    n, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and held <= BROADCAST_BYTES
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Share a small input with all cores; a large one already has enough splits and is left alone.
 
@@ -40,17 +62,26 @@ def param_join(
     how: str = "inner",
     spread: Sequence[str] = ("row_id",),
     max_rows: int | None = None,
-    salts: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join data with a parameter table on a key of few values.
 
-    A table proven small is broadcast. A larger one is joined by shuffle with the key salted by
-    ``spread`` columns of the data, so one hot channel is spread over ``salts`` tasks.
+    A table proven small is broadcast. A larger one is joined by shuffle. Keys with more than
+    ``hot_rows`` rows of data are then shared by several tasks: their rows get a salt from the
+    ``spread`` columns and their parameter rows are copied once per salt. Other keys are not copied.
     """
     on = list(on)
-    if rows_at_most(params, BROADCAST_ROWS if max_rows is None else max_rows):
+    if fits_broadcast(params, BROADCAST_ROWS if max_rows is None else max_rows):
         return df.join(F.broadcast(params), on, how)
-    n = SALTS if salts is None else salts
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(n)))
-    copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    # at most one row per ``limit`` rows of data
+    hot = cut_lineage(df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.lit(1).alias("_hot")))
+    if hot.isEmpty():
+        return df.join(params, on, how)
+    small = fits_broadcast(hot, BROADCAST_ROWS)
+    marked = [d.join(F.broadcast(hot) if small else hot, on, "left") for d in (df, params)]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS))
+    salted = marked[0].withColumn("_salt", F.when(F.col("_hot") == 1, salt).otherwise(0).cast("int")).drop("_hot")
+    all_salts, one = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))
+    copies = marked[1].withColumn("_salt", F.explode(F.when(F.col("_hot") == 1, all_salts).otherwise(one))).drop("_hot")
     return salted.join(copies, on + ["_salt"], how).drop("_salt")

@@ -64,13 +64,18 @@ class _OpenFrame(StatefulProcessor):
         self.state = handle.getValueState("frame", "s BIGINT, n BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        s, n = self.state.get() if self.state.exists() else (0, 0)
+        s = n = 0
         for part in rows:
             s, n = (s + int(part["term"].sum())) % MODULUS, n + len(part)
+        # a frame that is whole within the micro-batch never touches the state
         if n < self.n_words:
-            self.state.update((s, n))
-            return
-        self.state.clear()
+            if self.state.exists():
+                before_s, before_n = self.state.get()
+                s, n = (s + before_s) % MODULUS, n + before_n
+            if n < self.n_words:
+                self.state.update((s, n))
+                return
+            self.state.clear()
         stream_id, frame = key
         yield pd.DataFrame({"stream_id": [stream_id], "frame": [frame], "checksum": [frame % 256 * MODULUS + s]})
 
@@ -93,24 +98,26 @@ class _OpenWords(StatefulProcessor):
         self.span, self.m = span, m
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("left", "at BIGINT", "vec ARRAY<BIGINT>")
-        self.count = handle.getValueState("count", "n BIGINT")
+        self.state = handle.getValueState("left", "at ARRAY<BIGINT>, val ARRAY<BIGINT>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        at: list[int] = []
+        val: list[int] = []
+        for part in rows:
+            for start, vec in zip(part["at"], part["vec"]):
+                at.extend(range(int(start), int(start) + len(vec)))
+                val.extend(int(v) for v in vec)
+        # elements that are whole within the micro-batch never touch the state
+        if len(at) < self.span:
+            if self.state.exists():
+                before_at, before_val = self.state.get()
+                at, val = [*map(int, before_at), *at], [*map(int, before_val), *val]
+            if len(at) < self.span:
+                self.state.update((at, val))
+                return
+            self.state.clear()
         stream_id, block = key
-        parts = {int(at): [int(v) for v in vec] for df in rows for at, vec in zip(df["at"], df["vec"])}
-        n = (self.count.get()[0] if self.count.exists() else 0) + sum(map(len, parts.values()))
-        if n < self.span:
-            for at, vec in parts.items():
-                self.state.updateValue((at,), (vec,))
-            self.count.update((n,))
-            return
-        if self.state.exists():
-            for at, vec in self.state.iterator():
-                parts[int(at[0])] = [int(v) for v in vec[0]]
-        self.state.clear()
-        self.count.clear()
-        flat = [v for at in sorted(parts) for v in parts[at]]
+        flat = [v for _, v in sorted(zip(at, val))]
         words = [flat[i : i + self.m] for i in range(0, self.span, self.m)]
         first = block * (self.span // self.m)
         yield pd.DataFrame({"stream_id": [stream_id] * len(words), "seq": range(first, first + len(words)), "vec": words})
