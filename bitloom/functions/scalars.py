@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def whole_div(c: Column, n) -> Column:
+    """Whole-number quotient, exact for any BIGINT; cut towards zero."""
+    return F.call_function("div", c, n if isinstance(n, Column) else F.lit(n))
+
+
 def to_binary(c: Column) -> Column:
     """-1/+1 to 0/1."""
     return ((c + 1) / 2).cast("int")

@@ -213,6 +213,6 @@ def batches(df: DataFrame, n: int, order: str, dense: bool = False) -> DataFrame
     block by block.
     """
     numbered = df.withColumn("_pos", F.col(order)) if dense else row_numbers(df, [], [order], "_pos")
-    full = df.agg(F.floor(F.count("*") / n)).scalar()
-    out = numbered.withColumn("batch_id", F.floor(F.col("_pos") / n))
+    full = df.agg(S.whole_div(F.count("*"), n)).scalar()
+    out = numbered.withColumn("batch_id", S.whole_div(F.col("_pos"), n))
     return out.where(F.col("batch_id") < full).drop("_pos")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_div
+
 SLICE = 23
 MODULUS = 1 << 24
 
@@ -39,7 +41,7 @@ def word_term(word: Column, at: Column, k: int, bits: int) -> Column:
 
 
 def frame_terms(words: DataFrame, n_words: int, k: int = 1, bits: int = 64) -> DataFrame:
-    frame = F.floor(F.col("seq") / n_words)
+    frame = whole_div(F.col("seq"), n_words)
     at = F.pmod(F.col("seq"), F.lit(n_words))
     return words.withColumn("frame", frame).withColumn("term", F.pmod(word_term(F.col("word"), at, k, bits), F.lit(MODULUS)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.packing import lanes
+from ..functions.scalars import whole_div
 from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
 
 
@@ -141,7 +142,7 @@ def matmul_blocks(df: DataFrame, weights: DataFrame, n_out: int, keys: Sequence[
     Rows grow by the number of strips and not by the number of outputs, and one vector's cells
     are summed before the shuffle.
     """
-    strips = weights.where("w <> 0").groupBy(F.col("in_idx").alias("i"), F.floor(F.col("out_idx") / block).cast("int").alias("ob")).agg(
+    strips = weights.where("w <> 0").groupBy(F.col("in_idx").alias("i"), whole_div(F.col("out_idx"), block).cast("int").alias("ob")).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("out_idx") % block).cast("int"), F.col("w").cast("long")))).alias("m")
     ).select("i", "ob", F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: F.coalesce(F.col("m")[o], F.lit(0))).alias("ws"))
     cells = df.select(*keys, F.posexplode("vec").alias("i", "x"))
@@ -167,7 +168,7 @@ def xnor_matmul(df: DataFrame, weights: DataFrame, width: int, keys: Sequence[st
 
     rows = df.select(*keys, lanes(F.transform("vec", as_bit), width).alias("xa"), F.explode(F.sequence(F.lit(0), F.lit((width + 62) // 63 - 1))).alias("lane"))
     rows = rows.select(*keys, "lane", F.element_at("xa", F.col("lane") + 1).alias("x"))
-    packed = weights.select("out_idx", F.floor(F.col("in_idx") / 63).cast("int").alias("lane"),
+    packed = weights.select("out_idx", whole_div(F.col("in_idx"), 63).cast("int").alias("lane"),
         F.call_function("shiftleft", as_bit(F.col("w")).cast("long"), (F.col("in_idx") % 63).cast("int")).alias("bit"))
     packed = packed.groupBy("lane", "out_idx").agg(F.bit_or("bit").alias("w"))
     joined = param_join(rows, packed, ["lane"], "inner", spread=keys)

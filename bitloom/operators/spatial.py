@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_div
 from ..sizing import param_join
 
 
@@ -98,9 +99,9 @@ def _with_zeros(cells: DataFrame, moved: DataFrame, height: int, width: int, tak
     zeros along: no shuffle.
     """
     every = F.sequence(F.lit(0), F.lit(height * width - 1))
-    free = F.filter(every, lambda p: ~taken(F.floor(p / width), p % width))
+    free = F.filter(every, lambda p: ~taken(whole_div(p, width), p % width))
     zeros = cells.where((F.col("h") == 0) & (F.col("w") == 0)).withColumn("_p", F.explode(free))
-    zeros = zeros.withColumn("h", F.floor(F.col("_p") / width).cast("int")).withColumn("w", (F.col("_p") % width).cast("int"))
+    zeros = zeros.withColumn("h", whole_div(F.col("_p"), width).cast("int")).withColumn("w", (F.col("_p") % width).cast("int"))
     kind = cells.schema["val"].dataType
     return moved.unionByName(zeros.withColumn("val", F.lit(0).cast(kind)).drop("_p"))
 
@@ -172,7 +173,7 @@ def rechunk(words: DataFrame, m: int, stream: str = "stream_id", seq: str = "seq
     width = F.lit(n) if n is not None else F.size(vec)
     cells = words.select(stream, (F.col(seq) * width).alias("_base"), F.posexplode(vec).alias("_i", "_v"))
     placed = cells.select(stream, (F.col("_base") + F.col("_i")).alias("_p"), "_v")
-    grouped = placed.groupBy(stream, F.floor(F.col("_p") / m).alias(seq)).agg(
+    grouped = placed.groupBy(stream, whole_div(F.col("_p"), m).alias(seq)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"]).alias(vec)
     )
     return grouped
@@ -190,7 +191,7 @@ def max_pool(cells: DataFrame, k: tuple[int, int], shape: tuple[int, int], ceil_
         raise ValueError("2-D sizes must divide by the kernel")
     used = cells if ceil_mode or not one_d else cells.where(F.col("w") < shape[1] // k[1] * k[1])
     return used.groupBy(
-        "row_id", F.floor(F.col("h") / k[0]).cast("int").alias("h"), F.floor(F.col("w") / k[1]).cast("int").alias("w"), "c"
+        "row_id", whole_div(F.col("h"), k[0]).cast("int").alias("h"), whole_div(F.col("w"), k[1]).cast("int").alias("w"), "c"
     ).agg(F.max("val").alias("val"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_div
 from ..session import cut_lineage
 from ..sizing import param_join
 from .ranking import rank_by
@@ -40,7 +41,7 @@ def interface_events(trace: DataFrame) -> DataFrame:
     tagged = trace.select(kind.alias("kind"), F.expr(f"left(signal, length(signal) - {len(VALID)})").alias("iface"), "t", "val").where(
         F.col("kind").isNotNull()
     )
-    return param_join(tagged, list_interfaces(trace.select("signal")), ["iface"], "left_semi", spread=["t"])
+    return param_join(tagged, cut_lineage(list_interfaces(trace.select("signal"))), ["iface"], "left_semi", spread=["t"])
 
 
 def interface_stats(events: DataFrame, end_time: int | None = None, block_bits: int = 20) -> DataFrame:
@@ -50,8 +51,9 @@ def interface_stats(events: DataFrame, end_time: int | None = None, block_bits:
     closes an interval that counts for the state before it; the count is cut to whole clock
     cycles per interval. Long interfaces are scanned block by block of time.
     """
-    end = F.lit(end_time).cast("long") if end_time is not None else events.agg(F.max("t")).scalar()
-    marks = events.select("iface").distinct().select("iface", F.explode(F.array(F.lit("V"), F.lit("R"))).alias("kind"))
+    ifaces = cut_lineage(events.groupBy("iface").agg(F.max("t").alias("last")))
+    end = F.lit(end_time).cast("long") if end_time is not None else ifaces.agg(F.max("last")).scalar()
+    marks = ifaces.select("iface", F.explode(F.array(F.lit("V"), F.lit("R"))).alias("kind"))
     marks = marks.select("iface", "kind", end.alias("t"), F.lit(0).alias("val"), F.lit(1).alias("mark"))
     every = events.select("iface", "kind", "t", F.col("val").cast("int"), F.lit(0).alias("mark")).unionByName(marks)
     every = every.withColumn("k", F.when(F.col("kind") == "V", 0).otherwise(1))
@@ -67,7 +69,7 @@ def interface_stats(events: DataFrame, end_time: int | None = None, block_bits:
         inclusive=False,
         block_bits=block_bits,
     )
-    edges = F.floor((F.col("t") - F.coalesce("since", F.lit(0))) / TICKS)
+    edges = whole_div(F.col("t") - F.coalesce("since", F.lit(0)), TICKS)
     v, r = F.coalesce("v", F.lit(0)), F.coalesce("r", F.lit(0))
     sums = seen.groupBy("iface").agg(
         *[F.sum(F.when((v == a) & (r == b), edges).otherwise(0)).alias(f"s{a}{b}") for a in (0, 1) for b in (0, 1)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_div
 from ..sizing import param_join
 
 
@@ -44,7 +45,7 @@ def multi_threshold_wide(
     Only the chunk that contains ``x`` is read in full: whole chunks below it are counted from
     their sizes. Every cell meets its channel's chunk heads and one chunk, never every step.
     """
-    chunks = thresholds.withColumn("k", F.floor(F.col("step") / chunk)).groupBy("c", "k").agg(
+    chunks = thresholds.withColumn("k", whole_div(F.col("step"), chunk)).groupBy("c", "k").agg(
         F.array_sort(F.collect_list("t")).alias("ts"), F.min("t").alias("head"), F.min("step").alias("before")
     )
     heads = chunks.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("head", "k", "before"))).alias("heads"))

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import whole_div
+
 
 def write_report(metrics: DataFrame, path: str) -> None:
     """``(model_id, layer_id, metric, value)`` with model totals, as JSON lines."""
@@ -49,7 +51,7 @@ def weight_lines(weights: DataFrame, bits: int, per_word: int) -> DataFrame:
     from ..types import QuantType
 
     width = (bits * per_word + 3) // 4 * 4
-    grouped = weights.groupBy("out_idx", F.floor(F.col("in_idx") / per_word).cast("int").alias("pos")).agg(
+    grouped = weights.groupBy("out_idx", whole_div(F.col("in_idx"), per_word).cast("int").alias("pos")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("in_idx", "w"))), lambda s: s["w"]).alias("vec")
     )
     return grouped.select("out_idx", "pos", pack_hex(F.col("vec"), QuantType.parse(f"INT{bits}"), width, reverse_inner=True).alias("word"))

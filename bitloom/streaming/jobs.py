@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.scalars import clock_micros
+from ..functions.scalars import clock_micros, whole_div
 from ..operators.integrity import MODULUS, frame_terms
 
 Chain = Callable[[DataFrame, DataFrame], DataFrame]
@@ -130,7 +130,7 @@ def rechunk_stream(words: DataFrame, n: int, m: int) -> DataFrame:
     """Words of ``n`` elements to words of ``m``; left-over elements wait for the next micro-batch."""
     span = n * m // gcd(n, m)
     placed = words.select(
-        "stream_id", F.floor(F.col("seq") * n / span).alias("block"), F.pmod(F.col("seq") * n, F.lit(span)).alias("at"), F.col("vec").cast("array<bigint>").alias("vec")
+        "stream_id", whole_div(F.col("seq") * n, span).alias("block"), F.pmod(F.col("seq") * n, F.lit(span)).alias("at"), F.col("vec").cast("array<bigint>").alias("vec")
     )
     return placed.groupBy("stream_id", "block").transformWithStateInPandas(
         statefulProcessor=_OpenWords(span, m), outputStructType="stream_id STRING, seq BIGINT, vec ARRAY<BIGINT>", outputMode="Append", timeMode="None"
