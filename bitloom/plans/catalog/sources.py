@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import evaluation as M
 from ...operators import telemetry as V
 from ...operators.inventory import op_counts
 from ...session import cut_lineage, scratch_path
 from ...sources import readers, writers
-from .base import LAYERS, layer_tables, query, table, vectors
+from .base import LAYERS, WORDS, layer_tables, query, table, vectors, words
 from .base import V as VSQL
 from .inventory import _COUNTS
 from .telemetry import STATS, trace
@@ -150,13 +149,12 @@ def _(spark, sf):
     return run_steps(None, [signs, totals], folder, start="totals", spark=spark)[0]
 
 
-@query("x4_hook_differences", "SELECT 0::BIGINT AS n_rows, 0::BIGINT AS n_frames WHERE false")
+@query("x4_checksum_hook", f"WITH {WORDS} SELECT stream_id, count(*) // 16 AS n_frames, 0::BIGINT AS n_different FROM words GROUP BY 1")
 def _(spark, sf):
     from ...operators.integrity import checksum_tap
-    from .base import words
 
-    w = words(spark, sf)
-    forwarded, sums = checksum_tap(w, 16)
-    again = checksum_tap(forwarded, 16)[1]
-    d = M.report_differences(sums, again, ["stream_id", "frame"], "checksum")
-    return d.groupBy().agg(F.count("*").alias("n_rows"), F.count("frame").alias("n_frames")).where("n_rows > 0")
+    forwarded, before = checksum_tap(words(spark, sf), 16)
+    after = checksum_tap(forwarded, 16)[1]
+    both = before.join(after.withColumnRenamed("checksum", "again"), ["stream_id", "frame"], "full_outer")
+    differs = F.count_if(~F.col("checksum").eqNullSafe(F.col("again")))
+    return both.groupBy("stream_id").agg(F.count("*").alias("n_frames"), differs.alias("n_different"))

@@ -91,20 +91,28 @@ def read_npy(spark: SparkSession, glob: str, labelled: bool = False, batch_rows:
 
 
 def read_hex_words(spark: SparkSession, glob: str) -> DataFrame:
-    """Whitespace-separated hex words from files ``a_b_*.dat`` as ``(part, layer, line, pos, word)``.
+    """Whitespace-separated hex words from files ``a_b_*`` as ``(part, layer, line, pos, word)``.
 
-    A file is read line by line; ``line`` is the number written in front of ``:`` when there is
-    one, else 0 (a file of one line).
+    Words are numbered through the whole file with ``line`` 0. Where lines carry their own number
+    in front of ``:``, ``line`` is that number and ``pos`` counts within it.
     """
     name = r"[/=](\d+)_(\d+)_[^/]*(?:/part-[^/]*)?$"
-    lines = spark.read.text(glob).select(
-        F.regexp_extract(F.col("_metadata.file_path"), name, 1).cast("int").alias("part"),
-        F.regexp_extract(F.col("_metadata.file_path"), name, 2).cast("int").alias("layer"),
-        F.coalesce(F.nullif(F.regexp_extract("value", r"^(\d+):", 1), F.lit("")).cast("long"), F.lit(0).cast("long")).alias("line"),
-        F.regexp_replace("value", r"^\d+:", "").alias("body"),
+    lines = _numbered_lines(spark, glob).select(
+        "file",
+        "at",
+        F.nullif(F.regexp_extract("line", r"^(\d+):", 1), F.lit("")).cast("long").alias("own"),
+        F.filter(F.split(F.trim(F.regexp_replace("line", r"^\d+:", "")), r"\s+"), lambda s: s != "").alias("hex"),
+    )
+    size = F.when(F.col("own").isNull(), F.size("hex")).otherwise(0).cast("long")
+    placed = block_scan(lines, ["file"], ["at"], sums={"before": size}, inclusive=False)
+    words = placed.select(
+        F.regexp_extract("file", name, 1).cast("int").alias("part"),
+        F.regexp_extract("file", name, 2).cast("int").alias("layer"),
+        F.coalesce("own", F.lit(0).cast("long")).alias("line"),
+        F.when(F.col("own").isNull(), F.col("before")).otherwise(0).alias("before"),
+        F.posexplode("hex").alias("i", "hex"),
     )
-    words = lines.select("part", "layer", "line", F.posexplode(F.filter(F.split(F.trim("body"), r"\s+"), lambda s: s != "")).alias("pos", "hex"))
-    return words.select("part", "layer", "line", "pos", F.conv("hex", 16, 10).cast("long").alias("word"))
+    return words.select("part", "layer", "line", (F.col("before") + F.col("i")).alias("pos"), F.conv("hex", 16, 10).cast("long").alias("word"))
 
 
 def verify_words(written: DataFrame, read: DataFrame) -> DataFrame:

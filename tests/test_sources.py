@@ -63,8 +63,9 @@ def test_xml_reports(spark, tmp_path):
 
 
 def test_hex_words_in_one_flat_file(spark, tmp_path):
-    (tmp_path / "3_1_weights.dat").write_text("ff 0a\n")
-    assert [r[:] for r in readers.read_hex_words(spark, str(tmp_path)).orderBy("pos").collect()] == [(3, 1, 0, 0, 255), (3, 1, 0, 1, 10)]
+    (tmp_path / "3_1_weights.dat").write_text("ff 0a\n\n1\n2 3\n")
+    got = [r[:] for r in readers.read_hex_words(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [(3, 1, 0, i, w) for i, w in enumerate([255, 10, 1, 2, 3])]
 
 
 def test_hex_line_text(spark, tmp_path):
