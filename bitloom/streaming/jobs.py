@@ -14,6 +14,7 @@ from math import gcd
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -144,11 +145,17 @@ def accuracy_stream(predictions: DataFrame, by: tuple[str, ...] = ("run_id",)) -
 
 
 def throughput_windows(events: DataFrame, ts: str, width: str, by: tuple[str, ...] = (), late: str | None = None, size=None) -> DataFrame:
-    """Items and bytes per second in time windows; with ``late`` a watermark drops later rows."""
-    source = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
+    """Items and bytes per second in time windows; with ``late`` a watermark drops later rows.
+
+    A timestamp without time zone counts as UTC, so windows are the same in every session.
+    """
+    source = events
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        source = events.withColumn(ts, F.timestamp_micros(clock_micros(F.col(ts))))
+    source = source.withWatermark(ts, late) if late else source
     bytes_ = F.sum(size) if size is not None else F.lit(0)
-    start = clock_micros(F.col("window.start"))
-    seconds = (clock_micros(F.col("window.end")) - start) / 1e6
+    start = F.unix_micros("window.start")
+    seconds = (F.unix_micros("window.end") - start) / 1e6
     grouped = source.groupBy(F.window(ts, width), *by).agg(F.count("*").alias("n_items"), bytes_.alias("n_bytes"))
     return grouped.select(
         start.alias("start_us"), *by, "n_items", (F.col("n_items") / seconds).alias("items_per_s"), (F.col("n_bytes") / seconds).alias("bytes_per_s")
