@@ -87,6 +87,11 @@ LABELLED = [
     (2, 1.0, 60, 0.0, 12, 0.0, 1, 0),
     (12, 0.9, 8, 1.0, 7, 1.0, 1, 0),
     (90, 0.0, 8, 0.0, 70, 0.0, 0, 1),
+    (60, 0.0, 1, 0.0, 40, 0.0, 0, 1),
+    (75, 0.0, 2, 1.0, 10, 0.0, 0, 1),
+    (110, 0.0, 3, 0.0, 2, 1.0, 0, 1),
+    (40, 0.1, 4, 0.0, 25, 0.0, 0, 1),
+    (24, 0.0, 10, 0.0, 12, 0.0, 0, 1),
     (60, 0.1, 90, 0.0, 3, 1.0, 0, 1),
     (45, 0.0, 2, 1.0, 50, 0.0, 0, 1),
     (30, 0.2, 40, 0.0, 35, 0.0, 0, 1),
