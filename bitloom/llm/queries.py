@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lang_id, mixing, ngram_join, secret_scan, url_filter, vector_dedup
+from . import bpe, exact_dedup, html_text, lang_id, mixing, ngram_join, repeats, secret_scan, url_filter, vector_dedup
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -47,6 +47,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = secret_scan.scan_secrets(docs, secret_scan.labelled_samples(docs))
@@ -137,6 +141,7 @@ SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links,
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_repeats": op3_repeats,
     "op4_secrets": op4_secrets,
     "op5_url_rules": op5_url_rules,
     "op6_language": op6_language,
