@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay. ``length`` is at least GRAM + 1."""
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("s"))
     texts = texts.select("id", F.xxhash64("id", "s").alias("uid"), F.encode("s", "UTF-8").alias("t"))
-    spans = repeated_ranges(texts, length).groupBy("uid").agg(F.array_distinct(F.collect_list(F.struct("b", "e"))).alias("marks"))
+    spans = repeated_ranges(texts, length).groupBy("uid").agg(F.collect_list(F.struct("b", "e")).alias("marks"))
     rows = texts.join(spans, "uid", "left").select("id", "uid", "t", "marks")
     out = rows.mapInArrow(_kept(length), f"id {texts.schema['id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
