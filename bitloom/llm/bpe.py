@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 400_000
+SLICE = 100_000
 _PER_BUCKET = 2
 _MIX = 0x9E3779B97F4A7C15
 
@@ -174,8 +174,43 @@ def _codec(name: str, shared) -> Codec:
     return _CODECS[name]
 
 
+def _encode(codec: Codec, batches):
+    def flush(ids, parts):
+        known = codec.encoded(list(dict.fromkeys(chain.from_iterable(words for _, words in parts))))
+        rows = [b"".join(map(known.__getitem__, words)) for _, words in parts]
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
+
+    for batch in batches:
+        first, parts, held = 0, [], 0
+        for k, text in enumerate(batch.column(1)):
+            text = text.as_py() or ""
+            if len(text) > SLICE:  # a long text by itself, slice by slice
+                if k > first:
+                    yield flush(batch.column(0)[first:k], parts)
+                out = b"".join(b"".join(map(codec.encoded(list(dict.fromkeys(w))).__getitem__, w)) for w in codec.slices(text))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array([len(out) // 4], pa.int64()), pa.array([out], pa.binary())], ["id", "n_tokens", "ids"])
+                first, parts, held = k + 1, [], 0
+                continue
+            words = codec.pattern.findall(text)
+            parts.append((k - first, words))
+            held += len(words)
+            if held >= SLICE:
+                yield flush(batch.column(0)[first : k + 1], parts)
+                first, parts, held = k + 1, [], 0
+        if first < batch.num_rows:
+            yield flush(batch.column(0)[first:], parts)
+
+
+def _decode(codec: Codec, batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            texts = [codec.decoded(x.as_py() or b"") for x in part.column(2)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["id", "n_tokens", "ids", "bytes"])
+
+
 class Bpe:
-    """``encode`` and ``decode`` over one rank file and splitting pattern. The file is read on the driver only."""
+    """``encode``, ``decode`` and both at once over one rank file and splitting pattern. The file is read on the driver only."""
 
     def __init__(self, spark, path: str, pattern: str):
         tokens = read_ranks(path)
@@ -183,57 +218,23 @@ class Bpe:
         self.name = uuid.uuid4().hex
         self.shared = spark.sparkContext.broadcast((tokens, shift, slot_key, pattern))
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """id, n_tokens, ids (little-endian 32-bit integers)."""
+    def _over(self, rows: DataFrame, step, id_col: str, more: str = "") -> DataFrame:
         name, shared = self.name, self.shared
-        kind = docs.schema[id_col].dataType.simpleString()
-
-        def run(batches):
-            codec = _codec(name, shared)
-
-            def flush(ids, parts):
-                known = codec.encoded(list(dict.fromkeys(chain.from_iterable(words for _, words in parts))))
-                rows = [[] for _ in range(len(ids))]
-                for k, words in parts:
-                    rows[k].append(b"".join(map(known.__getitem__, words)))
-                rows = [b"".join(r) for r in rows]
-                return pa.RecordBatch.from_arrays([ids, pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
-
-            for batch in batches:
-                first, parts, held = 0, [], 0
-                for k, text in enumerate(batch.column(1)):
-                    text = text.as_py() or ""
-                    if len(text) > SLICE:  # a long text by itself, slice by slice
-                        if k > first:
-                            yield flush(batch.column(0)[first:k], parts)
-                        out = b"".join(b"".join(map(codec.encoded(list(dict.fromkeys(w))).__getitem__, w)) for w in codec.slices(text))
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array([len(out) // 4], pa.int64()), pa.array([out], pa.binary())], ["id", "n_tokens", "ids"])
-                        first, parts, held = k + 1, [], 0
-                        continue
-                    words = codec.pattern.findall(text)
-                    parts.append((k - first, words))
-                    held += len(words)
-                    if held >= SLICE:
-                        yield flush(batch.column(0)[first : k + 1], parts)
-                        first, parts, held = k + 1, [], 0
-                if first < batch.num_rows:
-                    yield flush(batch.column(0)[first:], parts)
+        kind = rows.schema["id"].dataType.simpleString()
+        out = rows.mapInArrow(lambda batches: step(_codec(name, shared), batches), f"id {kind}, n_tokens bigint, ids binary{more}")
+        return out.withColumnRenamed("id", id_col)
 
-        rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-        out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
-        return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """id, n_tokens, ids (little-endian 32-bit integers)."""
+        return self._over(docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")), _encode, id_col)
 
     def decode(self, encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
         """id, n_tokens, ids and the decoded bytes."""
-        name, shared = self.name, self.shared
-        kind = encoded.schema[id_col].dataType.simpleString()
-
-        def run(batches):
-            codec = _codec(name, shared)
-            for batch in batches:
-                texts = [codec.decoded(x.as_py() or b"") for x in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["id", "n_tokens", "ids", "bytes"])
+        count = (F.octet_length(encoded[ids_col]) / 4).cast("long")
+        rows = encoded.select(encoded[id_col].alias("id"), F.coalesce(count, F.lit(0)).alias("n_tokens"), encoded[ids_col].alias("ids"))
+        return self._over(rows, _decode, id_col, ", bytes binary")
 
-        rows = encoded.select(encoded[id_col].alias("id"), (F.octet_length(ids_col) / 4).cast("long").alias("n_tokens"), encoded[ids_col].alias("ids"))
-        out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, bytes binary")
-        return out.select(F.col("id").alias(id_col), "n_tokens", "ids", "bytes")
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """What ``decode(encode(docs))`` gives, in one Python worker a task."""
+        rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+        return self._over(rows, lambda codec, batches: _decode(codec, _encode(codec, batches)), id_col, ", bytes binary")

@@ -38,8 +38,7 @@ def tokenizer(spark: SparkSession) -> bpe.Bpe:
 
 
 def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    codec = tokenizer(spark)
-    out = codec.decode(codec.encode(docs))
+    out = tokenizer(spark).round_trip(docs)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -81,6 +81,8 @@ def test_bpe_is_what_the_library_gives(spark, texts):
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = queries.tokenizer(spark)
     got = {r["doc_id"]: r for r in codec.decode(codec.encode(docs)).collect()}
+    both = {r["doc_id"]: r for r in codec.round_trip(docs).collect()}
+    assert both == got
     for r in docs.collect():
         ids = plain.encode_ordinary(r["text"] or "")
         assert np.frombuffer(got[r["doc_id"]]["ids"], "<u4").tolist() == ids
