@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -25,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 100_000
+SLICE = 200_000
+PIECES = 300_000  # merged words, and pairs of tokens, that a worker remembers
 _PER_BUCKET = 2
 _MIX = 0x9E3779B97F4A7C15
+_WORD = (1 << 64) - 1
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -94,7 +96,11 @@ class Codec:
     def __init__(self, tokens: list[bytes], shift: np.ndarray, slot_key: np.ndarray, pattern: str):
         self.tokens, self.shift, self.slot_key = tokens, shift, slot_key
         self.pattern = regex.compile(pattern)
-        self.rank = lru_cache(1 << 18)(self._rank)  # of pairs that merges ask for again and again
+        self.shifts, self.slot_keys = shift.tolist(), slot_key.tolist()
+        self.longest = max(map(len, tokens), default=0)
+        self.single = [self._rank(bytes([b])) for b in range(256)] if tokens else []
+        self.pairs: dict[int, int] = {}  # rank of two tokens together, of the last so many
+        self.pieces: dict[bytes, bytes] = {}  # ids of merged words, of the last so many
 
     def whole(self, keys: list[bytes]) -> np.ndarray:
         """Rank of each key, -1 where it is not in the vocabulary."""
@@ -109,37 +115,70 @@ class Codec:
         return np.where(same, found, -1)
 
     def _rank(self, key: bytes) -> int:
-        return int(self.whole([key])[0])
+        """``whole`` for one key, without arrays."""
+        if len(key) > self.longest:
+            return -1
+        high, low = divmod(xxhash.xxh3_128_intdigest(key), 1 << 64)
+        shift = self.shifts[high % len(self.shifts)]
+        if shift < 0:
+            slot = -1 - shift
+        else:
+            x = (low + shift * _MIX) & _WORD
+            x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _WORD
+            slot = (x ^ (x >> 29)) % len(self.tokens)
+        found = self.slot_keys[slot]
+        return found if self.tokens[found] == key else -1
 
     def merged(self, piece: bytes) -> list[int]:
-        """Pieces of linked bytes merged by a heap of (rank, start, middle, end)."""
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by start of a piece
-        end = list(range(1, n + 1))  # 0 for a start that was merged into the piece before it
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if (rank := self.rank(piece[a : end[b]])) >= 0:
-                heapq.heappush(heap, (rank, a, b, end[b]))
+        """Pieces of linked bytes merged by a heap of rank and start, lowest rank and then leftmost first."""
+        n, pairs, tokens, rank = len(piece), self.pairs, self.tokens, self._rank
+        ids = [self.single[b] for b in piece]  # by start of a piece; -1 for one merged into the piece before it
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[int] = []
+
+        def look(key: int) -> int:
+            if len(pairs) >= PIECES:
+                pairs.clear()
+            found = pairs[key] = rank(tokens[key >> 20] + tokens[key & 0xFFFFF])
+            return found
 
         for i in range(n - 1):
-            offer(i, i + 1)
+            key = ids[i] << 20 | ids[i + 1]
+            r = pairs.get(key)
+            if r is None:
+                r = look(key)
+            if r >= 0:
+                heap.append(r << 32 | i)
+        heapq.heapify(heap)
         while heap:
-            _, a, b, stop = heapq.heappop(heap)
-            if end[a] != b or end[b] != stop:
+            entry = heapq.heappop(heap)
+            a, r = entry & 0xFFFFFFFF, entry >> 32
+            b = after[a]
+            if ids[a] < 0 or b >= n:
                 continue
-            end[a], end[b] = stop, 0
-            after[a] = after[b]
-            if after[a] < n:
-                before[after[a]] = a
-                offer(a, after[a])
-            if before[a] >= 0:
-                offer(before[a], a)
-        out, i = [], 0
-        while i < n:
-            out.append(self.rank(piece[i : end[i]]))
-            i = after[i]
-        return out
+            key = ids[a] << 20 | ids[b]
+            now = pairs.get(key)
+            if (look(key) if now is None else now) != r:
+                continue  # one of the two was merged since
+            ids[a], ids[b] = r, -1
+            c = after[a] = after[b]
+            if c < n:
+                before[c] = a
+                key = r << 20 | ids[c]
+                new = pairs.get(key)
+                if new is None:
+                    new = look(key)
+                if new >= 0:
+                    heapq.heappush(heap, new << 32 | a)
+            d = before[a]
+            if d >= 0:
+                key = ids[d] << 20 | r
+                new = pairs.get(key)
+                if new is None:
+                    new = look(key)
+                if new >= 0:
+                    heapq.heappush(heap, new << 32 | d)
+        return [i for i in ids if i >= 0]
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word as little-endian 32-bit integers."""
@@ -148,7 +187,15 @@ class Codec:
         packed = ranks.astype("<u4").tobytes()
         out = {w: packed[4 * i : 4 * i + 4] for i, w in enumerate(words)}
         for i in np.flatnonzero(ranks < 0).tolist():
-            out[words[i]] = np.array(self.merged(keys[i]), "<u4").tobytes()
+            ids = self.pieces.get(keys[i])
+            if ids is None:
+                merged = self.merged(keys[i])
+                ids = struct.pack(f"<{len(merged)}I", *merged)
+                if len(keys[i]) <= 64:
+                    if len(self.pieces) >= PIECES:
+                        self.pieces.clear()
+                    self.pieces[keys[i]] = ids
+            out[words[i]] = ids
         return out
 
     def slices(self, text: str) -> Iterator[list[str]]:
