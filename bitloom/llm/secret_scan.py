@@ -65,7 +65,10 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", train_docs: int =
     texts = docs.select(docs[text_col].alias("t")).dropna()
 
     def drawn(has: str) -> DataFrame:
-        return texts.filter(F.col("t").rlike(has)).orderBy(F.xxhash64("t"), "t").limit(train_docs)
+        # only hashes are ordered; the texts at or below the last of them are then read, each once
+        some = texts.filter(F.col("t").rlike(has)).withColumn("h", F.xxhash64("t"))
+        last = some.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+        return some.filter(F.col("h") <= F.lit(last).cast("long")).select("t").distinct()
 
     value = rf"{ACCESS}|{HEX}"
     secrets = drawn(value).select(F.explode(F.regexp_extract_all("t", F.lit(value), F.lit(0))).alias("sample"))
