@@ -39,7 +39,7 @@ def budgets(leaves: DataFrame, weights: DataFrame, path: Sequence[str], total: f
         node = list(path[:depth])
         barred = weights.filter((F.col("depth") == depth) & (F.col("weight") <= 0)).select(*node, F.lit(True).alias("barred"))
         leaves = leaves.join(barred, node, "left").withColumn("tokens", F.when(F.col("barred"), F.lit(0)).otherwise(F.col("tokens"))).drop("barred")
-    level = leaves.withColumn("budget", F.lit(float(total)))
+    level = stored(leaves.withColumn("budget", F.lit(float(total))), "budgets")
     for depth in range(1, len(path) + 1):
         above, node = list(path[: depth - 1]), list(path[:depth])
         named = weights.filter(F.col("depth") == depth).select(*[F.col(c) for c in node], F.col("weight"))
@@ -56,7 +56,7 @@ def budgets(leaves: DataFrame, weights: DataFrame, path: Sequence[str], total: f
         open_level = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(W.partitionBy(*above))
         share = F.when(F.col("ratio") <= F.col("level"), F.col("cap").cast("double")).otherwise(F.col("weight") * open_level)
         children = children.select(*node, share.alias("budget"))
-        level = level.drop("budget").join(children, node)
+        level = stored(level.drop("budget").join(children, node), "budgets")
     return level
 
 
@@ -89,6 +89,7 @@ def mix(
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     keyed = rows.join(plan, list(path)).withColumn("key", key).withColumn("slot", F.substring("key", 1, SLOT_DIGITS))
+    keyed = stored(keyed, "keyed")
     slots = keyed.groupBy(*path, "slot").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     running = F.sum("n").over(W.partitionBy(*path).orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow))
     slots = slots.withColumn("upto", running)

@@ -32,6 +32,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 SEED = 11
+ROWS = 512  # sets held by a task at once
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -55,7 +56,7 @@ class _Words(dict):
     """Hash of each word, remembered for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return out
@@ -117,9 +118,11 @@ def _sets(n: int):
     def run(batches):
         words = _Words()
         for batch in batches:
-            sets = [gram_set(t.as_py(), n, words) for t in batch.column(1)]
-            nodes = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2), batch.column(3), batch.column(4)], ["id", "made", "payload", "node", "weight", "seats"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [gram_set(t.as_py(), n, words) for t in part.column(1)]
+                nodes = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[2:]], ["id", "made", "payload", "node", "weight", "seats"])
 
     return run
 
