@@ -110,11 +110,11 @@ def _(spark, sf):
 
 @query(
     "j6_threshold_many_steps",
-    """WITH p AS (SELECT l_orderkey AS row_id, (l_linenumber - 1)::BIGINT AS c, CAST(floor(l_extendedprice) AS BIGINT) AS val FROM lineitem WHERE l_linenumber <= 7)
+    """WITH p AS (SELECT l_orderkey AS row_id, ((l_linenumber - 1) % 7)::BIGINT AS c, CAST(floor(l_extendedprice) AS BIGINT) AS val FROM lineitem)
 SELECT row_id, c, val, greatest(0, least(2000, (val - 900 - c) // 50 + 1)) AS y FROM p""",
 )
 def _(spark, sf):
-    cells = table(spark, sf, "lineitem", heavy=True).where("l_linenumber <= 7").selectExpr("l_orderkey AS row_id", "l_linenumber - 1 AS c", "CAST(floor(l_extendedprice) AS BIGINT) AS val", "CAST(floor(l_extendedprice) AS BIGINT) AS x")
+    cells = table(spark, sf, "lineitem", heavy=True).selectExpr("l_orderkey AS row_id", "(l_linenumber - 1) % 7 AS c", "CAST(floor(l_extendedprice) AS BIGINT) AS val", "CAST(floor(l_extendedprice) AS BIGINT) AS x")
     steps = spark.range(7 * 2000).selectExpr("CAST(id DIV 2000 AS INT) c", "CAST(id % 2000 AS INT) step", "CAST(900 + id DIV 2000 + 50 * (id % 2000) AS DOUBLE) t")
     out = TH.multi_threshold_wide(cells, steps)
     return out.select("row_id", "c", F.col("x").alias("val"), F.col("val").alias("y"))

@@ -103,7 +103,7 @@ def _(spark, sf):
 
 
 PERIOD = 48
-FLOW = f"""tx AS (SELECT DISTINCT user_id AS id, event_type IN ('click', 'view') AS p, (event_id * 7) % {PERIOD} AS cycle FROM events WHERE event_type <> 'error' AND event_id % 4 < 3),
+FLOW = f"""tx AS (SELECT DISTINCT user_id AS id, event_type IN ('click', 'view') AS p, (event_id * 7) % {PERIOD} AS cycle FROM events WHERE event_type <> 'error'),
 ids AS (SELECT DISTINCT id, p FROM tx),
 one AS (SELECT id, p, t, (SELECT count(*) FROM tx WHERE tx.id = ids.id AND tx.p = ids.p AND cycle <= t) AS level FROM ids, range({PERIOD}) r(t)),
 tot AS (SELECT id, p, max(level) AS total FROM one GROUP BY 1, 2),
@@ -112,7 +112,7 @@ fl AS (SELECT id, p, t + k * {PERIOD} AS t, level + k * total AS level FROM one
 
 def flow(spark, sf, producer: bool):
     kinds = "('click', 'view')" if producer else "('purchase', 'signup')"
-    tx = table(spark, sf, "events").where(f"event_type IN {kinds} AND event_id % 4 < 3").selectExpr("user_id AS stream_id", f"event_id * 7 % {PERIOD} AS cycle")
+    tx = table(spark, sf, "events").where(f"event_type IN {kinds}").selectExpr("user_id AS stream_id", f"event_id * 7 % {PERIOD} AS cycle")
     return V.cumulative_flow(tx, PERIOD)
 
 

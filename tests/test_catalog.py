@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from bitloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +23,7 @@ def rows(arrow, cols):
     return sorted(zip(*[[fix(v) for v in arrow[c].to_pylist()] for c in cols]), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     got = queries()[name](spark, SF).toArrow()
     want = con.sql(oracle_sql()[name]).to_arrow_table()
@@ -32,7 +33,11 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin_or_its_own_test():
-    assert set(queries()) - set(oracle_sql()) == {"mlp_flow_scoring"}
+    assert set(QUERIES) - set(ORACLES) == {"mlp_flow_scoring"}
+
+
+def test_entry_holds_the_catalog():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
