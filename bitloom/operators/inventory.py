@@ -132,9 +132,11 @@ def critical_path(nodes: DataFrame, edges: DataFrame, max_size: int = MODEL_SIZE
     """Longest path per node ``(model_id, layer_id, path)`` in acyclic graphs; ``nodes`` carry ``cycles``.
 
     A model of up to ``max_size`` nodes and edges is solved by one task, all of them after a single
-    shuffle. Larger models advance together, one round per depth.
+    shuffle. Larger models advance together, one round per depth. An edge from or to a node that is
+    not there, and a cycle, are errors on both ways.
     """
     cost = nodes.select("model_id", "layer_id", F.col("cycles").cast("long").alias("cycles"))
+    edges = _with_nodes(edges, cost)
     sizes = cost.select("model_id").unionByName(edges.select("model_id")).groupBy("model_id").agg(F.count("*").alias("_n"))
     large = cut_lineage(sizes.where(F.col("_n") > max_size).select("model_id"))
     if large.isEmpty():
@@ -147,6 +149,18 @@ def critical_path(nodes: DataFrame, edges: DataFrame, max_size: int = MODEL_SIZE
     return _path_by_model(part(cost, "left_anti"), part(edges, "left_anti")).unionByName(rounds)
 
 
+def _with_nodes(edges: DataFrame, cost: DataFrame) -> DataFrame:
+    """The edges, which fail when they are read if one of their ends is missing."""
+    out = edges.select("model_id", "src", "dst")
+    known = cost.select("model_id", "layer_id", F.lit(True).alias("_known"))
+    for end in ("src", "dst"):
+        kind = out.schema[end].dataType
+        lost = F.raise_error(F.concat(F.lit(f"edge without its {end} node in model "), F.col("model_id").cast("string"))).cast(kind)
+        out = out.join(known.withColumnRenamed("layer_id", end), ["model_id", end], "left")
+        out = out.withColumn(end, F.when(F.col("_known").isNull(), lost).otherwise(F.col(end))).drop("_known")
+    return out
+
+
 def _longest(own: dict[int, int], before: dict[int, list[int]]) -> dict[int, int]:
     """Longest path to each node of one model, in topological order."""
     after: dict[int, list[int]] = {}
@@ -192,15 +206,19 @@ def _path_by_model(cost: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(solve, f"model_id string, layer_id {kind}, path bigint")
 
 
-def _path_by_rounds(cost: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Only nodes whose value grew go on to the next round; each round is checkpointed."""
+def _path_by_rounds(cost: DataFrame, edges: DataFrame) -> DataFrame:
+    """Only nodes whose value grew go on to the next round; each round is checkpointed.
+
+    No path is longer than the nodes of its model, so growth beyond that many rounds is a cycle.
+    """
     cost = cut_lineage(cost)
+    max_rounds = cost.groupBy("model_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     links = cut_lineage(
         edges.join(cost.withColumnRenamed("layer_id", "dst"), ["model_id", "dst"]).select("model_id", "src", "dst", F.col("cycles").alias("_own"))
     )
     best = cost.select("model_id", "layer_id", F.col("cycles").alias("path"))
     front = best
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         step = (
             links.join(front.withColumnRenamed("layer_id", "src"), ["model_id", "src"])
             .groupBy("model_id", F.col("dst").alias("layer_id"))
@@ -217,7 +235,7 @@ def _path_by_rounds(cost: DataFrame, edges: DataFrame, max_rounds: int = 100_000
         best, front = merged.drop("_grew"), merged.where("_grew").drop("_grew")
         if front.isEmpty():
             return best
-    raise ValueError("the graph has a cycle, or is deeper than max_rounds")
+    raise ValueError("the graph of a model has a cycle")
 
 
 def performance(nodes: DataFrame, edges: DataFrame, clk_ns: float) -> DataFrame:
