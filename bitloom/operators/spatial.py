@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import whole_div
-from ..sizing import param_join
+from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
 
 
 def window_count(size: int, k: int, stride: int, dilation: int = 1) -> int:
@@ -45,43 +48,75 @@ def window_order(kernel: tuple[int, int], channels: int, depthwise: bool = False
     return F.col("c") * (kernel[0] * kernel[1]) + tap if depthwise else tap * channels + F.col("c")
 
 
-def _uncovered(n_out: int, k: int, s: int, d: int, real: set[int]) -> list[int]:
-    """Output positions of one axis whose taps all fall on padding."""
-    return [o for o in range(n_out) if not any(o * s + t * d in real for t in range(k))]
-
-
-def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation, real: tuple[set[int], set[int]]) -> DataFrame:
-    """Sum of products over shifted cells; outputs that see padding only are added as zeros.
-
-    Which outputs those are follows from the shapes, so usually nothing is added at all.
-    """
+def _convolve_cells(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation) -> DataFrame:
+    """Weights of any size: windows meet their taps in a join, and a zero stands for every output."""
     windows = im2col(cells, size, kernel, stride, dilation)
     taps = weights.select("kh", "kw", "c", "out_idx", "w")
     joined = param_join(windows, taps, ["kh", "kw", "c"], "inner", spread=("row_id", "oh", "ow"))
     terms = joined.select("row_id", "oh", "ow", "out_idx", (F.col("val").cast("long") * F.col("w")).alias("val"))
     n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
-    empty_h, empty_w = (_uncovered(n[a], kernel[a], stride[a], dilation[a], real[a]) for a in (0, 1))
-    if empty_h or empty_w:
-        origin = cells.where((F.col("h") == min(real[0])) & (F.col("w") == min(real[1])) & (F.col("c") == 0)).select("row_id")
-        outs = weights.agg(F.collect_set("out_idx")).scalar()
-        grid = origin.withColumn("oh", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1)))).withColumn(
-            "ow", F.explode(F.sequence(F.lit(0), F.lit(n[1] - 1)))
-        )
-        grid = grid.where(F.col("oh").isin(empty_h) | F.col("ow").isin(empty_w)).withColumn("out_idx", F.explode(outs))
-        terms = terms.unionByName(grid.select("row_id", "oh", "ow", "out_idx", F.lit(0).cast("long").alias("val")))
-    return terms.groupBy("row_id", "oh", "ow", "out_idx").agg(F.sum("val").alias("val"))
+    outs = weights.agg(F.collect_set("out_idx")).scalar()
+    grid = cells.select("row_id").distinct()
+    for name, count in (("oh", n[0]), ("ow", n[1])):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    zeros = grid.withColumn("out_idx", F.explode(outs)).withColumn("val", F.lit(0).cast(terms.schema["val"].dataType))
+    return terms.unionByName(zeros).groupBy("row_id", "oh", "ow", "out_idx").agg(F.sum("val").alias("val"))
+
+
+def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation) -> DataFrame:
+    """Sum of products over shifted cells; positions without a cell, or with a null, count as zero.
+
+    Each image is one row of its cells, multiplied in Arrow batches with weights of proven size.
+    """
+    if not rows_at_most(weights, MATRIX_ELEMENTS):
+        return _convolve_cells(cells, weights, size, kernel, stride, dilation)
+    table = weights.select("kh", "kw", "c", "out_idx", "w").toArrow()
+    at = {name: table[name].to_numpy() for name in table.column_names}
+    outs, column = np.unique(at["out_idx"], return_inverse=True)
+    depth = int(at["c"].max()) + 1 if len(table) else 1
+    taps = np.zeros((kernel[0], kernel[1], depth, len(outs)))
+    np.add.at(taps, (at["kh"], at["kw"], at["c"], column), at["w"])
+    n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
+    out_schema = f"row_id {cells.schema['row_id'].dataType.simpleString()}, oh int, ow int, out_idx int, val double"
+
+    def products(x: np.ndarray) -> np.ndarray:
+        acc = np.zeros((len(x), n[0], n[1], len(outs)))
+        for kh, kw in np.ndindex(*kernel):
+            top, left = kh * dilation[0], kw * dilation[1]
+            acc += x[:, top : top + (n[0] - 1) * stride[0] + 1 : stride[0], left : left + (n[1] - 1) * stride[1] + 1 : stride[1]] @ taps[kh, kw]
+        return acc
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together = max(1, (1 << 22) // (size[0] * size[1] * max(depth, len(outs))))
+        for batch in batches:
+            for start in range(0, batch.num_rows, together):
+                part = batch.slice(start, together)
+                image = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+                h, w, c, val = (part.column(1).flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                used = (h >= 0) & (h < size[0]) & (w >= 0) & (w < size[1]) & (c >= 0) & (c < depth)
+                place = ((image * size[0] + h) * size[1] + w) * depth + c
+                x = np.bincount(place[used], val[used], part.num_rows * size[0] * size[1] * depth)
+                acc = products(x.reshape(part.num_rows, size[0], size[1], depth))
+                row, oh, ow, out = (i.ravel() for i in np.indices(acc.shape, np.int32))
+                columns = [part.column(0).take(pa.array(row)), pa.array(oh), pa.array(ow), pa.array(outs[out].astype(np.int32)), pa.array(acc.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["row_id", "oh", "ow", "out_idx", "val"])
+
+    value = F.coalesce(F.col("val").cast("long"), F.lit(0)).cast("double").alias("val")
+    cell = F.struct(*[F.col(p).cast("long").alias(p) for p in ("h", "w", "c")], value)
+    done = cells.groupBy("row_id").agg(F.collect_list(cell).alias("cells")).mapInArrow(run, out_schema)
+    whole = not isinstance(weights.schema["w"].dataType, (T.FractionalType, T.DecimalType))
+    return done.withColumn("val", F.col("val").cast("long")) if whole else done
 
 
 def conv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride=(1, 1), dilation=(1, 1), pads=(0, 0, 0, 0)) -> DataFrame:
-    """Convolution of dense images with ``(kh, kw, c, out_idx, w)``.
+    """Convolution of images with ``(kh, kw, c, out_idx, w)``; an absent cell is zero.
 
     Padding only shifts positions, since zeros add nothing to a sum.
     """
     top, left, bottom, right = pads
     shifted = cells.withColumn("h", F.col("h") + top).withColumn("w", F.col("w") + left)
     size = (shape[0] + top + bottom, shape[1] + left + right)
-    real = (set(range(top, top + shape[0])), set(range(left, left + shape[1])))
-    return _convolve(shifted, weights, size, kernel, stride, dilation, real)
+    return _convolve(shifted, weights, size, kernel, stride, dilation)
 
 
 def downsample(cells: DataFrame, s: int, axes: tuple[str, ...] = ("h", "w")) -> DataFrame:
@@ -92,29 +127,22 @@ def downsample(cells: DataFrame, s: int, axes: tuple[str, ...] = ("h", "w")) ->
     return out
 
 
-def _with_zeros(cells: DataFrame, moved: DataFrame, height: int, width: int, taken: Callable[[Column, Column], Column]) -> DataFrame:
-    """Moved cells plus zeros at every position that is not ``taken``.
-
-    Images are dense, so the cell at (0, 0) stands once for each row and channel and brings the
-    zeros along: no shuffle.
-    """
+def _with_zeros(moved: DataFrame, height: int, width: int) -> DataFrame:
+    """The full grid of each image and channel that has a cell: its cells, and zeros at all other positions."""
+    keys = [c for c in moved.columns if c not in ("h", "w", "val")]
     every = F.sequence(F.lit(0), F.lit(height * width - 1))
-    free = F.filter(every, lambda p: ~taken(whole_div(p, width), p % width))
-    zeros = cells.where((F.col("h") == 0) & (F.col("w") == 0)).withColumn("_p", F.explode(free))
-    zeros = zeros.withColumn("h", whole_div(F.col("_p"), width).cast("int")).withColumn("w", (F.col("_p") % width).cast("int"))
-    kind = cells.schema["val"].dataType
-    return moved.unionByName(zeros.withColumn("val", F.lit(0).cast(kind)).drop("_p"))
+    grid = moved.select(*keys).distinct().withColumn("_p", F.explode(every))
+    place = whole_div(F.col("_p"), width).cast("int").alias("h"), (F.col("_p") % width).cast("int").alias("w")
+    zeros = grid.select(*keys, *place, F.lit(0).cast(moved.schema["val"].dataType).alias("val"), F.lit(0).alias("_cell"))
+    both = moved.withColumn("_cell", F.lit(1)).unionByName(zeros)
+    return both.groupBy(*keys, "h", "w").agg(F.max_by("val", "_cell").alias("val")).select(*moved.columns)
 
 
 def pad2d(cells: DataFrame, pads: tuple[int, int, int, int], shape: tuple[int, int]) -> DataFrame:
-    """Zero padding ``(top, left, bottom, right)`` of dense images."""
+    """Zero padding ``(top, left, bottom, right)``; an absent cell of an image is zero too."""
     top, left, bottom, right = pads
     moved = cells.withColumn("h", (F.col("h") + top).cast("int")).withColumn("w", (F.col("w") + left).cast("int"))
-
-    def taken(h: Column, w: Column) -> Column:
-        return h.between(top, top + shape[0] - 1) & w.between(left, left + shape[1] - 1)
-
-    return _with_zeros(cells, moved, shape[0] + top + bottom, shape[1] + left + right, taken)
+    return _with_zeros(moved, shape[0] + top + bottom, shape[1] + left + right)
 
 
 def _spread_size(shape, stride) -> tuple[int, int]:
@@ -126,9 +154,8 @@ def _spread(cells: DataFrame, stride) -> DataFrame:
 
 
 def pixel_pad(cells: DataFrame, stride: tuple[int, int], shape: tuple[int, int]) -> DataFrame:
-    """Zeros between the pixels of dense images: size ``I + (I-1)(s-1)``."""
-    size = _spread_size(shape, stride)
-    return _with_zeros(cells, _spread(cells, stride), *size, lambda h, w: (h % stride[0] == 0) & (w % stride[1] == 0))
+    """Zeros between the pixels, and for absent ones: size ``I + (I-1)(s-1)``."""
+    return _with_zeros(_spread(cells, stride), *_spread_size(shape, stride))
 
 
 def deconv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride, pad: int, groups: int = 1) -> DataFrame:
@@ -141,8 +168,7 @@ def deconv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride, pad: i
     size = _spread_size(shape, stride)
     edge = [kernel[a] - 1 - pad for a in (0, 1)]
     moved = _spread(cells, stride).withColumn("h", F.col("h") + edge[0]).withColumn("w", F.col("w") + edge[1])
-    real = tuple({edge[a] + i * stride[a] for i in range(shape[a])} for a in (0, 1))
-    return _convolve(moved, weights, (size[0] + 2 * edge[0], size[1] + 2 * edge[1]), kernel, (1, 1), (1, 1), real)
+    return _convolve(moved, weights, (size[0] + 2 * edge[0], size[1] + 2 * edge[1]), kernel, (1, 1), (1, 1))
 
 
 def mirrored(weights: DataFrame, kernel: tuple[int, int]) -> DataFrame:
