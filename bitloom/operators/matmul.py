@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.packing import lanes
 from ..functions.scalars import whole_div
 from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
+from .thresholds import multi_threshold
 
 
 def weight_matrix(weights: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -113,19 +114,44 @@ def dense_layers(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray |
     return df.select(*keep, vec).mapInArrow(run, ", ".join([*fields, f"`{vec}` array<bigint>"]))
 
 
+def _fits(weights: DataFrame, shape: tuple[int, int]) -> bool:
+    return shape[0] * shape[1] <= MATRIX_ELEMENTS and rows_at_most(weights, MATRIX_ELEMENTS)
+
+
 def matmul(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: str = "vec") -> DataFrame:
-    """``x[rows, MW] . W[MW, MH]`` on vectors; no shuffle. For larger weights use ``matmul_cells``."""
+    """``x[rows, MW] . W[MW, MH]`` on vectors; no shuffle for weights of proven size, strips of them beyond it."""
+    if not _fits(weights, shape):
+        return _by_strips(df, weights, shape, vec)
     return dense_layers(df, [(weight_matrix(weights, shape), None, 1, 0)], vec)
 
 
 def mvau(
     df: DataFrame, weights: DataFrame, thresholds: DataFrame, shape: tuple[int, int], steps: int, out_scale: float = 1, out_bias: float = 0
 ) -> DataFrame:
-    """Product, then per-output thresholds."""
+    """Product, then per-output thresholds; tables of any size, as ``matmul``."""
+    if not _fits(weights, shape) or shape[1] * steps > MATRIX_ELEMENTS:
+        return _by_strips(df, weights, shape, "vec", lambda cells: multi_threshold(cells, thresholds, out_scale, out_bias, spread=("_row",)))
     layer = (weight_matrix(weights, shape), threshold_matrix(thresholds, shape[1], steps), out_scale, out_bias)
     return dense_layers(df, [layer])
 
 
+def _by_strips(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``matmul`` for weights no task should hold. Rows are known by a hash of all their columns, equal rows are multiplied once.
+
+    ``then`` maps the sums ``(_row, c, val)`` before they are put into vectors again.
+    """
+    named = df.withColumn("_row", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    wrong = F.col(vec).isNull() | (F.size(vec) != shape[0]) | F.exists(vec, lambda x: x.isNull())
+    stop = F.raise_error(F.lit(f"every vector must have {shape[0]} elements and no null")).cast(df.schema[vec].dataType)
+    once = named.select("_row", F.when(wrong, stop).otherwise(F.col(vec)).alias("vec")).dropDuplicates(["_row"])
+    sums = matmul_blocks(once, weights, shape[1], ["_row"], kind="double").select("_row", F.col("out_idx").alias("c"), F.col("acc").alias("val"))
+    sums = sums if then is None else then(sums)
+    ordered = F.array_sort(F.collect_list(F.struct("c", F.col("val").cast("long").alias("val"))))
+    vectors = sums.groupBy("_row").agg(F.transform(ordered, lambda s: s["val"]).alias("_out"))
+    joined = named.join(vectors, "_row")
+    return joined.select(*[c for c in df.columns if c != vec], F.col("_out").alias(vec))
+
+
 def matmul_cells(cells: DataFrame, weights: DataFrame, keys: Sequence[str] = ("row_id",), val: str = "val") -> DataFrame:
     """Sparse product on ``(…, i, val)``: join on the input index, sum per output.
 
@@ -136,21 +162,23 @@ def matmul_cells(cells: DataFrame, weights: DataFrame, keys: Sequence[str] = ("r
     return joined.groupBy(*keys, "out_idx").agg(F.sum(F.col(val).cast("long") * F.col("w")).alias("acc"))
 
 
-def matmul_blocks(df: DataFrame, weights: DataFrame, n_out: int, keys: Sequence[str] = ("row_id",), block: int = 32) -> DataFrame:
+def matmul_blocks(df: DataFrame, weights: DataFrame, n_out: int, keys: Sequence[str] = ("row_id",), block: int = 32, kind: str = "long") -> DataFrame:
     """Product on vectors inside the JVM: each input cell meets a strip of ``block`` weights.
 
     Rows grow by the number of strips and not by the number of outputs, and one vector's cells
-    are summed before the shuffle.
+    are summed before the shuffle. Every output is there, also one whose weights are all zero.
     """
     strips = weights.where("w <> 0").groupBy(F.col("in_idx").alias("i"), whole_div(F.col("out_idx"), block).cast("int").alias("ob")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("out_idx") % block).cast("int"), F.col("w").cast("long")))).alias("m")
-    ).select("i", "ob", F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: F.coalesce(F.col("m")[o], F.lit(0))).alias("ws"))
+        F.map_from_entries(F.collect_list(F.struct((F.col("out_idx") % block).cast("int"), F.col("w").cast(kind)))).alias("m")
+    ).select("i", "ob", F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: F.coalesce(F.col("m")[o], F.lit(0).cast(kind))).alias("ws"))
     cells = df.select(*keys, F.posexplode("vec").alias("i", "x"))
-    joined = param_join(cells, strips, ["i"], "left", spread=keys)
+    joined = param_join(cells, strips, ["i"], "inner", spread=keys).select(*keys, "ob", F.col("x").cast(kind).alias("x"), "ws")
+    none = F.lit(0).cast(kind)
+    every = df.select(*keys, F.explode(F.sequence(F.lit(0), F.lit((n_out - 1) // block))).alias("ob"), none.alias("x"), F.array_repeat(none, block).alias("ws"))
     width = min(block, n_out)
-    sums = joined.groupBy(*keys, "ob").agg(*[F.sum(F.col("x").cast("long") * F.col("ws")[o]).alias(f"a{o}") for o in range(width)])
-    flat = sums.select(*keys, F.posexplode(F.array(*[F.coalesce(f"a{o}", F.lit(0)) for o in range(width)])).alias("o", "acc"), "ob")
-    return flat.select(*keys, (F.coalesce("ob", F.lit(0)) * block + F.col("o")).alias("out_idx"), "acc").where(F.col("out_idx") < n_out)
+    sums = joined.unionByName(every).groupBy(*keys, "ob").agg(*[F.sum(F.col("x") * F.col("ws")[o]).alias(f"a{o}") for o in range(width)])
+    flat = sums.select(*keys, F.posexplode(F.array(*[F.col(f"a{o}") for o in range(width)])).alias("o", "acc"), "ob")
+    return flat.select(*keys, (F.col("ob") * block + F.col("o")).alias("out_idx"), "acc").where(F.col("out_idx") < n_out)
 
 
 def agreement(dot: Column, width: int) -> Column:
@@ -177,11 +205,15 @@ def xnor_matmul(df: DataFrame, weights: DataFrame, width: int, keys: Sequence[st
     return joined.groupBy(*keys, "out_idx").agg(F.sum(used - differing).cast("long").alias("acc"))
 
 
-def depthwise(cells: DataFrame, weights: DataFrame, bipolar_width: int | None = None) -> DataFrame:
+def depthwise(
+    cells: DataFrame, weights: DataFrame, bipolar_width: int | None = None, thresholds: DataFrame | None = None, out_scale: float = 1, out_bias: float = 0
+) -> DataFrame:
     """Per-channel product on windows ``(row_id, oh, ow, kh, kw, c, val)``; weights ``(c, kh, kw, w)``.
 
     ``bipolar_width`` is the kernel size when both sides are bipolar: agreements are returned.
+    With ``thresholds`` ``(c, step, t)`` the sums, or agreements, pass through them.
     """
     joined = param_join(cells, weights.select("c", "kh", "kw", "w"), ["c", "kh", "kw"], "inner", spread=("row_id", "oh", "ow"))
     out = joined.groupBy("row_id", "oh", "ow", "c").agg(F.sum(F.col("val").cast("long") * F.col("w")).alias("val"))
-    return out.withColumn("val", agreement(F.col("val"), bipolar_width)) if bipolar_width else out
+    out = out.withColumn("val", agreement(F.col("val"), bipolar_width)) if bipolar_width else out
+    return out if thresholds is None else multi_threshold(out, thresholds, out_scale, out_bias, spread=("row_id", "oh", "ow"))

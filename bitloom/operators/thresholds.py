@@ -20,7 +20,13 @@ def count_reached(x: Column, ts: Column) -> Column:
 
 
 def multi_threshold(
-    cells: DataFrame, thresholds: DataFrame, out_scale: float = 1, out_bias: float = 0, channel: str | None = "c", val: str = "val"
+    cells: DataFrame,
+    thresholds: DataFrame,
+    out_scale: float = 1,
+    out_bias: float = 0,
+    channel: str | None = "c",
+    val: str = "val",
+    spread: tuple[str, ...] = ("row_id",),
 ) -> DataFrame:
     """Apply per-channel thresholds to cells; ``channel=None`` shares one list with all channels.
 
@@ -32,7 +38,7 @@ def multi_threshold(
         joined = cells.withColumn("ts", shared.scalar())
     else:
         arrays = threshold_arrays(thresholds.withColumnRenamed("c", channel), (channel,))
-        joined = param_join(cells, arrays, [channel], "left")
+        joined = param_join(cells, arrays, [channel], "left", spread=spread)
     y = count_reached(F.col(val), F.col("ts")) * F.lit(out_scale) + F.lit(out_bias)
     return joined.withColumn(val, y).select(*cells.columns)
 

@@ -129,6 +129,16 @@ def _(spark, sf):
     return MM.depthwise(N.im2col(signs, (4, 4), (3, 3)), _taps(spark, 3, 3, 4, True), bipolar_width=9)
 
 
+@query(
+    "a4_depthwise_threshold",
+    f"""WITH {image_sql(4, 4)}, {windows_sql(4, 3)}, s AS (SELECT row_id, oh, ow, c, sum(val * ((c*5 + kh*3 + kw*7) % 5 - 2))::BIGINT AS x FROM win GROUP BY row_id, oh, ow, c),
+t AS (SELECT c, -112 + 16*s + (c % 3) AS t FROM range(4) a(c), range(15) b(s))
+SELECT row_id, oh, ow, c, (SELECT count(*) FROM t WHERE t.c = s.c AND t <= x) - 8 AS val FROM s""",
+)
+def _(spark, sf):
+    return MM.depthwise(N.im2col(image(spark, sf, 4, 4), (4, 4), (3, 3)), _taps(spark, 3, 3, 4), thresholds=step_thresholds(spark, 4), out_bias=-8)
+
+
 @query("a5_global_sum_pool", f"WITH {image_sql(4, 4)} SELECT row_id, c, sum(val)::BIGINT AS val FROM px GROUP BY row_id, c")
 def _(spark, sf):
     return N.global_acc_pool(image(spark, sf, 4, 4))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bitloom import sizing
-from bitloom.operators import elementwise, features, inventory, matmul, thresholds
+from bitloom.operators import elementwise, features, inventory, matmul, spatial, thresholds
 from bitloom.operators.scans import block_scan, row_numbers
 from bitloom.sizing import param_join
 
@@ -102,11 +102,22 @@ def test_lookup_paths_agree(spark, monkeypatch):
         elementwise.lookup(df, "idx", emb).collect()
 
 
-def test_large_weights_are_refused_dense_but_not_sparse(spark, monkeypatch):
-    w = spark.range(40).selectExpr("CAST(id DIV 4 AS INT) in_idx", "CAST(id % 4 AS INT) out_idx", "CAST(id % 3 - 1 AS INT) w")
+def test_large_weights_go_by_strips(spark, monkeypatch):
+    # input 9 and output 3 have zero weights only, and two rows are equal
+    w = spark.range(40).selectExpr("CAST(id DIV 4 AS INT) in_idx", "CAST(id % 4 AS INT) out_idx").selectExpr("*", "if(in_idx = 9 OR out_idx = 3, 0, (in_idx + 2 * out_idx) % 3 - 1) AS w")
+    t = spark.range(12).selectExpr("CAST(id DIV 3 AS INT) c", "CAST(id % 3 AS INT) step", "CAST(3 * (id % 3) - 4 AS DOUBLE) t")
+    rows = spark.range(40).selectExpr("if(id = 39, 38, id) AS row_id", "transform(sequence(0, 9), i -> (if(id = 39, 38, id) * 7 + i * i) % 11 - 5) AS vec")
+    dense = matmul.matmul(rows, w, (10, 4)).collect(), matmul.mvau(rows, w, t, (10, 4), 3, 2, -1).collect()
     monkeypatch.setattr(matmul, "MATRIX_ELEMENTS", 30)
-    with pytest.raises(ValueError):
-        matmul.weight_matrix(w, (10, 4))
+    strips = matmul.matmul(rows, w, (10, 4)).collect(), matmul.mvau(rows, w, t, (10, 4), 3, 2, -1).collect()
+    assert [sorted(map(tuple, d)) for d in dense] == [sorted(map(tuple, s)) for s in strips]
+    assert len(strips[0]) == 40
+    with pytest.raises(Exception, match="10 elements"):
+        matmul.matmul(rows.withColumn("vec", F.slice("vec", 1, 9)), w, (10, 4)).collect()
+
+
+def test_sparse_weights_of_any_size(spark, monkeypatch):
+    w = spark.range(40).selectExpr("CAST(id DIV 4 AS INT) in_idx", "CAST(id % 4 AS INT) out_idx", "CAST(id % 3 - 1 AS INT) w")
     cells = spark.range(200).selectExpr("id DIV 10 AS row_id", "CAST(id % 10 AS INT) i", "id % 7 AS val")
     small = matmul.matmul_cells(cells, w)
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 3)
@@ -136,6 +147,50 @@ def test_cycle_is_reported(spark):
         inventory.critical_path(nodes, edges.unionByName(back)).collect()
 
 
+@pytest.mark.parametrize("max_size", [1, 1000])
+def test_bad_graphs_are_reported_on_both_ways(spark, max_size):
+    nodes, edges = graph(spark)
+    for src, dst in ((99, 3), (3, 99)):
+        lost = spark.createDataFrame([("m0", src, dst)], "model_id string, src int, dst int")
+        with pytest.raises(Exception, match="edge without its"):
+            inventory.critical_path(nodes, edges.unionByName(lost), max_size=max_size).collect()
+    back = spark.createDataFrame([("m0", 19, 0)], "model_id string, src int, dst int")
+    with pytest.raises(Exception, match="cycle"):
+        inventory.critical_path(nodes, edges.unionByName(back), max_size=max_size).collect()
+
+
+def holed(spark):
+    """Images of 3x3 and two channels that lack cells, also the first."""
+    cells = spark.range(3 * 18).selectExpr("id DIV 18 AS row_id", "CAST(id % 18 DIV 6 AS INT) h", "CAST(id % 6 DIV 2 AS INT) w", "CAST(id % 2 AS INT) c", "id % 13 - 6 AS val")
+    return cells.where("NOT (row_id = 1 AND h < 2 AND w < 2) AND NOT (row_id = 2 AND (h = 0 OR c = 0 AND w = 1))")
+
+
+def test_padding_gives_the_full_grid(spark):
+    cells = holed(spark)
+    known = {(r.row_id, r.h, r.w, r.c): r.val for r in cells.collect()}
+    padded = {(r.row_id, r.h, r.w, r.c): r.val for r in spatial.pad2d(cells, (1, 0, 2, 1), (3, 3)).collect()}
+    assert padded == {(r, h, w, c): known.get((r, h - 1, w, c), 0) for r in range(3) for h in range(6) for w in range(4) for c in range(2)}
+    wide = {(r.row_id, r.h, r.w, r.c): r.val for r in spatial.pixel_pad(cells, (2, 3), (3, 3)).collect()}
+    assert wide == {
+        (r, h, w, c): known.get((r, h // 2, w // 3, c), 0) if h % 2 == 0 and w % 3 == 0 else 0 for r in range(3) for h in range(5) for w in range(7) for c in range(2)
+    }
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_convolution_gives_every_output(spark, monkeypatch, held):
+    cells = holed(spark)
+    known = {(r.row_id, r.h, r.w, r.c): r.val for r in cells.collect()}
+    w = spark.range(24).selectExpr("CAST(id DIV 12 AS INT) kh", "CAST(id % 12 DIV 6 AS INT) kw", "CAST(id % 6 DIV 3 AS INT) c", "CAST(id % 3 AS INT) out_idx", "CAST(id * 5 % 7 - 3 AS INT) w")
+    taps = [tuple(r) for r in w.collect()]
+    if not held:
+        monkeypatch.setattr(spatial, "MATRIX_ELEMENTS", 3)
+    got = {(r.row_id, r.oh, r.ow, r.out_idx): r.val for r in spatial.conv2d(cells, w, (3, 3), (2, 2), stride=(2, 1), pads=(1, 0, 0, 1)).collect()}
+    assert got == {
+        (r, oh, ow, o): sum(known.get((r, oh * 2 + kh - 1, ow + kw, c), 0) * x for kh, kw, c, out, x in taps if out == o)
+        for r in range(3) for oh in range(2) for ow in range(3) for o in range(3)
+    }
+
+
 @pytest.mark.parametrize("partitions", [1, 8, 64])
 def test_same_result_for_any_partition_count(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
