@@ -25,19 +25,20 @@ l AS (SELECT l_linenumber, {idx} AS idx FROM lineitem)
 SELECT l_linenumber::BIGINT AS l_linenumber, count(*) AS n, sum(s.s)::BIGINT AS total{extra} FROM l JOIN s ON s.row_id = CASE WHEN idx >= (SELECT n FROM n) THEN 0 ELSE idx END GROUP BY 1"""
 
 
-@query("j1_lookup_row0", _lookup_sql("l_partkey % 600", ", (count(*) FILTER (idx >= (SELECT n FROM n)))::BIGINT AS n_out_of_range"))
+@query("j1_lookup_row0", _lookup_sql("l_partkey % (SELECT count(*) + count(*) // 5 FROM embeddings)", ",(count(*) FILTER (idx >= (SELECT n FROM n)))::BIGINT AS n_out_of_range"))
 def _(spark, sf):
     emb = vectors(spark, sf).select(F.col("row_id").alias("idx"), "vec")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 600).alias("idx"))
+    n = emb.count()  # a sixth of the indexes lies beyond the table
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % (n + n // 5)).alias("idx"))
     hit = E.lookup(li, "idx", emb, "row0", spread=["l_orderkey"])
     total = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x)
     return hit.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.sum("oob").alias("n_out_of_range"))
 
 
-@query("j1_lookup_checked", _lookup_sql("l_partkey % 500", ""))
+@query("j1_lookup_checked", _lookup_sql("l_partkey % (SELECT count(*) FROM embeddings)", ""))
 def _(spark, sf):
     emb = vectors(spark, sf).select(F.col("row_id").alias("idx"), "vec")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("idx"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % emb.count()).alias("idx"))
     hit = E.lookup(li, "idx", emb, spread=["l_orderkey"])
     total = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x)
     return hit.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum(total).alias("total"))

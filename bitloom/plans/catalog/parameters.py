@@ -142,12 +142,12 @@ def _(spark, sf):
 
 @query(
     "p10_collapse_affine",
-    f"""WITH {BASE}, x AS (SELECT model_id, layer_id, channel, w * 0.25::DOUBLE AS val, in_idx AS pos FROM wt WHERE in_idx < 4),
+    f"""WITH {BASE}, x AS (SELECT model_id, layer_id, wt.channel * 16 + in_idx // 4 AS channel, w * 0.25::DOUBLE AS val, in_idx % 4 AS pos FROM wt),
 p AS (SELECT model_id, layer_id, channel, max(val) FILTER (pos = 0) AS a0, max(val) FILTER (pos = 1) AS m1, max(val) FILTER (pos = 2) AS a2, max(val) FILTER (pos = 3) AS m3 FROM x GROUP BY 1, 2, 3)
 SELECT model_id, layer_id, channel, 1.0::DOUBLE * m1 * m3 + 0 AS mul, ((0.0::DOUBLE + a0) * m1 + a2) * m3 + 0 AS "add" FROM p""",
 )
 def _(spark, sf):
-    chain = weights(spark, sf).where("in_idx < 4").selectExpr("model_id", "layer_id", "out_idx AS channel", "in_idx AS pos", "if(in_idx % 2 = 0, 'add', 'mul') AS op", "w * 0.25D AS val")
+    chain = weights(spark, sf).selectExpr("model_id", "layer_id", "out_idx * 16 + in_idx DIV 4 AS channel", "in_idx % 4 AS pos", "if(in_idx % 2 = 0, 'add', 'mul') AS op", "w * 0.25D AS val")
     out = P.collapse_affine(chain)
     return out.withColumn("mul", F.col("mul") + 0).withColumn("add", F.col("add") + 0)
 
@@ -195,9 +195,10 @@ def _(spark, sf):
     return P.validate_thresholds(thresholds(spark, sf), steps, integral=False).drop("steps", "unsigned")
 
 
-@query("p15_tile_channels", f"WITH {BASE} SELECT model_id, layer_id, k AS channel, step, t FROM tt, range(8) r(k) WHERE channel = 0")
+@query("p15_tile_channels", f"WITH {BASE} SELECT model_id, tt.layer_id * 4 + tt.channel AS layer_id, k AS channel, step, t FROM tt, range(8) r(k)")
 def _(spark, sf):
-    return P.tile_channels(thresholds(spark, sf).where("channel = 0").drop("channel"), 8).select("model_id", "layer_id", "channel", "step", "t")
+    one_row = thresholds(spark, sf).withColumn("layer_id", F.col("layer_id") * 4 + F.col("channel")).drop("channel")
+    return P.tile_channels(one_row, 8).select("model_id", "layer_id", "channel", "step", "t")
 
 
 _WIDTH = """(CASE WHEN {lo} >= 0 THEN (SELECT greatest(min(b), 1) FROM range(65) r(b) WHERE {hi} + 1 <= pow(2, b))

@@ -46,7 +46,7 @@ def _(spark, sf):
 
 
 def trace(spark, sf):
-    e = table(spark, sf, "events").where("event_type <> 'error'")
+    e = table(spark, sf, "events")
     first = table(spark, sf, "events").agg(F.min(clock_micros(F.col("ts")))).scalar()
     kind = F.when(F.col("event_type").isin("purchase", "view"), "TVALID").otherwise("TREADY")
     t = F.floor((clock_micros(F.col("ts")) - first) / 1000000) * 20
@@ -56,7 +56,7 @@ def trace(spark, sf):
 
 
 TRACE = """tr AS (SELECT 'u' || user_id || '_' || CASE WHEN event_type IN ('purchase', 'view') THEN 'TVALID' ELSE 'TREADY' END AS signal,
-  (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 * 20 AS t, max(event_id) % 2 AS val FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
+  (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 1000000 * 20 AS t, max(event_id) % 2 AS val FROM events GROUP BY 1, 2),
 both_if AS (SELECT left(signal, length(signal) - 6) AS iface FROM tr GROUP BY 1 HAVING count(DISTINCT right(signal, 6)) = 2)"""
 STATS = TRACE + """,
 ev AS (SELECT left(signal, length(signal) - 6) AS iface, substr(right(signal, 6), 2, 1) AS kind, t, val, 0 AS mark FROM tr),
@@ -103,7 +103,7 @@ def _(spark, sf):
 
 
 PERIOD = 48
-FLOW = f"""tx AS (SELECT DISTINCT user_id AS id, event_type IN ('click', 'view') AS p, (event_id * 7) % {PERIOD} AS cycle FROM events WHERE event_type <> 'error'),
+FLOW = f"""tx AS (SELECT DISTINCT user_id AS id, event_type IN ('click', 'view') AS p, (event_id * 7) % {PERIOD} AS cycle FROM events),
 ids AS (SELECT DISTINCT id, p FROM tx),
 one AS (SELECT id, p, t, (SELECT count(*) FROM tx WHERE tx.id = ids.id AND tx.p = ids.p AND cycle <= t) AS level FROM ids, range({PERIOD}) r(t)),
 tot AS (SELECT id, p, max(level) AS total FROM one GROUP BY 1, 2),
@@ -111,8 +111,8 @@ fl AS (SELECT id, p, t + k * {PERIOD} AS t, level + k * total AS level FROM one
 
 
 def flow(spark, sf, producer: bool):
-    kinds = "('click', 'view')" if producer else "('purchase', 'signup')"
-    tx = table(spark, sf, "events").where(f"event_type IN {kinds}").selectExpr("user_id AS stream_id", f"event_id * 7 % {PERIOD} AS cycle")
+    side = "IN" if producer else "NOT IN"
+    tx = table(spark, sf, "events").where(f"event_type {side} ('click', 'view')").selectExpr("user_id AS stream_id", f"event_id * 7 % {PERIOD} AS cycle")
     return V.cumulative_flow(tx, PERIOD)
 
 

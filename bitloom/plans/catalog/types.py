@@ -113,18 +113,18 @@ _BYTES = "list_transform(vec, lambda x: lpad(lower(to_hex((x + 256) % 256)), 2,
     "t10_pack",
     f"""WITH {V} SELECT row_id, array_to_string({_BYTES}, '') AS int8_hex, array_to_string(list_reverse({_BYTES}), '') AS reversed_hex,
   lower(hex(from_binary(lpad(array_to_string(list_transform(vec, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), ''), 72, '0')))) AS bipolar_hex,
-  lower(hex(from_binary(array_to_string(list_transform(vec[:8], lambda x: lpad(bin((x + 128) % 128), 7, '0')), '')))) AS int7_hex FROM v""",
+  lower(hex(from_binary(array_to_string(list_transform(vec, lambda x: lpad(bin((x + 128) % 128), 7, '0')), '')))) AS int7_hex FROM v""",
 )
 def _(spark, sf):
     v = vectors(spark, sf)
     signs = F.transform("vec", S.sign_bipolar)
-    wrapped = F.transform(F.slice("vec", 1, 8), lambda x: F.when(F.pmod(x, F.lit(128)) >= 64, F.pmod(x, F.lit(128)) - 128).otherwise(F.pmod(x, F.lit(128))))
+    wrapped = F.transform("vec", lambda x: F.when(F.pmod(x, F.lit(128)) >= 64, F.pmod(x, F.lit(128)) - 128).otherwise(F.pmod(x, F.lit(128))))
     return v.select(
         "row_id",
         P.pack_hex(F.col("vec"), INT8, 512).alias("int8_hex"),
         P.pack_hex(F.col("vec"), INT8, 512, reverse_endian=True).alias("reversed_hex"),
         P.pack_hex(signs, QuantType.parse("BIPOLAR"), 72).alias("bipolar_hex"),
-        P.pack_hex(wrapped, QuantType.parse("INT7"), 56).alias("int7_hex"),
+        P.pack_hex(wrapped, QuantType.parse("INT7"), 448).alias("int7_hex"),
     )
 
 
