@@ -5,8 +5,8 @@ has fewer tokens (times the epochs allowed), goes to its siblings by their weigh
 stays with the parent's siblings. Each leaf then gives its documents in the order of a seeded hash: whole epochs, and of the last
 epoch the prefix that reaches the budget.
 
-The prefix of a leaf of any size is found in two steps: token sums by the first digits of the hash, then the order
-inside the one slot where the budget ends. Only ids, tokens and paths are shuffled.
+The prefix of a leaf of any size is found in two steps: token sums by slots, the first digits of the hash, then the order
+inside each slot, which begins where the slots before it end. Only ids, tokens and paths are shuffled.
 
 Defined results: a null or empty path part is ``(none)``; a null text has no tokens; rows that repeat an id in a leaf
 are weighed together and stay together; a node without a weight has the default weight, one with a weight of 0 or less gets no tokens;
@@ -90,17 +90,11 @@ def mix(
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     keyed = rows.join(plan, list(path)).withColumn("key", key).withColumn("slot", F.substring("key", 1, SLOT_DIGITS))
     keyed = stored(keyed, "keyed")
-    slots = keyed.groupBy(*path, "slot").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    running = F.sum("n").over(W.partitionBy(*path).orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow))
-    slots = slots.withColumn("upto", running)
-    # the slot in which the prefix ends: the last that begins below the budget
-    ends = slots.filter(F.col("upto") - F.col("n") < F.col("rest")).groupBy(*path).agg(F.max(F.struct("slot", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
-    keyed = keyed.join(ends, list(path), "left")
-    inside = F.col("slot") == F.col("end.slot")
-    order = W.partitionBy(*path, "part").orderBy("key", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = keyed.filter(inside).withColumn("part", F.col("slot"))
-    last = last.withColumn("first", F.sum("tokens").over(order) - F.col("tokens") + F.col("end.before"))
-    last = last.withColumn("extra", (F.col("first") < F.col("rest")).cast("int")).drop("part", "first")
-    other = keyed.filter(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.coalesce((F.col("slot") < F.col("end.slot")).cast("int"), F.lit(0)))
-    out = last.unionByName(other).withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
+    slots = keyed.groupBy(*path, "slot").agg(F.sum("tokens").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*path).orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    # rows and sums meet by leaf and slot, so the join and the order below share one shuffle and no leaf lies in one task
+    placed = keyed.join(slots.withColumn("before", before).drop("n"), [*path, "slot"])
+    order = W.partitionBy(*path, "slot").orderBy("key", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = F.sum("tokens").over(order) - F.col("tokens") + F.col("before")
+    out = placed.withColumn("first", first).withColumn("copies", F.col("whole") + (F.col("first") < F.col("rest")).cast("long"))
     return out.filter("copies > 0").select(F.col("id").alias(id_col), *path, "tokens", "copies")
