@@ -1,7 +1,8 @@
 """Running values over long ordered groups without sorting a whole group in one task.
 
-A group is cut into blocks of its integer order; each block is scanned by its own task, block
-totals (one row per block) are scanned next, and the carry is joined back on the block.
+A group is cut into blocks of its integer order and each block is scanned by its own task. The
+block totals are scanned the same way, in groups of blocks, so that order values with any gaps
+leave at most 2^20 values, 2^22 blocks or 2^22 groups of blocks to one task.
 """
 
 from __future__ import annotations
@@ -11,8 +12,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: a block spans 2^20 order values
+#: a block spans 2^20 order values, a group 2^22 blocks
 BLOCK_BITS = 20
+GROUP_BITS = 22
+ORDER_BITS = 64
+
+
+def _same_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row of ``other`` per key to each row; a null key is a key."""
+    named = other.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(named, on).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
+def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str], lasts: Sequence[str], bits: int) -> DataFrame:
+    """``_far_*``: what all blocks of a key before block ``_blk`` add up to; a block spans ``2^bits`` order values."""
+    top = bits + GROUP_BITS >= ORDER_BITS
+    work = totals if top else totals.withColumn("_grp", F.shiftright("_blk", GROUP_BITS))
+    place = [*keys] if top else [*keys, "_grp"]
+    past = Window.partitionBy(*place).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    near = work.select(
+        *place,
+        "_blk",
+        *[F.coalesce(F.sum(f"_tot_{n}").over(past), F.lit(0)).alias(f"_far_{n}") for n in sums],
+        *[F.last(f"_tot_{n}", ignorenulls=True).over(past).alias(f"_far_{n}") for n in lasts],
+    )
+    if top:
+        return near
+    groups = work.groupBy(*place).agg(
+        *[F.sum(f"_tot_{n}").alias(f"_tot_{n}") for n in sums],
+        *[F.max_by(F.col(f"_tot_{n}"), F.when(F.col(f"_tot_{n}").isNotNull(), F.struct("_blk"))).alias(f"_tot_{n}") for n in lasts],
+    )
+    outer = _before(groups.withColumnRenamed("_grp", "_blk"), keys, sums, lasts, bits + GROUP_BITS)
+    outer = outer.withColumnsRenamed({"_blk": "_grp"} | {f"_far_{n}": f"_out_{n}" for n in [*sums, *lasts]})
+    joined = _same_keys(near, outer, place)
+    return joined.select(
+        *keys,
+        "_blk",
+        *[(F.col(f"_far_{n}") + F.col(f"_out_{n}")).alias(f"_far_{n}") for n in sums],
+        *[F.coalesce(f"_far_{n}", f"_out_{n}").alias(f"_far_{n}") for n in lasts],
+    )
 
 
 def block_scan(
@@ -49,14 +90,8 @@ def block_scan(
             for n in lasts
         ],
     )
-    far = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        "_blk",
-        *[F.sum(f"_tot_{n}").over(far).alias(f"_far_{n}") for n in sums],
-        *[F.last(f"_tot_{n}", ignorenulls=True).over(far).alias(f"_far_{n}") for n in lasts],
-    )
-    joined = local.join(carry, keys + ["_blk"])
+    carry = _before(totals, keys, list(sums), list(lasts), block_bits)
+    joined = _same_keys(local, carry, keys + ["_blk"])
     zero = F.lit(0)
     out = [F.col(c) for c in df.columns]
     out += [(F.coalesce(f"_near_{n}", zero) + F.coalesce(f"_far_{n}", zero)).alias(n) for n in sums]

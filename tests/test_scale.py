@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bitloom import sizing
-from bitloom.operators import elementwise, features, inventory, matmul, spatial, thresholds
+from bitloom.operators import elementwise, features, inventory, matmul, scans, spatial, thresholds
 from bitloom.operators.scans import block_scan, row_numbers
 from bitloom.sizing import param_join
 
@@ -68,6 +68,19 @@ def test_row_numbers_without_keys(spark):
     assert same(got, want.withColumn("seq", F.col("seq").cast("long")))
 
 
+@pytest.mark.parametrize("group", [2, 22])
+def test_scan_of_sparse_orders_and_null_keys(spark, monkeypatch, group):
+    monkeypatch.setattr(scans, "GROUP_BITS", group)
+    monkeypatch.setattr(scans, "ORDER_BITS", 12 if group == 2 else 64)
+    gap = 3 if group == 2 else 1 << 52
+    df = spark.range(600).selectExpr(f"(id - 300) * {gap} AS at", "if(id % 3 = 0, NULL, id % 5) AS k", "if(id % 7 < 5, NULL, id) AS x", "id % 11 - 5 AS val")
+    got = block_scan(df, ["k"], ["at"], {"total": F.col("val")}, {"seen": F.col("x")}, block_bits=4 if group == 2 else 20)
+    w = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    assert same(got, df.withColumn("total", F.sum("val").over(w)).withColumn("seen", F.last("x", True).over(w)))
+    numbered = row_numbers(df.select("at"), [], ["at"])
+    assert {r["at"]: r["seq"] for r in numbered.collect()} == {(i - 300) * gap: i for i in range(600)}
+
+
 def test_range_ranked_vocabulary(spark):
     words = spark.range(500).selectExpr("'w' AS column", "concat(chr(CAST(97 + id % 7 AS INT)), id) AS value").unionByName(
         spark.createDataFrame([("w", ""), ("w", "a"), ("w", "zz")], "column string, value string")
