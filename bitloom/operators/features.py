@@ -21,8 +21,8 @@ def string_columns(df: DataFrame) -> list[str]:
 def label_vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: position of each value among the sorted distinct values of its column.
 
-    All columns are read in one pass. A vocabulary too long for one sort per column is sorted
-    by range over all tasks.
+    All columns are read in one pass, and the distinct values are stored. A vocabulary too long for
+    one sort per column is sorted by range over all tasks.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
     distinct = cut_lineage(df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where("value IS NOT NULL").distinct())
@@ -50,7 +50,7 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None, vocabulary: D
     cols = string_columns(df) if cols is None else list(cols)
     if not cols:
         return df
-    vocabulary = cut_lineage(label_vocabulary(df, cols)) if vocabulary is None else vocabulary
+    vocabulary = label_vocabulary(df, cols) if vocabulary is None else vocabulary
     out = df
     for c in cols:
         one = vocabulary.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"_{c}"))
@@ -185,7 +185,7 @@ def feature_job(
     projection needs no shuffle.
     """
     text = [c for c in string_columns(df) if c in cols]
-    vocabulary = cut_lineage(label_vocabulary(df, text)) if text else None
+    vocabulary = label_vocabulary(df, text) if text else None
     stats = column_stats(df, [c for c in cols if c not in text]) | (code_stats(vocabulary) if text else {})
     encoded = label_encode(df.select(*keep, *cols), text, vocabulary)
     ready = quantize_columns(encoded, cols, stats)

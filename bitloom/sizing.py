@@ -15,9 +15,10 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 #: most weights that may be held by every task as one matrix
 MATRIX_ELEMENTS = 4_000_000
-#: a key with more rows than this is hot; its rows are shared by SALTS tasks
+#: a key with more rows than this is hot; it gets PIECES salts for each so many rows, since several
+#: salts may hash to one task and small pieces even that out
 HOT_ROWS = 2_000_000
-SALTS = 32
+PIECES = 4
 
 
 def rows_at_most(df: DataFrame, n: int) -> bool:
@@ -67,21 +68,26 @@ def param_join(
     """Join data with a parameter table on a key of few values.
 
     A table proven small is broadcast. A larger one is joined by shuffle. Keys with more than
-    ``hot_rows`` rows of data are then shared by several tasks: their rows get a salt from the
-    ``spread`` columns and their parameter rows are copied once per salt. Other keys are not copied.
+    ``hot_rows`` rows of data are then shared by as many tasks as their count asks for: their rows
+    get a salt from the ``spread`` columns and their parameter rows are copied once per salt. Other
+    keys are not copied. Many rows without a key, which meet no parameter, are spread the same way.
     """
     on = list(on)
     if fits_broadcast(params, BROADCAST_ROWS if max_rows is None else max_rows):
         return df.join(F.broadcast(params), on, how)
     limit = HOT_ROWS if hot_rows is None else hot_rows
     # at most one row per ``limit`` rows of data
-    hot = cut_lineage(df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.lit(1).alias("_hot")))
+    counted = df.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = cut_lineage(counted.select(*on, F.ceil(F.col("_n") * PIECES / limit).cast("int").alias("_salts")))
     if hot.isEmpty():
         return df.join(params, on, how)
+    keyless = F.lit(False)
+    for c in on:
+        keyless = keyless | F.col(c).isNull()
+    lost = hot.where(keyless).agg(F.coalesce(F.max("_salts"), F.lit(1))).scalar()
     small = fits_broadcast(hot, BROADCAST_ROWS)
     marked = [d.join(F.broadcast(hot) if small else hot, on, "left") for d in (df, params)]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SALTS))
-    salted = marked[0].withColumn("_salt", F.when(F.col("_hot") == 1, salt).otherwise(0).cast("int")).drop("_hot")
-    all_salts, one = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))
-    copies = marked[1].withColumn("_salt", F.explode(F.when(F.col("_hot") == 1, all_salts).otherwise(one))).drop("_hot")
+    salts = F.when(keyless, lost).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = marked[0].withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts).cast("int")).drop("_salts")
+    copies = marked[1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return salted.join(copies, on + ["_salt"], how).drop("_salt")

@@ -44,6 +44,13 @@ def test_salted_join_spreads_a_hot_key(spark):
     assert sum(sizes) >= 10000 and max(sizes) < 0.6 * sum(sizes)
 
 
+def test_salted_join_keeps_rows_without_key(spark):
+    df = hot(spark).withColumn("c", F.when(F.col("row_id") % 3 > 0, F.col("c")))
+    params = spark.range(0, 17, 2).selectExpr("CAST(id AS INT) AS c", "id * 5 AS p")
+    small = param_join(df, params, ["c"], "left")
+    assert small.count() == 3000 and same(small, param_join(df, params, ["c"], "left", max_rows=1, hot_rows=100))
+
+
 def test_wide_rows_are_not_broadcast(spark, monkeypatch):
     params = spark.range(20).selectExpr("CAST(id AS INT) AS c", "sequence(1, 1000) AS ts")
     assert sizing.fits_broadcast(params, 100)
