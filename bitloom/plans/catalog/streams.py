@@ -44,17 +44,23 @@ def _(spark, sf):
 @query(
     "e5_swap_params",
     f"""WITH {V}, q AS (SELECT row_id, unnest(range(64)) AS i, unnest(vec) AS x FROM v)
-SELECT row_id, i, (CASE WHEN x >= 5 THEN 1 ELSE 0 END)::BIGINT AS val FROM q""",
+SELECT row_id, i, (CASE WHEN x >= CASE WHEN row_id % 2 = 0 THEN 100 ELSE 5 END THEN 1 ELSE 0 END)::BIGINT AS val, 1 + row_id % 2 AS version FROM q""",
 )
 def _(spark, sf):
-    root = scratch_path(spark, "params")
-    for version, t in ((1, 100.0), (2, 5.0)):
-        spark.range(1).selectExpr("0 AS step", f"{t}D AS t").write.parquet(f"{root}/version={version}")
+    """Even rows come first; the second version appears while the stream stands between two micro-batches."""
+    root, path = scratch_path(spark, "params"), scratch_path(spark, "swap")
     cells = vectors(spark, sf).select("row_id", F.posexplode("vec").alias("i", "val"))
     out, state = _paths(spark, "swap")
-    stream = as_stream(spark, cells, "swap")
-    J.score_with_params(stream, lambda: J.latest_params(spark, root), lambda b, p: TH.multi_threshold(b, p, channel=None), out, state).awaitTermination()
-    return spark.read.parquet(out).select("row_id", "i", "val")
+
+    def chain(batch, params):
+        return TH.multi_threshold(batch.withColumn("version", params.agg(F.max("version")).scalar()), params, channel=None)
+
+    for version, t in ((1, 100.0), (2, 5.0)):
+        J.publish_params(spark.range(1).selectExpr("0 AS step", f"{t}D AS t"), root, version)
+        cells.where(F.col("row_id") % 2 == version - 1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(cells.schema).parquet(path)
+        J.score_with_params(stream, lambda: J.latest_params(spark, root), chain, out, state).awaitTermination()
+    return spark.read.parquet(out).select("row_id", "i", "val", "version")
 
 
 _CHUNKS = f"""WITH {WORDS}, c AS (SELECT stream_id, seq * 4 + k AS pos, (word >> (k * 8)) & 255 AS x FROM words, range(4) r(k)),

@@ -24,14 +24,19 @@ from ..operators.integrity import MODULUS, frame_terms
 Chain = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def score_stream(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, order: str = "row_id", keys: tuple[str, ...] = ()) -> StreamingQuery:
+def score_stream(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, order: str = "row_id", keys: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
     """Score each micro-batch and append it, ordered per key inside every file."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = chain(batch).withColumn("batch", F.lit(batch_id))
         _replace_batch(scored.sortWithinPartitions(*keys, order), out, batch_id)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
+
+
+def _when(trigger: dict | None) -> dict:
+    """The given trigger, such as ``{"processingTime": "1 minute"}``; by default a query ends with what is there."""
+    return {"availableNow": True} if trigger is None else trigger
 
 
 def _replace_batch(df: DataFrame, out: str, batch_id: int) -> None:
@@ -39,20 +44,33 @@ def _replace_batch(df: DataFrame, out: str, batch_id: int) -> None:
     df.drop("batch").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
 
-def score_with_params(stream: DataFrame, read_params: Callable[[], DataFrame], chain: Chain, out: str, checkpoint: str) -> StreamingQuery:
+def score_with_params(stream: DataFrame, read_params: Callable[[], DataFrame], chain: Chain, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """As ``score_stream`` with parameters read anew for every micro-batch, so they can be swapped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         _replace_batch(chain(batch, read_params()), out, batch_id)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
+
+
+def publish_params(params: DataFrame, root: str, version: int) -> None:
+    """Write a version, compare what was written with what was given, and only then name it as readable.
+
+    Readers go by the list of published versions, so a version that is still being written, or
+    whose writing failed, is never read. The same version must not be published twice.
+    """
+    spark, path = params.sparkSession, f"{root}/rows/version={version}"
+    params.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(params.schema).parquet(path)
+    if not params.exceptAll(written).isEmpty() or not written.exceptAll(params).isEmpty():
+        raise ValueError(f"version {version} is not as given")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{root}/published")
 
 
-def latest_params(spark, root: str, version_col: str = "version") -> DataFrame:
-    """The newest version of a table written below ``root/version=N``."""
-    table = spark.read.parquet(root)
-    newest = table.agg(F.max(version_col)).scalar()
-    return table.where(F.col(version_col) == newest).drop(version_col)
+def latest_params(spark, root: str) -> DataFrame:
+    """The newest published version, read when this is called; its number is the column ``version``."""
+    newest = spark.read.parquet(f"{root}/published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/rows/version={newest}").withColumn("version", F.lit(newest))
 
 
 class _OpenFrame(StatefulProcessor):
@@ -162,13 +180,13 @@ def throughput_windows(events: DataFrame, ts: str, width: str, by: tuple[str, ..
     )
 
 
-def keep_latest(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def keep_latest(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write the changed rows of a running aggregate, one partition per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         _replace_batch(batch, out, batch_id)
 
-    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
 
 
 def read_latest(spark, out: str, key: tuple[str, ...]) -> DataFrame:
@@ -183,7 +201,7 @@ def dropped_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def fan_out(stream: DataFrame, paths: list[str], checkpoint: str) -> StreamingQuery:
+def fan_out(stream: DataFrame, paths: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """The same micro-batch for several consumers."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -192,7 +210,7 @@ def fan_out(stream: DataFrame, paths: list[str], checkpoint: str) -> StreamingQu
             _replace_batch(batch, p, batch_id)
         batch.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
 
 
 @contextmanager
