@@ -76,9 +76,19 @@ def compare(expected: DataFrame, got: DataFrame, item: str = "row_id", cell: Seq
     return per.withColumn("status", F.when(F.col("n_bad") == 0, "SUCCESS").otherwise("FAIL"))
 
 
-def verify_stages(stages: dict[str, tuple[DataFrame, DataFrame]], item: str = "row_id", cell: Sequence[str] = ("i",)) -> DataFrame:
-    """``compare`` for each named stage, as one table."""
-    parts = [compare(e, g, item, cell).withColumn("stage", F.lit(name)) for name, (e, g) in stages.items()]
+def compare_rows(expected: DataFrame, got: DataFrame, item: str = "row_id", vec: str = "vec", atol: float = 1e-3) -> DataFrame:
+    """As ``compare`` for one array per item: rows are joined, not elements. A shorter or absent array lacks its cells."""
+    none = F.array().cast("array<double>")
+    both = expected.select(item, F.col(vec).alias("_e")).join(got.select(item, F.col(vec).alias("_g")), item, "full_outer")
+    e, g = [F.coalesce(F.col(c).cast("array<double>"), none) for c in ("_e", "_g")]
+    far = F.filter(F.zip_with(e, g, lambda x, y: F.coalesce(is_close(x, y, atol), F.lit(False))), lambda ok: ~ok)
+    counted = both.select(item, F.greatest(F.size(e), F.size(g)).cast("long").alias("n_cells"), F.size(far).cast("long").alias("n_bad"))
+    return counted.withColumn("status", F.when(F.col("n_bad") == 0, "SUCCESS").otherwise("FAIL"))
+
+
+def verify_stages(stages: dict[str, tuple[DataFrame, DataFrame]], item: str = "row_id", vec: str = "vec") -> DataFrame:
+    """``compare_rows`` for each named stage, as one table."""
+    parts = [compare_rows(e, g, item, vec).withColumn("stage", F.lit(name)) for name, (e, g) in stages.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -194,15 +194,18 @@ def center_crop(cells: DataFrame, height: int, width: int, s: int) -> DataFrame:
 def rechunk(words: DataFrame, m: int, stream: str = "stream_id", seq: str = "seq", vec: str = "vec", n: int | None = None) -> DataFrame:
     """Words of n elements to words of m elements; order and values stay. The last word may be shorter.
 
-    ``n`` is the input width when all words share it; positions then need no scan.
+    ``n`` is the input width when all words share it; positions then need no scan. A word goes in
+    slices to the words it falls into, one row a slice.
     """
     width = F.lit(n) if n is not None else F.size(vec)
-    cells = words.select(stream, (F.col(seq) * width).alias("_base"), F.posexplode(vec).alias("_i", "_v"))
-    placed = cells.select(stream, (F.col("_base") + F.col("_i")).alias("_p"), "_v")
-    grouped = placed.groupBy(stream, whole_div(F.col("_p"), m).alias(seq)).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"]).alias(vec)
-    )
-    return grouped
+    based = words.where(F.size(vec) > 0).select(stream, (F.col(seq) * width).cast("long").alias("_base"), F.col(vec).alias("_v"))
+    end = F.col("_base") + F.size("_v")
+    met = based.withColumn("_k", F.explode(F.sequence(whole_div(F.col("_base"), m), whole_div(end - 1, m))))
+    first = F.greatest(F.col("_base"), F.col("_k") * m)
+    size = F.least(end, (F.col("_k") + 1) * m) - first
+    pieces = met.select(stream, F.col("_k").alias(seq), first.alias("_p"), F.slice("_v", (first - F.col("_base") + 1).cast("int"), size.cast("int")).alias("_v"))
+    ordered = F.array_sort(F.collect_list(F.struct("_p", "_v")))
+    return pieces.groupBy(stream, seq).agg(F.flatten(F.transform(ordered, lambda s: s["_v"])).alias(vec))
 
 
 def global_acc_pool(cells: DataFrame) -> DataFrame:

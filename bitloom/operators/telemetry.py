@@ -125,6 +125,29 @@ def buffer_depth(prod: DataFrame, cons: DataFrame, period: int) -> DataFrame:
     return gaps.groupBy("edge_id").agg(F.max("shift").alias("shift"), F.max(F.col("p") - F.col("c")).alias("depth"))
 
 
+def transfer_depth(prod: DataFrame, cons: DataFrame, period: int, block_bits: int = 20) -> DataFrame:
+    """As ``buffer_depth`` from the transfers ``(edge_id, cycle)`` themselves: a row per transfer and none per idle cycle.
+
+    The n-th transfer of the consumer waits for the n-th of the producer. The fill level rises with
+    transfers of the producer only, so its peak is among the levels after each cycle that has one.
+    """
+    inside = F.when(F.col("cycle") >= period, F.raise_error(F.lit("cycle outside the period"))).otherwise(F.col("cycle"))
+    prod, cons = [df.select("edge_id", inside.cast("long").alias("t")).distinct() for df in (prod, cons)]
+    nth_p, nth_c = [block_scan(df, ["edge_id"], ["t"], sums={"n": F.lit(1).cast("long")}, block_bits=block_bits) for df in (prod, cons)]
+    met = nth_c.join(nth_p.withColumnRenamed("t", "tau"), ["edge_id", "n"], "left")
+    wait = F.greatest(F.coalesce("tau", F.lit(period)) - F.col("t"), F.lit(0))
+    shift = met.groupBy("edge_id").agg(F.least(F.max(wait), F.lit(period - 1)).cast("int").alias("shift"))
+    # cycles of the consumer's period; what the producer moved before it is there at its first cycle
+    twice = prod.select("edge_id", F.explode(F.array(F.col("t"), F.col("t") + period)).alias("t")).join(shift, "edge_id")
+    later = twice.select("edge_id", F.greatest(F.col("t") - F.col("shift"), F.lit(0)).alias("t"), F.lit(1).alias("d"), "shift").where(F.col("t") < period)
+    taken = [F.struct(F.col("t"), F.lit(-1).alias("d")), F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("d"))]
+    taken = cons.select("edge_id", F.explode(F.array(*taken)).alias("m")).select("edge_id", "m.*", F.lit(None).cast("int").alias("shift"))
+    moves = later.unionByName(taken).groupBy("edge_id", "t").agg(F.sum("d").alias("d"), F.max("shift").alias("shift"))
+    fill = block_scan(moves, ["edge_id"], ["t"], sums={"fill": F.col("d")}, block_bits=block_bits)
+    peaks = fill.groupBy("edge_id").agg(F.max("shift").alias("shift"), F.max("fill").alias("depth"))
+    return peaks.where(F.col("shift").isNotNull())
+
+
 def edge_depths(edges: DataFrame, depths: DataFrame, default: int = 32) -> DataFrame:
     """Depth of every edge; edges at the rim of a graph, without flows, get the default."""
     return edges.join(depths, ["edge_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(default)))

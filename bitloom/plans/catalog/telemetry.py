@@ -110,15 +110,14 @@ tot AS (SELECT id, p, max(level) AS total FROM one GROUP BY 1, 2),
 fl AS (SELECT id, p, t + k * {PERIOD} AS t, level + k * total AS level FROM one JOIN tot USING (id, p), range(2) r(k))"""
 
 
-def flow(spark, sf, producer: bool):
+def transfers(spark, sf, producer: bool):
     side = "IN" if producer else "NOT IN"
-    tx = table(spark, sf, "events").where(f"event_type {side} ('click', 'view')").selectExpr("user_id AS stream_id", f"event_id * 7 % {PERIOD} AS cycle")
-    return V.cumulative_flow(tx, PERIOD)
+    return table(spark, sf, "events").where(f"event_type {side} ('click', 'view')").selectExpr("user_id AS edge_id", f"event_id * 7 % {PERIOD} AS cycle")
 
 
 @query("v4_cumulative_flow", f"WITH {FLOW} SELECT id AS stream_id, t, level FROM fl WHERE p")
 def _(spark, sf):
-    return flow(spark, sf, True)
+    return V.cumulative_flow(transfers(spark, sf, True).withColumnRenamed("edge_id", "stream_id"), PERIOD)
 
 
 DEPTH = FLOW + f""",
@@ -130,7 +129,7 @@ dp AS (SELECT sh.id, any_value(shift) AS shift, max(pr.level - cn.level) AS dept
 
 
 def depths(spark, sf):
-    return V.buffer_depth(flow(spark, sf, True).withColumnRenamed("stream_id", "edge_id"), flow(spark, sf, False).withColumnRenamed("stream_id", "edge_id"), PERIOD)
+    return V.transfer_depth(transfers(spark, sf, True), transfers(spark, sf, False), PERIOD)
 
 
 @query("v5_buffer_depth", f"WITH {DEPTH} SELECT id AS edge_id, shift::BIGINT AS shift, depth FROM dp")

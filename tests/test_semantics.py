@@ -226,6 +226,13 @@ def test_golden_compare_edges(spark):
     assert {r.row_id: r.status for r in M.compare(e, g).collect()} == {0: "SUCCESS", 1: "FAIL", 2: "FAIL", 3: "FAIL"}
 
 
+def test_golden_compare_of_rows(spark):
+    e = spark.createDataFrame([(0, [1.0, 2.0]), (1, [5.0]), (2, [None]), (4, []), (5, [1.0, 2.0])], "row_id bigint, vec array<double>")
+    g = spark.createDataFrame([(0, [1.0005, 2.0]), (1, [5.5]), (2, [1.0]), (3, [1.0]), (4, []), (5, [1.0])], "row_id bigint, vec array<double>")
+    got = {r.row_id: (r.n_cells, r.n_bad, r.status) for r in M.compare_rows(e, g).collect()}
+    assert got == {0: (2, 0, "SUCCESS"), 1: (1, 1, "FAIL"), 2: (1, 1, "FAIL"), 3: (1, 1, "FAIL"), 4: (0, 0, "SUCCESS"), 5: (2, 1, "FAIL")}
+
+
 def test_interface_states(spark):
     ev = spark.createDataFrame([("a", "V", 0, 1), ("a", "R", 40, 1), ("a", "V", 100, 0), ("a", "R", 119, 0)], "iface string, kind string, t bigint, val int")
     got = {(r.v, r.r): r.n for r in V.interface_stats(ev, end_time=200, block_bits=4).collect()}
@@ -237,11 +244,13 @@ def test_buffer_depth_against_scan(spark):
     tx = {e: (rng.random(period) < 0.4, rng.random(period) < p) for e, p in ((0, 0.2), (1, 0.4), (2, 0.9))}
     for part in tx.values():
         part[0][3] = part[1][2] = True
-    flows = []
+    flows, moves = [], []
     for side in (0, 1):
         rows = [(e, int(t)) for e, p in tx.items() for t in np.flatnonzero(p[side])]
+        moves.append(spark.createDataFrame(rows, "edge_id int, cycle int"))
         flows.append(V.cumulative_flow(spark.createDataFrame(rows, "stream_id int, cycle int"), period, block_bits=3).withColumnRenamed("stream_id", "edge_id"))
     got = {r.edge_id: (r.shift, r.depth) for r in V.buffer_depth(*flows, period).collect()}
+    assert got == {r.edge_id: (r.shift, r.depth) for r in V.transfer_depth(*moves, period, block_bits=2).collect()}
     for e, (p, c) in tx.items():
         prod, cons = (np.cumsum(np.tile(x, 2)) for x in (p, c))
         shift = next((s for s in range(period) if (prod[s:period] >= cons[: period - s]).all()), period - 1)
