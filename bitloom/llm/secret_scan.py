@@ -1,18 +1,19 @@
 """Secrets in text: fixed patterns, and strings that look random to character Markov models.
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are counted from a labelled table
-``(sample, is_random)``. A candidate is a run of at least ``MIN_LEN`` characters of ``[A-Za-z0-9+/_=-]`` that overlaps no
+``(sample, is_random)``, which may name the family of a sample: all families of a class weigh the same. A candidate is a run of at least ``MIN_LEN`` characters of ``[A-Za-z0-9+/_=-]`` that overlaps no
 pattern match; it is a secret if the mean log-likelihood ratio of its steps is above ``threshold``.
 
 Everything is expressions over the row, so a text never leaves its task. Positions are code points. The work on a
 text is linear in its length and quadratic in its number of matches.
 
 Defined results: null and empty texts have no spans and the hash of the empty string; repeated rows give repeated rows; an empty
-table gives an empty table and the models then count nothing; columns besides id and text are not read.
+table gives an empty table, with the fixed tables below as the only samples; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -29,7 +30,23 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ["assign", "access", "hex", "markov"]
 TRAIN_DOCS = 2000
 THRESHOLD = 0.5
-BACK_OFF = 8.0
+BACK_OFF = 8.0  # steps, or BACK_SHARE of those seen if that is more
+BACK_SHARE = 0.1
+# a value with fewer runs of one kind of character for its length is made of words
+RUN = "[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+RUN_LEN = 3
+# the fixed labelled table: ``TOKENS`` random strings over each alphabet, and strings that are no secrets
+ALPHABETS = {"base36": ALPHABET[52:62] + ALPHABET[26:52], "base62": ALPHABET[:62], "base64": ALPHABET[:64]}
+TOKENS = 500
+TOKEN_LEN = 40
+ORDINARY = """
+================ ---------------- ________________ //////////////// ++++++++++++++++ ================================
+src/main/java/com/example/service/UserService /usr/local/share/documentation/index /home/user/projects/config/settings
+www/static/images/header-background-2 articles/2023/10/14/annual-report 2024-01-15 2019-12-31/23-59-59
+user_account_name customer_id order_line_item_total max_retry_count_10 get_value_2 test_case_001 step-by-step state-of-the-art
+getUserNameById HttpRequestHandler parseXmlDocument createNewOrderItem MAX_BUFFER_SIZE DEFAULT_TIMEOUT_SECONDS ERROR_CODE_404
+version-1-2-0 release_2021_04 chapter-12-section-3 utf-8-encoding size=1024 page=2 index=10 name=value and/or input/output
+""".split()
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -59,42 +76,78 @@ def _assign(text: Column) -> Column:
     return _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= 12))
 
 
+def random_token(family: str, k: int) -> str:
+    """Token k over an alphabet: the digits of a hash, so the table is the same everywhere."""
+    letters, x = ALPHABETS[family], int(hashlib.sha512(f"{family}:{k}".encode()).hexdigest(), 16)
+    return "".join(letters[x // len(letters) ** i % len(letters)] for i in range(TOKEN_LEN))
+
+
+def fixed_samples() -> list[tuple[str, bool, str]]:
+    """The labelled table that does not depend on the texts: sample, is_random, family."""
+    tokens = [(random_token(family, k), True, family) for family in ALPHABETS for k in range(TOKENS)]
+    return tokens + [(w, False, "ordinary") for w in ORDINARY]
+
+
+def _looks_random(v: Column) -> Column:
+    """A value of an assignment that is long enough, has a digit and is not made of words."""
+    runs = F.length(F.regexp_replace(v, RUN, "x"))
+    return (F.length(v) >= 12) & v.rlike("[0-9]") & (runs * RUN_LEN > F.length(v))
+
+
 def labelled_samples(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(sample, is_random): values found by the fixed patterns, and identifiers, each of the ``train_docs`` texts
-    with the smallest hash among those that have one. Bounded by train_docs; the whole text of each is used."""
+    """(sample, is_random, family): the fixed table; what the fixed patterns find, assigned values only if they look random;
+    and identifiers. Each of the two is from the ``train_docs`` texts with the smallest hash among those that have one.
+    Bounded by train_docs; the whole text of each is used."""
     texts = docs.select(docs[text_col].alias("t")).dropna()
 
-    def drawn(has: str) -> DataFrame:
+    def drawn(has: Column) -> DataFrame:
         # only hashes are ordered; the texts at or below the last of them are then read, each once
-        some = texts.filter(F.col("t").rlike(has)).withColumn("h", F.xxhash64("t"))
+        some = texts.filter(has).withColumn("h", F.xxhash64("t"))
         last = some.select("h").distinct().orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
         return some.filter(F.col("h") <= F.lit(last).cast("long")).select("t").distinct()
 
-    value = rf"{ACCESS}|{HEX}"
-    secrets = drawn(value).select(F.explode(F.regexp_extract_all("t", F.lit(value), F.lit(0))).alias("sample"))
-    plain = drawn(IDENTIFIER).select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0))).alias("sample"))
+    value, t = rf"{ACCESS}|{HEX}", F.col("t")
+    assigned = F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), _looks_random)
+    secrets = drawn(t.rlike(value) | (t.rlike(ASSIGN) & (F.size(assigned) > 0)))
+    secrets = secrets.select(F.explode(F.array_union(F.regexp_extract_all("t", F.lit(value), F.lit(0)), assigned)).alias("sample"))
+    rest = F.regexp_replace("t", ASSIGN, " ")  # what is assigned may be a secret, so it is no example of an identifier
+    plain = drawn(t.rlike(IDENTIFIER)).select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("sample"))
     plain = plain.filter(~F.col("sample").rlike(value))
-    secrets, plain = secrets.distinct(), plain.distinct()
-    return secrets.withColumn("is_random", F.lit(True)).unionByName(plain.withColumn("is_random", F.lit(False)))
+    fixed = docs.sparkSession.createDataFrame(fixed_samples(), "sample string, is_random boolean, family string")
+    found = secrets.distinct().withColumn("is_random", F.lit(True)).unionByName(plain.distinct().withColumn("is_random", F.lit(False)))
+    return found.withColumn("family", F.lit("found")).unionByName(fixed)
 
 
 def step_scores(samples: DataFrame) -> list[float]:
     """log P(b | a) of random strings minus that of identifiers, at 128 * a + b. A step's probability is its share of the
-    steps from a, mixed with the share of b as if ``BACK_OFF`` more steps had been seen. The counts that reach the
-    driver are at most two per pair of the alphabet."""
+    steps from a, mixed with the share of b as if ``BACK_OFF`` more steps, or ``BACK_SHARE`` of them, had been seen; so
+    what a step that was never seen costs does not grow with the samples. The counts of a family are scaled so that all families of
+    a class weigh the same, and a table with many hashes does not push the other alphabets out. The counts that reach
+    the driver are at most one per pair of the alphabet, class and family."""
     chars = F.split(F.regexp_replace("sample", r"[^A-Za-z0-9+/_=-]", ""), "")
-    pairs = samples.dropna().select("is_random", chars.alias("c")).filter(F.size("c") > 1)
-    pairs = pairs.select("is_random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.concat(F.get("c", i - 1), F.get("c", i)))).alias("p"))
-    counts = {(r["is_random"], r["p"]): r["n"] for r in pairs.groupBy("is_random", "p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    family = F.coalesce("family", F.lit("")) if "family" in samples.columns else F.lit("")
+    pairs = samples.dropna(subset=["sample", "is_random"]).select("is_random", family.alias("family"), chars.alias("c")).filter(F.size("c") > 1)
+    pairs = pairs.select("is_random", "family", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.concat(F.get("c", i - 1), F.get("c", i)))).alias("p"))
+    rows = pairs.groupBy("is_random", "family", "p").agg(F.count(F.lit(1)).alias("n")).collect()
 
     def model(kind: bool) -> dict[str, float]:
-        into = {b: sum(counts.get((kind, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+        sums: dict[str, int] = {}
+        for r in rows:
+            if r["is_random"] == kind:
+                sums[r["family"]] = sums.get(r["family"], 0) + r["n"]
+        counts: dict[str, float] = {}
+        for r in sorted(rows):
+            if r["is_random"] == kind:
+                counts[r["p"]] = counts.get(r["p"], 0.0) + r["n"] * sum(sums.values()) / (len(sums) * sums[r["family"]])
+        into = {b: sum(counts.get(a + b, 0.0) for a in ALPHABET) for b in ALPHABET}
         every = sum(into.values())
+        into = {b: (1 - BACK_SHARE) * (n / every if every else 1 / len(ALPHABET)) + BACK_SHARE / len(ALPHABET) for b, n in into.items()}
         out = {}
         for a in ALPHABET:
-            seen = sum(counts.get((kind, a + b), 0) for b in ALPHABET)
+            seen = sum(counts.get(a + b, 0.0) for b in ALPHABET)
+            more = max(BACK_OFF, BACK_SHARE * seen)
             for b in ALPHABET:
-                out[a + b] = (counts.get((kind, a + b), 0) + BACK_OFF * into[b] / every) / (seen + BACK_OFF)
+                out[a + b] = (counts.get(a + b, 0.0) + more * into[b]) / (seen + more)
         return out
 
     random, plain = model(True), model(False)

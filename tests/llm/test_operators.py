@@ -140,6 +140,28 @@ def test_markov_models_part_random_strings_from_identifiers(spark):
     assert all(got[40 + i] == "" for i in range(40))
 
 
+def test_random_tokens_are_found_beside_many_hashes(spark):
+    rng = random.Random(4)
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    parts = "get set user name value table index count find load store first order price state node list item page line".split()
+    train = [f"{rng.choice(parts)}_{rng.choice(parts)} {''.join(rng.choices('0123456789abcdef', k=40))}" for _ in range(secret_scan.TRAIN_DOCS)]
+    samples = secret_scan.labelled_samples(docs_of(spark, train))
+    assert samples.filter("is_random and family = 'found'").count() == secret_scan.TRAIN_DOCS
+    tokens = {n: ["".join(rng.choices(a, k=32)) for _ in range(50)] for n, a in {"36": digits + upper.lower(), "62": digits + upper + upper.lower(), "64": upper + upper.lower() + digits + "+/"}.items()}
+    plain = ["first_order_price_state_node", "usr/share/table/index/list", "=" * 20, "-" * 40, "/" * 17, "+" * 17, "item_count_2021_10_30"]
+    everything = [*tokens["36"], *tokens["62"], *tokens["64"], *plain]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs_of(spark, [f"é {w} ." for w in everything]), samples).collect()}
+    for k in range(3):
+        assert sum(got[i]["spans"] == "markov:2:34" for i in range(50 * k, 50 * k + 50)) >= 48
+    assert [got[150 + i]["n_markov"] for i in range(len(plain))] == [0] * len(plain)
+
+
+def test_assigned_values_are_labelled(spark):
+    docs = docs_of(spark, ["token=Zx81kQp0vL7mWn3R and password: correct-horse-battery-1", "secret = hunter2hunter2 reader", "api_key=MyPassWord12"])
+    got = {(r["sample"], r["is_random"]) for r in secret_scan.labelled_samples(docs).filter("family = 'found'").collect()}
+    assert got == {("Zx81kQp0vL7mWn3R", True), ("reader", False)}
+
+
 # urls
 
 
