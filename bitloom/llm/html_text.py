@@ -1,7 +1,7 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the blocks beside it,
-and the kind of container it lies in. A decision tree, grown on the small labelled table below, tells text from the rest.
+and the kind of container it lies in, where a heading in none is a kind of its own. A decision tree, grown on the small labelled table below, tells text from the rest.
 
 Defined results: null, empty and malformed html give an empty text or the blocks that can be read; white space inside a block is one
 space; blocks are joined by one line feed in page order; repeated rows give repeated rows; a page's size is bounded by its row
@@ -25,6 +25,7 @@ UNSEEN = {"script", "style", "head", "title", "noscript", "template", "svg", "if
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ASIDE = {"nav", "footer", "header", "aside", "form", "button", "dialog", "menu", "fieldset"}
 CENTRE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 # parts of class names and ids
 ASIDE_WORDS = set(
@@ -36,7 +37,8 @@ ASIDE_WORDS = set(
 )
 ENDS_P = BLOCK - {"body", "head", "html", "caption", "dd", "dt", "figcaption", "legend", "li", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 
-# words, link density; words and link density of the block before; of the block after; container (-1 aside, 0 none, 1 centre); is it text
+# words, link density; words and link density of the block before; of the block after; container (-1 aside, 0 none,
+# 0.5 a heading in none, 1 centre); is it text
 LABELLED = [
     (1, 1.0, 1, 1.0, 1, 1.0, -1, 0),
     (2, 1.0, 0, 0.0, 1, 1.0, -1, 0),
@@ -103,22 +105,43 @@ LABELLED = [
     (6, 0.0, 2, 1.0, 3, 1.0, 0, 0),
     (1, 0.0, 0, 0.0, 60, 0.0, 0, 0),
     (1, 0.0, 0, 0.0, 90, 0.0, 0, 0),
-    (2, 0.0, 1, 0.0, 40, 0.0, 0, 0),
-    (2, 0.0, 80, 0.0, 1, 0.0, 0, 0),
-    (1, 0.0, 60, 0.0, 2, 0.0, 0, 0),
     (4, 0.0, 1, 1.0, 2, 1.0, 0, 0),
-    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0),
-    (8, 0.0, 5, 0.9, 3, 0.0, 0, 0),
-    (7, 0.0, 3, 0.0, 6, 1.0, 0, 0),
     (30, 0.8, 4, 1.0, 6, 1.0, 0, 0),
     (12, 0.7, 60, 0.0, 5, 1.0, 0, 0),
     (2, 1.0, 2, 1.0, 70, 0.0, 0, 0),
     (10, 1.0, 90, 0.0, 12, 1.0, 0, 0),
     (50, 0.9, 20, 0.8, 20, 1.0, 0, 0),
 ]
+# what lies beside a block: nothing, few words, many, links
+BESIDE = [[(0, 0.0)], [(1, 0.0), (9, 0.0)], [(40, 0.0), (150, 0.0)], [(1, 1.0), (9, 1.0), (60, 1.0)]]
+# container and words; by what lies before (groups) and after (places of a group): is it text. Outside article and main, items, short and
+# last paragraphs and headings among text are text; short blocks between links, or after them at the end, and headings before links are not.
+BETWEEN = [
+    (0, 1, "1100 1111 1111 0110"),
+    (0, 2, "1111 1111 1111 0110"),
+    (0, 4, "1111 1111 1111 0110"),
+    (0, 7, "1111 1111 1111 0110"),
+    (0, 12, "1111 1111 1111 1111"),
+    (0, 40, "1111 1111 1111 1111"),
+    (0.5, 1, "1110 1110 1110 1110"),
+    (0.5, 2, "1110 1110 1110 1110"),
+    (0.5, 5, "1110 1110 1110 1110"),
+    (0.5, 12, "1111 1111 1111 1111"),
+    (-1, 1, "0000 0000 0000 0000"),
+    (-1, 12, "0000 0000 0000 0000"),
+    (-1, 40, "0000 0000 0000 0000"),
+    (1, 1, "1111 1111 1111 1111"),
+    (1, 4, "1111 1111 1111 1111"),
+    (1, 12, "1111 1111 1111 1111"),
+    (1, 40, "1111 1111 1111 1111"),
+]
+for _kind, _words, _marks in BETWEEN:
+    for _before, _group in zip(BESIDE, _marks.split()):
+        for _linked, _text in ((0.0, 1), (0.6, 1), (0.65, 0)):  # text with some links is text, most of it links is not
+            LABELLED += [(_words, _linked, *b, *a, _kind, int(m) * _text) for _after, m in zip(BESIDE, _group) for b in _before for a in _after]
 
 
-def grow(rows: list[tuple], depth: int = 6):
+def grow(rows: list[tuple], depth: int = 12):
     """Decision tree by Gini impurity: (feature, limit, at most, above), or a class."""
     total, ones = len(rows), sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, total):
@@ -152,7 +175,7 @@ _NAME = re.compile(r"[a-z]+")
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, int]] = []  # text, words, linked words, container
+        self.blocks: list[tuple[str, int, int, float]] = []  # text, words, linked words, container
         self.open: list[tuple[str, int]] = []  # tag, container it makes
         self.parts: list[str] = []
         self.linked = self.unseen = self.links = 0
@@ -161,10 +184,14 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((text, text.count(" ") + 1, self.linked, next((k for _, k in reversed(self.open) if k), 0)))
+                self.blocks.append((text, text.count(" ") + 1, self.linked, self._kind()))
             self.parts.clear()
         self.linked = 0
 
+    def _kind(self) -> float:
+        kind = next((k for _, k in reversed(self.open) if k), 0)
+        return kind or (0.5 if any(t in HEADINGS for t, _ in self.open[-4:]) else 0)
+
     def _container(self, tag: str, attrs) -> int:
         for name, value in attrs:
             if value and (name in ("class", "id") and not ASIDE_WORDS.isdisjoint(_NAME.findall(value.lower())) or name == "role" and value.lower() in ASIDE_ROLES):
@@ -221,7 +248,7 @@ class _Blocks(HTMLParser):
         self._cut()
 
 
-def page_blocks(html: str) -> list[tuple[str, int, int, int]]:
+def page_blocks(html: str) -> list[tuple[str, int, int, float]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()

@@ -432,6 +432,20 @@ def test_main_text(spark):
     assert got[7] == html[7]
 
 
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_main_text_in_plain_tags(spark, tag):
+    long = [f"This is paragraph {k} of the page and it has " + "some more words " * k + "in it." for k in (3, 9, 15)]
+    body = ["Apples", "How to grow them", long[0], "A short one.", "Tools", "Spade", "Old bucket", "Rake", long[1], "Then wait.", "A while, or more.", "Care", long[2], "That is all there is to it."]
+    tags = ["h1", "h2", "p", "p", "h2", "li", "li", "li", "p", "p", "p", "h3", "p", "p"]
+    inner = "".join(f"<{t}>{w}</{t}>" for t, w in zip(tags, body))
+    links = lambda *ws: "<div>" + "".join(f"<div><a href=x>{w}</a></div>" for w in ws) + "</div>"
+    html = [f"<body>{links('Home', 'All fruit')}<{tag}>{inner}</{tag}>{links('Imprint', 'Privacy')}</body>", f"<{tag}>{inner}</{tag}>"]
+    html.append(f"<{tag}>{inner}</{tag}><{tag}><h3>See also</h3><ul><li><a href=x>Pears</a></li><li><a href=y>Plums and figs</a></li></ul></{tag}>")
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract_text(pages).collect()}
+    assert got == {0: body, 1: body, 2: body}
+
+
 def test_main_text_of_the_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in queries.op8_main_text(spark, SF).collect()}
