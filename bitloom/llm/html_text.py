@@ -21,13 +21,13 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-UNSEEN = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "canvas", "math"}
+UNSEEN = {"script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "canvas", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ASIDE = {"nav", "footer", "header", "aside", "form", "button", "dialog", "menu", "fieldset"}
 CENTRE = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
-# parts of class names and ids
+# a class name or id names an aside if its parts are words of these and of PLACE_WORDS: site-header, but not has-sidebar
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu sidebar "
     "sidebars footer header masthead topbar cookie cookies consent gdpr notice notices notification alert comment comments "
@@ -35,6 +35,18 @@ ASIDE_WORDS = set(
     "popup modal overlay newsletter subscribe subscription signup login search widget widgets toolbar disclaimer copyright "
     "legal hidden skip tags paywall".split()
 )
+PLACE_WORDS = set(
+    "site page main top bottom left right primary secondary global inner outer wrap wrapper container box block area slot unit item items "
+    "list links section region body inline sticky fixed bar form post article entry user the my".split()
+)
+# words for the kind of a text: they make no aside of a paragraph, heading or item
+KIND_WORDS = set("legal disclaimer copyright notice notices notification notifications alert consent discussion share related search tags header".split())
+TEXT_TAGS = HEADINGS | {"p", "li", "pre", "blockquote", "dt", "dd", "figcaption", "caption", "td"}
+# what readers write, which may be longer than the text
+THREAD_WORDS = set("comment comments disqus reply replies respond discussion".split())
+# an article of such a name is no text of the page
+CARD_WORDS = THREAD_WORDS | set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion related recommended".split())
+HARD, SOFT = -2, -1  # an aside of any size; one that is none if most of the page's words lie in it
 ENDS_P = BLOCK - {"body", "head", "html", "caption", "dd", "dt", "figcaption", "legend", "li", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 
 # words, link density; words and link density of the block before; of the block after; container (-1 aside, 0 none,
@@ -172,11 +184,27 @@ _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
+def named_aside(tag: str, name: str) -> set[str]:
+    """The words of a class or id by which it makes an element an aside; of each of its tokens all parts must be known."""
+    out = set()
+    for token in name.lower().split():
+        parts = set(_NAME.findall(token))
+        words = parts & ASIDE_WORDS
+        if words and parts <= ASIDE_WORDS | PLACE_WORDS:
+            out |= words
+    if tag in TEXT_TAGS:
+        out -= KIND_WORDS
+    if tag in CENTRE:
+        out = out & CARD_WORDS if tag == "article" else set()
+    return out
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, float]] = []  # text, words, linked words, container
-        self.open: list[tuple[str, int]] = []  # tag, container it makes
+        self.found: list[tuple[str, int, int, int, bool]] = []  # text, words, linked words, container, in a heading
+        self.made: list[tuple[int, int]] = [(0, 0)]  # containers: the one around it, kind
+        self.open: list[tuple[str, int]] = []  # tag, container its text lies in
         self.parts: list[str] = []
         self.linked = self.unseen = self.links = 0
 
@@ -184,21 +212,42 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((text, text.count(" ") + 1, self.linked, self._kind()))
+                at = self.open[-1][1] if self.open else 0
+                self.found.append((text, text.count(" ") + 1, self.linked, at, any(t in HEADINGS for t, _ in self.open[-4:])))
             self.parts.clear()
         self.linked = 0
 
-    def _kind(self) -> float:
-        kind = next((k for _, k in reversed(self.open) if k), 0)
-        return kind or (0.5 if any(t in HEADINGS for t, _ in self.open[-4:]) else 0)
+    def blocks(self) -> list[tuple[str, int, int, float]]:
+        """text, words, linked words, kind of container. Without words in an article or main, an aside by its name, its role or as a
+        form that holds most of the page's words is a wrapper, and what is around it counts."""
+        inside = [0] * len(self.made)
+        for _, words, _, at, _ in self.found:
+            inside[at] += words
+        centred = any(n and kind == 1 for n, (_, kind) in zip(inside, self.made))
+        for k in range(len(self.made) - 1, 0, -1):
+            inside[self.made[k][0]] += inside[k]
+        kinds = [0.0]
+        for n, (around, kind) in zip(inside[1:], self.made[1:]):
+            wraps = kind == SOFT and not centred and 2 * n > inside[0]
+            kinds.append(kinds[around] if wraps else max(kind, -1))
+        return [(text, words, linked, kinds[at] or (0.5 if heading else 0)) for text, words, linked, at, heading in self.found]
 
     def _container(self, tag: str, attrs) -> int:
+        if tag in ("html", "body"):
+            return 0
+        soft = False
         for name, value in attrs:
-            if value and (name in ("class", "id") and not ASIDE_WORDS.isdisjoint(_NAME.findall(value.lower())) or name == "role" and value.lower() in ASIDE_ROLES):
-                return 0 if tag in ("html", "body") else -1
-            if name == "hidden" and tag not in ("html", "body"):
-                return -1
-        return -1 if tag in ASIDE else 1 if tag in CENTRE else 0
+            if name == "hidden":
+                return HARD
+            if value and name in ("class", "id") and (words := named_aside(tag, value)):
+                if words & THREAD_WORDS or tag in CENTRE:
+                    return HARD
+                soft = True
+            elif value and name == "role" and value.lower() in ASIDE_ROLES:
+                soft = True
+        if tag in ASIDE:
+            return SOFT if tag == "form" else HARD
+        return SOFT if soft else 1 if tag in CENTRE else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -211,7 +260,11 @@ class _Blocks(HTMLParser):
             return
         if tag == "body":
             self.unseen = 0  # an unclosed head ends here
-        self.open.append((tag, self._container(tag, attrs) if attrs or tag in ASIDE or tag in CENTRE else 0))
+        at = self.open[-1][1] if self.open else 0
+        if (attrs or tag in ASIDE or tag in CENTRE) and (kind := self._container(tag, attrs)):
+            self.made.append((at, kind))
+            at = len(self.made) - 1
+        self.open.append((tag, at))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -252,7 +305,7 @@ def page_blocks(html: str) -> list[tuple[str, int, int, float]]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    return parser.blocks
+    return parser.blocks()
 
 
 def main_text(html: str | None, tree) -> str:

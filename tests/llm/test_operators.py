@@ -446,6 +446,27 @@ def test_main_text_in_plain_tags(spark, tag):
     assert got == {0: body, 1: body, 2: body}
 
 
+def test_names_that_make_no_aside(spark):
+    words = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    text, more = words("text", 40), words("more", 30)
+    body = f"<p>{text}</p><p class=legal>A term of law.</p><p>{more} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>"
+    want = f"{text}\nA term of law.\n{more} x=2"
+    around = f"<div class='site-header'>{words('head', 20)}</div><div class=sidebar>{words('side', 20)}</div><div id=cookie-notice>{words('cook', 15)}</div>"
+    thread = f"<section class='post-comments'><p>{words('comment', 200)}</p></section>"
+    html = [
+        f"<main class='has-sidebar'>{body}</main>{around}",
+        f"<article class='post comments-open'>{body}</article>{around}{thread}",
+        f"<div id=page class='no-sidebar'>{body}</div>{around}",
+        f"<div id=sidebar>{body}</div><div class='ad'>{words('buy', 9)}</div>",
+        f"<form id=aspnetForm>{around}<div>{body}</div></form>",
+        f"<main class='sidebar'>{body}</main><article class='comment'>{words('said', 90)}</article>",
+        f"<div>{body}</div>{thread}",
+    ]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert got == {i: want for i in range(len(html))}
+
+
 def test_main_text_of_the_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in queries.op8_main_text(spark, SF).collect()}
