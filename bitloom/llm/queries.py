@@ -25,7 +25,8 @@ WEIGHTS = [
     (2, "odd", "en", None, 2.0),
     (3, "odd", "en", "src1", 4.0),
 ]
-MIX_SHARE = 0.5
+MIX_SHARE = 1.0
+MIX_EPOCHS = 4
 MIX_SEED = 7
 
 
@@ -112,7 +113,7 @@ def domains(docs: DataFrame) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
     weights = spark.createDataFrame(WEIGHTS, "depth int, domain string, lang string, source string, weight double")
-    return mixing.mix(domains(docs), weights, TREE, share=MIX_SHARE, seed=MIX_SEED)
+    return mixing.mix(domains(docs), weights, TREE, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,6 +407,17 @@ def test_mix(spark, share, epochs):
     assert len(got) == len(want)
 
 
+def test_small_leaves_repeat_through_the_pipeline(spark, documents):
+    chosen = {r["doc_id"]: (r["copies"], r["tokens"]) for r in queries.mixture(spark, documents).collect()}
+    assert max(c for c, _ in chosen.values()) > 1
+    total = documents.agg(F.sum(mixing.words_of(F.col("text")))).first()[0]
+    assert sum(c * n for c, n in chosen.values()) >= 0.95 * total
+    rows = {}
+    for r in corpus_pipeline.mixture(spark, documents, SF).collect():
+        rows[r["doc_id"]] = rows.get(r["doc_id"], 0) + 1
+    assert rows == {i: c for i, (c, _) in chosen.items()}
+
+
 # pages
 
 
