@@ -109,7 +109,7 @@ def _signatures(n: int, bands: int, rows: int):
                 keys.append(band_keys(signature(grams, factors, offsets), bands, rows) if len(grams) else np.empty(0, np.int64))
             flat = pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))
             offset = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offset, flat)], ["id", "node", "grams", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offset, flat), *batch.columns[2:]], ["id", "node", "grams", "keys", *batch.schema.names[2:]])
 
     return run
 
@@ -155,19 +155,14 @@ def jaccard_links(threshold: float):
     return kernel
 
 
-def ngram_links(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = NGRAM,
-    threshold: float = THRESHOLD,
-    recall: float = RECALL,
-) -> DataFrame:
-    """One row per row: id, class_id (smallest id reachable by links), n_links (other rows directly linked), n_grams."""
+def _linked(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """texts: id, t and further columns. One row per row: id, the further columns, root (of its class, null without a word),
+    class_id, n_links, n_grams."""
+    more = texts.columns[2:]
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = stored(texts.mapInArrow(_signatures(n, bands, rows), f"id {kind}, node bigint, grams bigint, keys array<bigint>"), "bands")
+    further = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in more)
+    signed = stored(texts.mapInArrow(_signatures(n, bands, rows), f"id {kind}, node bigint, grams bigint, keys array<bigint>{further}"), "bands")
 
     # an id that names the class, to find its text again; null ids are found by themselves
     classes = signed.filter("node is not null").groupBy("node").agg(
@@ -186,20 +181,48 @@ def ngram_links(
     nodes = classes.select("node", "weight", "first_id").join(counts, "node", "left").join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     named = nodes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    nodes = nodes.join(named, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    nodes = nodes.join(named, "root").select("node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     return signed.join(nodes, "node", "left").select(
-        F.col("id").alias(id_col),
+        "id",
+        *more,
+        "root",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("grams").alias("n_grams"),
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def ngram_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = NGRAM,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
+    """One row per row: id, class_id (smallest id reachable by links), n_links (other rows directly linked), n_grams."""
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    return _linked(texts, n, threshold, recall).select(F.col("id").alias(id_col), "class_id", "n_links", "n_grams")
+
+
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = NGRAM,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
     """One row of each class, the one with the smallest id, with all its columns. Rows that repeat an id with the same
-    text are one document; rows with a null id stay."""
-    stay = ngram_links(docs, id_col, text_col, **how).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    stay = stay.select(F.col(id_col).alias("kept_id")).distinct()
+    text are one document; of texts of a class that share its smallest id one stays; rows with a null id stay. Texts
+    are told apart by a 64-bit hash."""
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("h"))
+    rows = _linked(texts, n, threshold, recall).filter(F.col("id").isNotNull())
+    first = rows.filter(F.col("root").isNotNull() & (F.col("id") == F.col("class_id")))
+    first = first.groupBy("root").agg(F.min("id").alias("kept_id"), F.min("h").alias("kept_h")).drop("root")
+    stay = first.unionByName(rows.filter(F.col("root").isNull()).select(F.col("id").alias("kept_id"), F.col("h").alias("kept_h")))
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    row = row.join(stay, row[f"row.{id_col}"].eqNullSafe(stay["kept_id"]), "left_semi")
-    return row.select("row.*")
+    row_id = F.col(f"row.{id_col}")
+    named = row.filter(row_id.isNotNull()).withColumn("row_h", F.xxhash64(f"row.{text_col}"))
+    kept = named.join(stay, (row_id == F.col("kept_id")) & (F.col("row_h") == F.col("kept_h")), "left_semi").select("row")
+    return kept.unionByName(row.filter(row_id.isNull())).select("row.*")
