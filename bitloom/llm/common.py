@@ -30,3 +30,20 @@ def ascii_lower(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_ROWS = 4096
+HOT_KEYS = 10_000  # at most so many keys are hot, which bounds what is broadcast
+
+
+def salted_join(rows: DataFrame, params: DataFrame, on: list[str], n: str, spread: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows that have their keys in ``params``, with its columns; ``params`` has a key once and says in ``n`` how many rows have it.
+
+    A key with more than ``hot_rows`` rows, or a ``HOT_KEYS``-th of all rows if that is more, is dealt over several tasks by a salt from the columns of ``spread``."""
+    limit = max(hot_rows, -(-(params.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS))
+    salts = F.ceil(F.col(n) / limit).cast("int")
+    hot = F.broadcast(params.filter(F.col(n) > limit).select(*on, salts.alias("salts")))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, on, "left").withColumn("salt", salt).drop("salts")
+    copies = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*on, "salt"]).drop("salt")

@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lang_id, mixing, ngram_join, repeats, secret_scan, url_filter, vector_dedup
-from .common import table
+from . import bpe, exact_dedup, html_text, lang_id, merkle, mixing, ngram_join, passages, repeats, secret_scan, url_filter, vector_dedup, whitening
+from .common import ascii_lower, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 TREE = ["domain", "lang", "source"]
@@ -138,6 +138,84 @@ WITH RECURSIVE valid AS (
 SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM comp c
 """
 
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    changed = merkle.leaf(*[ascii_lower(docs[c]) if c == "text" else docs[c] for c in LEAF])
+    out = merkle.manifest(docs, LEAF, carry={"changed": F.when(hit, changed)})
+    out = out.withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("changed", "leaf")))
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _manifest_sql(depth: int, upper: int) -> str:
+    """The trees level by level, for groups of up to 16^depth leaves and up to 16^upper groups."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    start = " || ".join(field.format(c) for c in LEAF[:-1])
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+    ctes = [
+        f"""leaves AS (SELECT doc_id, coalesce('=' || source, '') AS key, sha256({start} || {field.format("text")}) AS leaf,
+      CASE WHEN {crc} % 5 = 0 THEN sha256({start} || {field.format(low)}) END AS changed FROM documents)""",
+        "n0 AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS idx, leaf AS d, doc_id, leaf, coalesce(changed, leaf) AS acc FROM leaves)",
+        "f0 AS (SELECT key, idx, doc_id, leaf, acc, '' AS proof FROM n0)",
+    ]
+
+    def climb(n: str, f: str, k: int) -> None:
+        ctes.append(f"""{n}r{k} AS (SELECT key, idx // 16 AS run, list(d ORDER BY idx) AS ds, max(c) AS c
+      FROM (SELECT key, idx, d, count(*) OVER (PARTITION BY key) AS c FROM {n}{k}) GROUP BY key, idx // 16)""")
+        ctes.append(f"{n}{k + 1} AS (SELECT key, run AS idx, CASE WHEN c = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d FROM {n}r{k})")
+        around = "array_to_string(ds[1:idx % 16], '')", "array_to_string(ds[idx % 16 + 2:], '')"
+        more = ", subroot" if n == "u" else ""
+        ctes.append(f"""{f}{k + 1} AS (SELECT key, idx // 16 AS idx, doc_id, leaf{more}, CASE WHEN c = 1 THEN acc ELSE sha256({around[0]} || acc || {around[1]}) END AS acc,
+      CASE WHEN c = 1 THEN proof ELSE proof || {around[0]} || {around[1]} END AS proof FROM {f}{k} JOIN {n}r{k} USING (key) WHERE idx // 16 = run)""")
+
+    for k in range(depth):
+        climb("n", "f", k)
+    ctes.append(f"u0 AS (SELECT '' AS key, row_number() OVER (ORDER BY key) - 1 AS idx, key AS source_key, d FROM n{depth})")
+    ctes.append(f"g0 AS (SELECT '' AS key, u0.idx, doc_id, leaf, d AS subroot, acc, proof FROM f{depth} f JOIN u0 ON f.key = u0.source_key)")
+    for k in range(upper):
+        climb("u", "g", k)
+    body = ",\n".join(ctes)
+    return f"WITH {body}\nSELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = d AS verified FROM g{upper} JOIN u{upper} USING (key)"
+
+
+OP11_SQL = _manifest_sql(5, 3)
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)
+), found AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(50)) AS k FROM found)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -149,5 +227,8 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_mix": op9_mix,
     "op10_vectors": op10_vectors,
+    "op11_manifest": op11_manifest,
+    "op12_passages": op12_passages,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op5_url_rules": OP5_SQL, "op7_exact": OP7_SQL, "op10_vectors": OP10_SQL}
+ORACLES = {"op5_url_rules": OP5_SQL, "op7_exact": OP7_SQL, "op10_vectors": OP10_SQL, "op11_manifest": OP11_SQL, "op12_passages": OP12_SQL}
