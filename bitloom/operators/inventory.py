@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain, groupby
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sizing import param_join
+from .paths import critical_path
 
 # Memory primitives as (width, depth).
 MEMORY_PRIMITIVES = {
@@ -124,120 +121,6 @@ def cycles(layers: DataFrame) -> DataFrame:
     return with_cost(layers).selectExpr("*", f"{cycles_at(_a('PE'), _a('SIMD'))} AS cycles").drop(*COST)
 
 
-#: models with more nodes or edges than this are not solved inside one task
-MODEL_SIZE = 100_000
-
-
-def critical_path(nodes: DataFrame, edges: DataFrame, max_size: int = MODEL_SIZE) -> DataFrame:
-    """Longest path per node ``(model_id, layer_id, path)`` in acyclic graphs; ``nodes`` carry ``cycles``.
-
-    A model of up to ``max_size`` nodes and edges is solved by one task, all of them after a single
-    shuffle. Larger models advance together, one round per depth. An edge from or to a node that is
-    not there, and a cycle, are errors on both ways.
-    """
-    cost = nodes.select("model_id", "layer_id", F.col("cycles").cast("long").alias("cycles"))
-    edges = _with_nodes(edges, cost)
-    sizes = cost.select("model_id").unionByName(edges.select("model_id")).groupBy("model_id").agg(F.count("*").alias("_n"))
-    large = cut_lineage(sizes.where(F.col("_n") > max_size).select("model_id"))
-    if large.isEmpty():
-        return _path_by_model(cost, edges)
-
-    def part(df: DataFrame, how: str) -> DataFrame:
-        return param_join(df, large, ["model_id"], how, spread=[c for c in df.columns if c != "model_id"])
-
-    rounds = _path_by_rounds(part(cost, "left_semi"), part(edges, "left_semi"))
-    return _path_by_model(part(cost, "left_anti"), part(edges, "left_anti")).unionByName(rounds)
-
-
-def _with_nodes(edges: DataFrame, cost: DataFrame) -> DataFrame:
-    """The edges, which fail when they are read if one of their ends is missing."""
-    out = edges.select("model_id", "src", "dst")
-    known = cost.select("model_id", "layer_id", F.lit(True).alias("_known"))
-    for end in ("src", "dst"):
-        kind = out.schema[end].dataType
-        lost = F.raise_error(F.concat(F.lit(f"edge without its {end} node in model "), F.col("model_id").cast("string"))).cast(kind)
-        out = out.join(known.withColumnRenamed("layer_id", end), ["model_id", end], "left")
-        out = out.withColumn(end, F.when(F.col("_known").isNull(), lost).otherwise(F.col(end))).drop("_known")
-    return out
-
-
-def _longest(own: dict[int, int], before: dict[int, list[int]]) -> dict[int, int]:
-    """Longest path to each node of one model, in topological order."""
-    after: dict[int, list[int]] = {}
-    waiting = dict.fromkeys(own, 0)
-    for n, sources in before.items():
-        for s in sources:
-            after.setdefault(s, []).append(n)
-            waiting[n] += 1
-    ready, path = [n for n, w in waiting.items() if w == 0], {}
-    while ready:
-        n = ready.pop()
-        path[n] = own[n] + max((path[s] for s in before[n]), default=0)
-        for m in after.get(n, ()):
-            waiting[m] -= 1
-            if waiting[m] == 0:
-                ready.append(m)
-    if len(path) != len(own):
-        raise ValueError("the graph of a model has a cycle, or an edge without its node")
-    return path
-
-
-def _path_by_model(cost: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with their sources, brought together by model; a task holds one model at a time."""
-    sources = edges.groupBy("model_id", F.col("dst").alias("layer_id")).agg(F.collect_list("src").alias("srcs"))
-    nodes = cost.join(sources, ["model_id", "layer_id"], "left").select("model_id", "layer_id", "cycles", "srcs")
-    kind = cost.schema["layer_id"].dataType.simpleString()
-    kinds = (pa.string(), pa.int32() if kind == "int" else pa.int64(), pa.int64())
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
-        done: tuple[list, list, list] = ([], [], [])
-        for model, group in groupby(rows, key=lambda r: r[0]):
-            part = list(group)
-            path = _longest({r[1]: r[2] for r in part}, {r[1]: r[3] or [] for r in part})
-            done[0].extend([model] * len(path))
-            done[1].extend(path)
-            done[2].extend(path.values())
-            if len(done[0]) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], ["model_id", "layer_id", "path"])
-                done = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], ["model_id", "layer_id", "path"])
-
-    return nodes.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(solve, f"model_id string, layer_id {kind}, path bigint")
-
-
-def _path_by_rounds(cost: DataFrame, edges: DataFrame) -> DataFrame:
-    """Only nodes whose value grew go on to the next round; each round is checkpointed.
-
-    No path is longer than the nodes of its model, so growth beyond that many rounds is a cycle.
-    """
-    cost = cut_lineage(cost)
-    max_rounds = cost.groupBy("model_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    links = cut_lineage(
-        edges.join(cost.withColumnRenamed("layer_id", "dst"), ["model_id", "dst"]).select("model_id", "src", "dst", F.col("cycles").alias("_own"))
-    )
-    best = cost.select("model_id", "layer_id", F.col("cycles").alias("path"))
-    front = best
-    for _ in range(max_rounds + 1):
-        step = (
-            links.join(front.withColumnRenamed("layer_id", "src"), ["model_id", "src"])
-            .groupBy("model_id", F.col("dst").alias("layer_id"))
-            .agg(F.max(F.col("path") + F.col("_own")).alias("_new"))
-        )
-        merged = cut_lineage(
-            best.join(step, ["model_id", "layer_id"], "left").select(
-                "model_id",
-                "layer_id",
-                F.greatest("path", "_new").alias("path"),
-                F.coalesce(F.col("_new") > F.col("path"), F.lit(False)).alias("_grew"),
-            )
-        )
-        best, front = merged.drop("_grew"), merged.where("_grew").drop("_grew")
-        if front.isEmpty():
-            return best
-    raise ValueError("the graph of a model has a cycle")
-
-
 def performance(nodes: DataFrame, edges: DataFrame, clk_ns: float) -> DataFrame:
     """Slowest layer (the first on ties), critical path, rate and latency per model."""
     path = critical_path(nodes, edges).groupBy("model_id").agg(F.max("path").alias("critical_path_cycles"))
