@@ -1,9 +1,10 @@
 """Byte-level BPE with a two-tier lookup.
 
 A text is split by a pattern; each match is encoded for itself. The first tier is a minimal perfect hash over the vocabulary:
-hash, displace and compare, for all distinct matches of a slice of rows at once. What it misses is merged pair by pair, lowest
-rank first and then leftmost, with a heap over linked bytes. The tables are built once on the driver from the rank file and
-broadcast; they are as large as the vocabulary and do not grow with the data.
+hash, displace and compare. What it misses is merged pair by pair, lowest rank first and then leftmost, with a heap over linked
+bytes. A worker remembers the ids of the words it met last, in two generations, so a word is looked up once and not once a
+slice of rows. The tables are built once on the driver from the rank file and broadcast; they are as large as the vocabulary
+and do not grow with the data.
 
 Defined results: null counts as empty and gives no ids; any row gives one row, repeated ones too; texts of any length go
 through in slices, so memory holds ``SLICE`` matches besides the row itself; columns besides id and text are not read.
@@ -16,7 +17,7 @@ import heapq
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 200_000
-PIECES = 300_000  # merged words, and pairs of tokens, that a worker remembers
+WORDS = 400_000  # words of a generation that a worker remembers; there are two
+PAIRS = 300_000  # pairs of tokens that it remembers
+LONGEST = 64  # longer words are not remembered
 _PER_BUCKET = 2
 _MIX = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
@@ -90,6 +93,40 @@ def perfect_hash(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shift, slot_key
 
 
+class _Pairs(dict):
+    """Rank of two tokens joined, by first << 20 | second; -1 where that is no token."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= PAIRS:
+            self.clear()
+        tokens = self.codec.tokens
+        found = self[key] = self.codec.rank(tokens[key >> 20] + tokens[key & 0xFFFFF])
+        return found
+
+
+class _Words(dict):
+    """Ids of a word, as little-endian 32-bit integers. A full generation is kept as the old one, and what is used of it moves on."""
+
+    def __init__(self, codec: "Codec"):
+        super().__init__()
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.codec.packed(word.encode())
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Both tiers over one vocabulary."""
 
@@ -98,9 +135,11 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.shifts, self.slot_keys = shift.tolist(), slot_key.tolist()
         self.longest = max(map(len, tokens), default=0)
-        self.single = [self._rank(bytes([b])) for b in range(256)] if tokens else []
-        self.pairs: dict[int, int] = {}  # rank of two tokens together, of the last so many
-        self.pieces: dict[bytes, bytes] = {}  # ids of merged words, of the last so many
+        self.single = [self.rank(bytes([b])) for b in range(256)] if tokens else []
+        self.pairs, self.words = _Pairs(self), _Words(self)
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def whole(self, keys: list[bytes]) -> np.ndarray:
         """Rank of each key, -1 where it is not in the vocabulary."""
@@ -114,7 +153,7 @@ class Codec:
         same = np.fromiter((tokens[i] == k for i, k in zip(found.tolist(), keys)), bool, len(keys))
         return np.where(same, found, -1)
 
-    def _rank(self, key: bytes) -> int:
+    def rank(self, key: bytes) -> int:
         """``whole`` for one key, without arrays."""
         if len(key) > self.longest:
             return -1
@@ -131,83 +170,57 @@ class Codec:
 
     def merged(self, piece: bytes) -> list[int]:
         """Pieces of linked bytes merged by a heap of rank and start, lowest rank and then leftmost first."""
-        n, pairs, tokens, rank = len(piece), self.pairs, self.tokens, self._rank
+        n, pairs = len(piece), self.pairs
         ids = [self.single[b] for b in piece]  # by start of a piece; -1 for one merged into the piece before it
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[int] = []
-
-        def look(key: int) -> int:
-            if len(pairs) >= PIECES:
-                pairs.clear()
-            found = pairs[key] = rank(tokens[key >> 20] + tokens[key & 0xFFFFF])
-            return found
-
-        for i in range(n - 1):
-            key = ids[i] << 20 | ids[i + 1]
-            r = pairs.get(key)
-            if r is None:
-                r = look(key)
-            if r >= 0:
-                heap.append(r << 32 | i)
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := pairs[a << 20 | b]) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            entry = heapq.heappop(heap)
+            entry = pop(heap)
             a, r = entry & 0xFFFFFFFF, entry >> 32
             b = after[a]
-            if ids[a] < 0 or b >= n:
-                continue
-            key = ids[a] << 20 | ids[b]
-            now = pairs.get(key)
-            if (look(key) if now is None else now) != r:
+            if ids[a] < 0 or b >= n or pairs[ids[a] << 20 | ids[b]] != r:
                 continue  # one of the two was merged since
             ids[a], ids[b] = r, -1
             c = after[a] = after[b]
             if c < n:
                 before[c] = a
-                key = r << 20 | ids[c]
-                new = pairs.get(key)
-                if new is None:
-                    new = look(key)
+                new = pairs[r << 20 | ids[c]]
                 if new >= 0:
-                    heapq.heappush(heap, new << 32 | a)
+                    push(heap, new << 32 | a)
             d = before[a]
             if d >= 0:
-                key = ids[d] << 20 | r
-                new = pairs.get(key)
-                if new is None:
-                    new = look(key)
+                new = pairs[ids[d] << 20 | r]
                 if new >= 0:
-                    heapq.heappush(heap, new << 32 | d)
+                    push(heap, new << 32 | d)
         return [i for i in ids if i >= 0]
 
-    def encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each distinct word as little-endian 32-bit integers."""
-        keys = [w.encode() for w in words]
-        ranks = self.whole(keys)
-        packed = ranks.astype("<u4").tobytes()
-        out = {w: packed[4 * i : 4 * i + 4] for i, w in enumerate(words)}
-        for i in np.flatnonzero(ranks < 0).tolist():
-            ids = self.pieces.get(keys[i])
-            if ids is None:
-                merged = self.merged(keys[i])
-                ids = struct.pack(f"<{len(merged)}I", *merged)
-                if len(keys[i]) <= 64:
-                    if len(self.pieces) >= PIECES:
-                        self.pieces.clear()
-                    self.pieces[keys[i]] = ids
-            out[words[i]] = ids
-        return out
-
-    def slices(self, text: str) -> Iterator[list[str]]:
+    def packed(self, key: bytes) -> bytes:
+        """Ids of a word that is not remembered: the first tier, then the second."""
+        found = self.rank(key)
+        if found >= 0:
+            return found.to_bytes(4, "little")
+        merged = self.merged(key)
+        return struct.pack(f"<{len(merged)}I", *merged)
+
+    def encoded(self, text: str) -> bytes:
         if len(text) <= SLICE:
-            yield self.pattern.findall(text)
-            return
-        words = (m.group() for m in self.pattern.finditer(text))
+            return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        words, out = (m.group() for m in self.pattern.finditer(text)), []
         while part := list(islice(words, SLICE)):
-            yield part
+            out.append(b"".join(map(self.words.__getitem__, part)))
+        return b"".join(out)
 
     def decoded(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of all tokens, gathered from one flat table, ``SLICE`` ids at a time."""
+        out, every = [], np.frombuffer(ids, "<u4")
+        for at in range(0, len(every), SLICE):
+            part = every[at : at + SLICE]
+            sizes = self.sizes[part]
+            begin = np.cumsum(sizes) - sizes
+            out.append(self.flat[np.arange(sizes.sum()) + np.repeat(self.starts[part] - begin, sizes)].tobytes())
+        return b"".join(out)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -222,30 +235,11 @@ def _codec(name: str, shared) -> Codec:
 
 
 def _encode(codec: Codec, batches):
-    def flush(ids, parts):
-        known = codec.encoded(list(dict.fromkeys(chain.from_iterable(words for _, words in parts))))
-        rows = [b"".join(map(known.__getitem__, words)) for _, words in parts]
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
-
     for batch in batches:
-        first, parts, held = 0, [], 0
-        for k, text in enumerate(batch.column(1)):
-            text = text.as_py() or ""
-            if len(text) > SLICE:  # a long text by itself, slice by slice
-                if k > first:
-                    yield flush(batch.column(0)[first:k], parts)
-                out = b"".join(b"".join(map(codec.encoded(list(dict.fromkeys(w))).__getitem__, w)) for w in codec.slices(text))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array([len(out) // 4], pa.int64()), pa.array([out], pa.binary())], ["id", "n_tokens", "ids"])
-                first, parts, held = k + 1, [], 0
-                continue
-            words = codec.pattern.findall(text)
-            parts.append((k - first, words))
-            held += len(words)
-            if held >= SLICE:
-                yield flush(batch.column(0)[first : k + 1], parts)
-                first, parts, held = k + 1, [], 0
-        if first < batch.num_rows:
-            yield flush(batch.column(0)[first:], parts)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            rows = [codec.encoded(t.as_py() or "") for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
 
 
 def _decode(codec: Codec, batches):
