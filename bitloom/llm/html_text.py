@@ -205,6 +205,7 @@ class _Blocks(HTMLParser):
         self.found: list[tuple[str, int, int, int, bool]] = []  # text, words, linked words, container, in a heading
         self.made: list[tuple[int, int]] = [(0, 0)]  # containers: the one around it, kind
         self.open: list[tuple[str, int]] = []  # tag, container its text lies in
+        self.opened: dict[str, int] = {}  # how many elements of a name are open
         self.parts: list[str] = []
         self.linked = self.unseen = self.links = 0
 
@@ -265,6 +266,7 @@ class _Blocks(HTMLParser):
             self.made.append((at, kind))
             at = len(self.made) - 1
         self.open.append((tag, at))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -274,14 +276,14 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for t, _ in self.open[k:]:
-                    self.unseen -= t in UNSEEN
-                    self.links -= t == "a"
-                self.unseen = max(0, self.unseen)
-                del self.open[k:]
-                return
+        """Close up to the last open element of that name. Each element is taken off once; an end without its start costs nothing."""
+        last = None
+        while self.opened.get(tag) and last != tag:
+            last = self.open.pop()[0]
+            self.opened[last] -= 1
+            self.unseen -= last in UNSEEN
+            self.links -= last == "a"
+        self.unseen = max(0, self.unseen)
 
     def handle_endtag(self, tag):
         if tag in BLOCK:

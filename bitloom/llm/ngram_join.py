@@ -156,22 +156,28 @@ def jaccard_links(threshold: float):
 
 
 def _linked(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """texts: id, t and further columns. One row per row: id, the further columns, root (of its class, null without a word),
-    class_id, n_links, n_grams."""
+    """texts: id, t, h (hash of the text) and further columns. One row per row: id, h, the further columns, root (of its class,
+    null without a word), class_id, n_links, n_grams."""
     more = texts.columns[2:]
     bands, rows = choose_bands(threshold, recall)
     kind = texts.schema["id"].dataType.simpleString()
     further = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in more)
     signed = stored(texts.mapInArrow(_signatures(n, bands, rows), f"id {kind}, node bigint, grams bigint, keys array<bigint>{further}"), "bands")
 
-    # an id that names the class, to find its text again; null ids are found by themselves
+    # an id and a text hash name one text of the class, to find it again, whatever ids are null or repeated
     classes = signed.filter("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"), F.first("grams").alias("grams"), F.first("keys").alias("keys")
+        F.count(F.lit(1)).alias("weight"),
+        F.min("id").alias("first_id"),
+        F.min(F.struct("id", "h")).alias("head"),
+        F.first("grams").alias("grams"),
+        F.first("keys").alias("keys"),
     )
     classes = stored(classes, "classes")
     seats = blocks.seats(classes.select("node", (F.col("grams") * 8).alias("size"), "keys"))
-    wanted = seats.join(classes.select("node", "weight", "first_id"), "node")
-    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["first_id"])).select("id", "t", "node", "weight", "seats")
+    wanted = seats.join(classes.select("node", "weight", F.col("head.id").alias("head_id"), F.col("head.h").alias("head_h")), "node")
+    found = texts.join(wanted, texts["id"].eqNullSafe(wanted["head_id"]) & (texts["h"] == wanted["head_h"])).select("id", "t", "node", "weight", "seats")
+    if not signed.groupBy("id", "h").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["node"])  # rows given more than once are found more than once
     seat = found.schema["seats"].dataType.simpleString()
     sets = found.mapInArrow(_sets(n), f"id {kind}, made bigint, payload binary, node bigint, weight bigint, seats {seat}")
     links = blocks.link(sets.filter("made = node").drop("id", "made"), jaccard_links(threshold), "links")
@@ -201,7 +207,7 @@ def ngram_links(
     recall: float = RECALL,
 ) -> DataFrame:
     """One row per row: id, class_id (smallest id reachable by links), n_links (other rows directly linked), n_grams."""
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("h"))
     return _linked(texts, n, threshold, recall).select(F.col("id").alias(id_col), "class_id", "n_links", "n_grams")
 
 

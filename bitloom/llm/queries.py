@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_text, lang_id, merkle, mixing, ngram_join, passages, repeats, secret_scan, url_filter, vector_dedup, whitening
@@ -105,15 +105,15 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def domains(docs: DataFrame) -> DataFrame:
+def domain_of(source: Column) -> Column:
     """The domain of a source: the large one, or by its last digit."""
-    odd = F.substring("source", -1, 1).isin("1", "3", "5", "7", "9")
-    return docs.withColumn("domain", F.when(F.col("source") == "src0", "large").when(odd, "odd").otherwise("even"))
+    odd = F.substring(source, -1, 1).isin("1", "3", "5", "7", "9")
+    return F.when(source == "src0", "large").when(odd, "odd").otherwise("even")
 
 
 def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
     weights = spark.createDataFrame(WEIGHTS, "depth int, domain string, lang string, source string, weight double")
-    return mixing.mix(domains(docs), weights, TREE, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixing.mix(docs.withColumn("domain", domain_of(docs["source"])), weights, TREE, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ Two first-order models over characters, one of random strings and one of ordinar
 ``(sample, is_random)``, which may name the family of a sample: all families of a class weigh the same. A candidate is a run of at least ``MIN_LEN`` characters of ``[A-Za-z0-9+/_=-]`` that overlaps no
 pattern match; it is a secret if the mean log-likelihood ratio of its steps is above ``threshold``.
 
-Everything is expressions over the row, so a text never leaves its task. Positions are code points. The work on a
-text is linear in its length and quadratic in its number of matches.
+Everything is expressions over the row, so a text never leaves its task. Positions are code points. Each pattern splits a text
+once; positions are running sums of the lengths, taken in pieces so that no step copies all before it; steps are scored over
+an array of characters; overlaps are found by binary search. So the work grows with the text and its matches in proportion, but
+for a logarithm.
 
 Defined results: null and empty texts have no spans and the hash of the empty string; repeated rows give repeated rows; an empty
 table gives an empty table, with the fixed tables below as the only samples; columns besides id and text are not read.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,33 +50,57 @@ user_account_name customer_id order_line_item_total max_retry_count_10 get_value
 getUserNameById HttpRequestHandler parseXmlDocument createNewOrderItem MAX_BUFFER_SIZE DEFAULT_TIMEOUT_SECONDS ERROR_CODE_404
 version-1-2-0 release_2021_04 chapter-12-section-3 utf-8-encoding size=1024 page=2 index=10 name=value and/or input/output
 """.split()
+PIECE = 128  # lengths that are added up one by one
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, order: int, fits: Column | None = None) -> Column:
-    """start, order and end of each match, from the lengths of the matches and of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column], first: int) -> Column:
+    """All values up to each place merged, ``first`` being neutral: within pieces, and then with what is before a piece."""
+    none = F.expr("cast(array() as array<int>)")
+    begin = F.struct(F.lit(first).alias("at"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return _let(merge(acc["at"], x), lambda m: F.struct(m.alias("at"), F.concat(acc["out"], F.array(m)).alias("out")))
+
+    def before(acc: Column, piece: Column) -> Column:
+        total = merge(acc["at"], F.coalesce(F.get(piece, F.size(piece) - 1), F.lit(first)))
+        return F.struct(total.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def of(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / PIECE).cast("int"), F.lit(1)) - 1
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * PIECE + 1, F.lit(PIECE)))
+        inner = F.transform(pieces, lambda p: F.reduce(p, begin, step, lambda acc: acc["out"]))
+        return _let(inner, lambda s: F.flatten(F.zip_with(s, F.reduce(s, begin, before, lambda acc: acc["out"]), lambda p, o: F.transform(p, lambda x: merge(o, x)))))
+
+    return _let(values, of)
+
+
+def _spans(text: Column, pattern: str, order: int, fits: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
+    """start, order and end of each match, from the lengths of the matches and of what lies between them; ``fits`` is asked
+    about a group of the match."""
+    none = F.expr(f"cast(array() as {SPAN})")
     between = F.transform(F.split(text, pattern, -1), F.length)
-    length = F.transform(found, F.length)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    steps = F.sequence(F.lit(0), F.size(found) - 1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.get(between, i)
-        end = begin + F.get(length, i)
-        one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(lengths: Column) -> Column:
+        both = F.zip_with(F.slice(between, F.lit(1), F.size(lengths)), lengths, lambda a, b: a + b)
+        ends = _running(both, lambda a, b: a + b, 0)
+        return F.zip_with(ends, lengths, lambda e, n: F.struct((e - n).alias("start"), F.lit(order).alias("ord"), e.alias("end")))
 
-    spans = F.reduce(steps, start, step, lambda acc: acc["out"])
+    spans = _let(F.transform(found, F.length), placed)
     if fits is not None:
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), fits.alias("ok")), lambda z: z["ok"]), lambda z: z["s"])
-    none = F.expr(f"cast(array() as {SPAN})")
+        ok = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), fits)
+        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), ok.alias("ok")), lambda z: z["ok"]), lambda z: z["s"])
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def _assign(text: Column) -> Column:
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    return _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= 12))
+    return _spans(text, ASSIGN, 0, lambda v: F.length(v) >= 12, 2)
 
 
 def random_token(family: str, k: int) -> str:
@@ -157,18 +184,43 @@ def step_scores(samples: DataFrame) -> list[float]:
     return scores
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """Those spans that overlap none of ``base``: the furthest end among the spans that start before the end of one, by binary search."""
+
+    def of(sorted_: Column) -> Column:
+        furthest = _running(F.transform(sorted_, lambda b: b["end"]), F.greatest, 0)
+
+        def among(z: Column) -> Column:
+            def halve(acc: Column, _: Column) -> Column:
+                middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+                below = F.get(z["starts"], middle) < acc["end"]
+                open_ = acc["lo"] < acc["hi"]
+                return F.struct(F.when(open_ & below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(acc["hi"]).alias("hi"), acc["end"].alias("end"))
+
+            def free(s: Column) -> Column:
+                begin = F.struct(F.lit(0).alias("lo"), F.size(z["starts"]).alias("hi"), s["end"].alias("end"))
+                n = F.reduce(F.sequence(F.lit(0), F.ceil(F.log2(F.size(z["starts"]) + 1)).cast("int")), begin, halve, lambda acc: acc["lo"])
+                return F.coalesce(F.get(z["furthest"], n - 1), F.lit(0)) <= s["start"]
+
+            return F.filter(spans, free)
+
+        return _let(F.struct(F.transform(sorted_, lambda b: b["start"]).alias("starts"), furthest.alias("furthest")), among)
+
+    return F.when(F.size(base) == 0, spans).otherwise(_let(F.array_sort(base), of))
+
+
 def _random_spans(text: Column, base: Column, scores: list[float], threshold: float) -> Column:
     weights = F.from_json(F.lit(json.dumps(scores)), "array<double>")
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
-    def score(v: Column) -> Column:
-        at = lambda i: F.get(weights, F.ascii(F.substring(v, i, F.lit(1))) * 128 + F.ascii(F.substring(v, i + 1, F.lit(1))))
-        total = F.reduce(F.sequence(F.lit(1), F.length(v) - 1), F.lit(0.0), lambda acc, i: acc + at(i))
-        return total / (F.length(v) - 1)
+    def likely(v: Column) -> Column:
+        def mean(codes: Column) -> Column:
+            n = F.size(codes)
+            steps = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: F.get(weights, a * 128 + b))
+            return F.reduce(steps, F.lit(0.0), lambda acc, x: acc + x) / (n - 1)
+
+        return _let(F.transform(F.filter(F.split(v, ""), lambda c: c != ""), F.ascii), mean) > threshold
 
-    found = _spans(text, CANDIDATE, 3, F.transform(values, lambda v: score(v) > threshold))
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(found, apart)
+    return _apart(_spans(text, CANDIDATE, 3, likely), base)
 
 
 def _text_of(spans: Column) -> Column:
