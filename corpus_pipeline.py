@@ -30,8 +30,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy of a document, so what follows sees it in as many epochs as the mixture gives it."""
     chosen = queries.mixture(spark, docs).select(F.col("doc_id").alias("chosen_id"), F.struct(*queries.TREE).alias("leaf"), "copies")
-    leaf = F.struct(*[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")).alias(c) for c in queries.TREE])
-    rows = queries.domains(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), leaf.alias("at"))
+    tree = {"domain": queries.domain_of(docs["source"]), "lang": docs["lang"], "source": docs["source"]}
+    leaf = F.struct(*[F.coalesce(F.nullif(tree[c], F.lit("")), F.lit("(none)")).alias(c) for c in queries.TREE])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), leaf.alias("at"))
     rows = rows.join(chosen, rows["row.doc_id"].eqNullSafe(chosen["chosen_id"]) & (F.col("at") == F.col("leaf")))
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
