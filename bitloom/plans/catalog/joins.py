@@ -109,6 +109,19 @@ def _(spark, sf):
     return TH.multi_threshold(image(spark, sf, 4, 4), shared, 2, -1, channel=None)
 
 
+@query(
+    "j6_threshold_range_count",
+    """WITH rows AS (SELECT o_custkey % 3 AS c, o_totalprice AS v, 1 AS cell, o_orderkey FROM orders
+  UNION ALL SELECT l_linenumber % 3, l_extendedprice * 3, 0, NULL FROM lineitem),
+run AS (SELECT *, sum(1 - cell) OVER (PARTITION BY c ORDER BY v, cell ROWS UNBOUNDED PRECEDING) AS n FROM rows)
+SELECT o_orderkey AS row_id, c, v AS val, n::BIGINT AS reached FROM run WHERE cell = 1""",
+)
+def _(spark, sf):
+    cells = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", "o_custkey % 3 AS c", "o_totalprice AS val")
+    steps = table(spark, sf, "lineitem").selectExpr("l_linenumber % 3 AS c", "l_extendedprice * 3 AS t")
+    return TH.range_count(cells, steps)
+
+
 @query(
     "j6_threshold_many_steps",
     """WITH p AS (SELECT l_orderkey AS row_id, ((l_linenumber - 1) % 7)::BIGINT AS c, CAST(floor(l_extendedprice) AS BIGINT) AS val FROM lineitem)
