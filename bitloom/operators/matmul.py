@@ -12,9 +12,14 @@ from pyspark.sql import types as T
 
 from ..functions.packing import lanes
 from ..functions.scalars import whole_div
+from ..session import saved
 from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
 from .thresholds import multi_threshold
 
+#: inputs and outputs of a block of weights, and rows that meet it in one task: 8 MB and about 64 MB of doubles
+BLOCK_SIDE = 1024
+BLOCK_ROWS = 8192
+
 
 def weight_matrix(weights: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """``(in_idx, out_idx, w)`` as a dense matrix; refuses more than ``MATRIX_ELEMENTS`` entries."""
@@ -119,9 +124,9 @@ def _fits(weights: DataFrame, shape: tuple[int, int]) -> bool:
 
 
 def matmul(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: str = "vec") -> DataFrame:
-    """``x[rows, MW] . W[MW, MH]`` on vectors; no shuffle for weights of proven size, strips of them beyond it."""
+    """``x[rows, MW] . W[MW, MH]`` on vectors; no shuffle for weights of proven size, blocks of them beyond it."""
     if not _fits(weights, shape):
-        return _by_strips(df, weights, shape, vec)
+        return _by_blocks(df, weights, shape, vec)
     return dense_layers(df, [(weight_matrix(weights, shape), None, 1, 0)], vec)
 
 
@@ -130,12 +135,64 @@ def mvau(
 ) -> DataFrame:
     """Product, then per-output thresholds; tables of any size, as ``matmul``."""
     if not _fits(weights, shape) or shape[1] * steps > MATRIX_ELEMENTS:
-        return _by_strips(df, weights, shape, "vec", lambda cells: multi_threshold(cells, thresholds, out_scale, out_bias, spread=("_row",)))
+        return _by_blocks(df, weights, shape, "vec", lambda cells: multi_threshold(cells, thresholds, out_scale, out_bias, spread=("_row",)))
     layer = (weight_matrix(weights, shape), threshold_matrix(thresholds, shape[1], steps), out_scale, out_bias)
     return dense_layers(df, [layer])
 
 
-def _by_strips(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _packed_blocks(weights: DataFrame, side: int) -> DataFrame:
+    """``(in_idx, out_idx, w)`` as ``(ib, ob, m)``: blocks of ``side x side`` doubles, one row a block; blocks of zeros are absent."""
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        m = np.zeros((side, side))
+        np.add.at(m, (table["i"].to_numpy(), table["o"].to_numpy()), table["w"].to_numpy())
+        return pa.table({"ib": [key[0].as_py()], "ob": [key[1].as_py()], "m": pa.array([m.tobytes()], pa.binary())}, schema=schema)
+
+    schema = pa.schema([("ib", pa.int32()), ("ob", pa.int32()), ("m", pa.binary())])
+    place = [whole_div(F.col(c), side).cast("int").alias(n) for c, n in (("in_idx", "ib"), ("out_idx", "ob"))]
+    within = [(F.col(c) % side).cast("int").alias(n) for c, n in (("in_idx", "i"), ("out_idx", "o"))]
+    entries = weights.where("w <> 0").select(*place, *within, F.col("w").cast("double").alias("w"))
+    return entries.groupBy("ib", "ob").applyInArrow(pack, "ib int, ob int, m binary")
+
+
+def block_sums(rows: DataFrame, weights: DataFrame, shape: tuple[int, int], side: int | None = None, together: int | None = None) -> DataFrame:
+    """``(_row, vec)`` times weights of any size as ``(_row, ob, val)``: output block ``ob`` of each row, ``side`` outputs.
+
+    Vectors are cut into slices of ``side`` inputs, weights into blocks of ``side x side``. A task multiplies one block with
+    the slices of about ``together`` rows; each slice is sent once per output block and each weight block once per
+    ``together`` rows. Partial products are added in the order of the input blocks, so results do not depend on timing.
+    """
+    side, together = side or BLOCK_SIDE, together or BLOCK_ROWS
+    n_in, n_out = (-(-n // side) for n in shape)
+    shares = -(-max(1, rows.count()) // together)
+    share = F.pmod(F.xxhash64("_row"), F.lit(shares)).cast("int").alias("share")
+    at = F.sequence(F.lit(0), F.lit(n_in - 1))
+    slices = F.transform(at, lambda b: F.struct(b.cast("int").alias("ib"), F.slice(F.col("vec").cast("array<double>"), b * side + 1, F.lit(side)).alias("x")))
+    left = rows.select("_row", share, F.explode(slices).alias("s")).select("_row", "share", "s.ib", "s.x", F.explode(F.sequence(F.lit(0), F.lit(n_out - 1))).alias("ob"))
+    right = _packed_blocks(weights, side).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    kind = rows.schema["_row"].dataType.simpleString()
+
+    def product(key: tuple, xs: pa.Table, ws: pa.Table) -> pa.Table:
+        ib, ob = key[0].as_py(), key[1].as_py()
+        # the first block stands for every output, also one whose weights are all zero
+        if not xs.num_rows or not ws.num_rows and ib:
+            return pa.table({"_row": xs["_row"].slice(0, 0), "ob": pa.array([], pa.int32()), "ib": pa.array([], pa.int32()), "val": pa.array([], pa.list_(pa.float64()))})
+        width = min(side, shape[1] - ob * side)
+        x = xs["x"].combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        w = np.frombuffer(ws["m"][0].as_py()).reshape(side, side)[: x.shape[1], :width] if ws.num_rows else np.zeros((x.shape[1], width))
+        offsets = pa.array(np.arange(0, len(x) * width + 1, width, dtype=np.int32))
+        n = pa.array(np.full(len(x), ob, np.int32)), pa.array(np.full(len(x), ib, np.int32))
+        return pa.table({"_row": xs["_row"], "ob": n[0], "ib": n[1], "val": pa.ListArray.from_arrays(offsets, pa.array((x @ w).ravel()))})
+
+    keys = ["ib", "ob", "share"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, f"_row {kind}, ob int, ib int, val array<double>")
+    ordered = F.array_sort(F.collect_list(F.struct("ib", "val")))
+    sums = parts.groupBy("_row", "ob").agg(ordered.alias("p"))
+    return sums.select("_row", "ob", F.reduce(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0]["val"], lambda acc, q: F.zip_with(acc, q["val"], lambda a, b: a + b)).alias("val"))
+
+
+def _by_blocks(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``matmul`` for weights no task should hold. Rows are known by a hash of all their columns, equal rows are multiplied once.
 
     ``then`` maps the sums ``(_row, c, val)`` before they are put into vectors again.
@@ -144,10 +201,15 @@ def _by_strips(df: DataFrame, weights: DataFrame, shape: tuple[int, int], vec: s
     wrong = F.col(vec).isNull() | (F.size(vec) != shape[0]) | F.exists(vec, lambda x: x.isNull())
     stop = F.raise_error(F.lit(f"every vector must have {shape[0]} elements and no null")).cast(df.schema[vec].dataType)
     once = named.select("_row", F.when(wrong, stop).otherwise(F.col(vec)).alias("vec")).dropDuplicates(["_row"])
-    sums = matmul_blocks(once, weights, shape[1], ["_row"], kind="double").select("_row", F.col("out_idx").alias("c"), F.col("acc").alias("val"))
-    sums = sums if then is None else then(sums)
-    ordered = F.array_sort(F.collect_list(F.struct("c", F.col("val").cast("long").alias("val"))))
-    vectors = sums.groupBy("_row").agg(F.transform(ordered, lambda s: s["val"]).alias("_out"))
+    sums = block_sums(saved(once, "product-rows"), weights, shape)
+    if then is None:
+        ordered = F.array_sort(F.collect_list(F.struct("ob", "val")))
+        vectors = sums.groupBy("_row").agg(F.flatten(F.transform(ordered, lambda s: s["val"])).cast("array<bigint>").alias("_out"))
+    else:
+        cells = sums.select("_row", "ob", F.posexplode("val").alias("_o", "val"))
+        cells = then(cells.select("_row", (F.col("ob") * BLOCK_SIDE + F.col("_o")).alias("c"), "val"))
+        ordered = F.array_sort(F.collect_list(F.struct("c", F.col("val").cast("long").alias("val"))))
+        vectors = cells.groupBy("_row").agg(F.transform(ordered, lambda s: s["val"]).alias("_out"))
     joined = named.join(vectors, "_row")
     return joined.select(*[c for c in df.columns if c != vec], F.col("_out").alias(vec))
 

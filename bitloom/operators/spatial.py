@@ -12,14 +12,20 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import whole_div
 from ..sizing import MATRIX_ELEMENTS, param_join, rows_at_most
+from .matmul import agreement, depthwise
+from .thresholds import multi_threshold
+
+#: cells a tile of an image reads, or results it gives, at most about
+TILE_CELLS = 1 << 21
+OUT_CLASSES = 64
 
 
 def window_count(size: int, k: int, stride: int, dilation: int = 1) -> int:
     return (size - (dilation * (k - 1) + 1)) // stride + 1
 
 
-def _feeds(pos: Column, k: int, stride: int, dilation: int, n_out: int) -> Column:
-    """Outputs (and kernel taps) an input position feeds along one axis."""
+def _feeds(pos: Column, k: int | Column, stride: int | Column, dilation: int | Column, n_out: int | Column) -> Column:
+    """Outputs (and kernel taps) an input position feeds along one axis; sizes are numbers or columns."""
     taps = F.sequence(F.lit(0), F.lit(k - 1))
     pairs = F.transform(taps, lambda t: F.struct((pos - t * dilation).alias("at"), t.alias("tap")))
     usable = F.filter(pairs, lambda p: (p["at"] >= 0) & (p["at"] % stride == 0) & (p["at"] < n_out * stride))
@@ -42,6 +48,35 @@ def im2col(
     )
 
 
+SHAPE = ("height", "width", "kh", "kw", "sh", "sw", "dh", "dw")
+
+
+def im2col_by_batch(cells: DataFrame, shapes: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Windows of batches whose image size, kernel, stride and dilation differ: ``shapes`` has one row per batch with the columns of ``SHAPE``.
+
+    A cell meets the shape of its batch and is sent to its windows, as in ``im2col``. Cells of a batch without a
+    shape give no windows; a size, kernel, stride or dilation that is null or below 1, and a kernel wider than its image, are errors.
+    """
+    wrong = F.lit(False)
+    for c in SHAPE:
+        wrong = wrong | F.coalesce(F.col(c) < 1, F.lit(True))
+    for n, k, d in (("height", "kh", "dh"), ("width", "kw", "dw")):
+        wrong = wrong | (F.col(d) * (F.col(k) - 1) + 1 > F.col(n))
+    stop = F.raise_error(F.concat(F.lit("no window fits the shape of batch "), F.col(batch).cast("string"))).cast("int")
+    checked = shapes.select(batch, F.when(wrong, stop).otherwise(F.col("height").cast("int")).alias("height"), *[F.col(c).cast("int").alias(c) for c in SHAPE[1:]])
+    named = checked.select(F.col(batch), F.struct(*SHAPE).alias("_s"))
+    keep = [c for c in cells.columns if c not in ("h", "w", "c", "val")]
+    met = param_join(cells, named, [batch], "inner", spread=keep)
+
+    def feeds(pos: str, n: str, k: str, s: str, d: str) -> Column:
+        size, taps, step, apart = (F.col(f"_s.{c}") for c in (n, k, s, d))
+        outs = whole_div(size - (apart * (taps - 1) + 1), step) + 1
+        return _feeds(F.col(pos), taps, step, apart, outs)
+
+    both = met.withColumn("_y", F.explode(feeds("h", "height", "kh", "sh", "dh"))).withColumn("_x", F.explode(feeds("w", "width", "kw", "sw", "dw")))
+    return both.select(*keep, F.col("_y.o").alias("oh"), F.col("_x.o").alias("ow"), F.col("_y.k").alias("kh"), F.col("_x.k").alias("kw"), "c", "val")
+
+
 def window_order(kernel: tuple[int, int], channels: int, depthwise: bool = False) -> Column:
     """Position inside a window: ``(kh, kw, c)``, or channel first for depthwise use."""
     tap = F.col("kh") * kernel[1] + F.col("kw")
@@ -55,68 +90,128 @@ def _convolve_cells(cells: DataFrame, weights: DataFrame, size, kernel, stride,
     joined = param_join(windows, taps, ["kh", "kw", "c"], "inner", spread=("row_id", "oh", "ow"))
     terms = joined.select("row_id", "oh", "ow", "out_idx", (F.col("val").cast("long") * F.col("w")).alias("val"))
     n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
-    outs = weights.agg(F.collect_set("out_idx")).scalar()
     grid = cells.select("row_id").distinct()
     for name, count in (("oh", n[0]), ("ow", n[1])):
         grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    zeros = grid.withColumn("out_idx", F.explode(outs)).withColumn("val", F.lit(0).cast(terms.schema["val"].dataType))
+    # each position meets every output once; the outputs lie in classes, so they are not held in one value
+    outs = weights.select("out_idx", F.pmod("out_idx", F.lit(OUT_CLASSES)).alias("_class")).distinct()
+    classed = grid.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(OUT_CLASSES - 1))))
+    zeros = param_join(classed, outs, ["_class"], "inner", spread=("row_id", "oh", "ow"))
+    zeros = zeros.select("row_id", "oh", "ow", "out_idx", F.lit(0).cast(terms.schema["val"].dataType).alias("val"))
     return terms.unionByName(zeros).groupBy("row_id", "oh", "ow", "out_idx").agg(F.sum("val").alias("val"))
 
 
-def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation) -> DataFrame:
+def _tile(n_out: int, side: int, k: int, stride: int, dilation: int) -> tuple[int, int]:
+    """Outputs of a tile along an axis, such that it reads about ``side`` inputs, and the number of tiles."""
+    size = min(n_out, max(1, (side - dilation * (k - 1) - 1) // stride + 1))
+    return size, -(-n_out // size)
+
+
+def _tiles_of(pos: Column, size: int, n_tiles: int, k: int, stride: int, dilation: int) -> Column:
+    """The tiles an input position is read by: its own and, within the halo, those before."""
+    span = size * stride
+    reach = (size - 1) * stride + (k - 1) * dilation
+    first = F.greatest(F.ceil((pos - reach) / span), F.lit(0))
+    last = F.least(F.floor(pos / span), F.lit(n_tiles - 1))
+    return F.when(first <= last, F.sequence(first, last))
+
+
+def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation, depthwise: bool = False) -> DataFrame:
     """Sum of products over shifted cells; positions without a cell, or with a null, count as zero.
 
-    Each image is one row of its cells, multiplied in Arrow batches with weights of proven size.
+    Outputs are cut into tiles. A cell goes to the tiles that read it, more than one only in the halo where tiles overlap, and a
+    tile is one row of at most about ``TILE_CELLS`` cells, multiplied in Arrow batches with weights of proven size.
+    An image of up to that size is one tile. ``depthwise`` weights have no ``out_idx``: each channel is its own output.
     """
-    if not rows_at_most(weights, MATRIX_ELEMENTS):
-        return _convolve_cells(cells, weights, size, kernel, stride, dilation)
-    table = weights.select("kh", "kw", "c", "out_idx", "w").toArrow()
+    n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
+    table = weights.select("kh", "kw", "c", *([F.col("c").alias("out_idx")] if depthwise else ["out_idx"]), "w").toArrow()
     at = {name: table[name].to_numpy() for name in table.column_names}
     outs, column = np.unique(at["out_idx"], return_inverse=True)
     depth = int(at["c"].max()) + 1 if len(table) else 1
-    taps = np.zeros((kernel[0], kernel[1], depth, len(outs)))
-    np.add.at(taps, (at["kh"], at["kw"], at["c"], column), at["w"])
-    n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
+    taps = np.zeros((*kernel, depth) if depthwise else (*kernel, depth, len(outs)))
+    np.add.at(taps, (at["kh"], at["kw"], at["c"]) if depthwise else (at["kh"], at["kw"], at["c"], column), at["w"])
+    deep = max(depth, len(outs), 1)
+    side = max(1, int((TILE_CELLS // deep) ** 0.5))
+    (high, rows), (wide, columns) = (_tile(n[a], side, kernel[a], stride[a], dilation[a]) for a in (0, 1))
+    read = [(t - 1) * stride[a] + (kernel[a] - 1) * dilation[a] + 1 for a, t in ((0, high), (1, wide))]
     out_schema = f"row_id {cells.schema['row_id'].dataType.simpleString()}, oh int, ow int, out_idx int, val double"
 
     def products(x: np.ndarray) -> np.ndarray:
-        acc = np.zeros((len(x), n[0], n[1], len(outs)))
+        acc = np.zeros((len(x), high, wide, len(outs)))
         for kh, kw in np.ndindex(*kernel):
             top, left = kh * dilation[0], kw * dilation[1]
-            acc += x[:, top : top + (n[0] - 1) * stride[0] + 1 : stride[0], left : left + (n[1] - 1) * stride[1] + 1 : stride[1]] @ taps[kh, kw]
+            met = x[:, top : top + (high - 1) * stride[0] + 1 : stride[0], left : left + (wide - 1) * stride[1] + 1 : stride[1]]
+            acc += (met * taps[kh, kw])[..., outs] if depthwise else met @ taps[kh, kw]
         return acc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together = max(1, (1 << 22) // (size[0] * size[1] * max(depth, len(outs))))
+        together = max(1, 2 * TILE_CELLS // (max(read[0] * read[1], high * wide) * deep))
         for batch in batches:
             for start in range(0, batch.num_rows, together):
                 part = batch.slice(start, together)
-                image = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
-                h, w, c, val = (part.column(1).flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                used = (h >= 0) & (h < size[0]) & (w >= 0) & (w < size[1]) & (c >= 0) & (c < depth)
-                place = ((image * size[0] + h) * size[1] + w) * depth + c
-                x = np.bincount(place[used], val[used], part.num_rows * size[0] * size[1] * depth)
-                acc = products(x.reshape(part.num_rows, size[0], size[1], depth))
+                tile = np.repeat(np.arange(part.num_rows), part.column(3).value_lengths().to_numpy())
+                h, w, c, val = (part.column(3).flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                ty, tx = (part.column(k).to_numpy() for k in (1, 2))
+                h, w = h - ty[tile] * (high * stride[0]), w - tx[tile] * (wide * stride[1])
+                used = (h >= 0) & (h < read[0]) & (w >= 0) & (w < read[1]) & (c >= 0) & (c < depth)
+                place = ((tile * read[0] + h) * read[1] + w) * depth + c
+                x = np.bincount(place[used], val[used], part.num_rows * read[0] * read[1] * depth)
+                acc = products(x.reshape(part.num_rows, read[0], read[1], depth))
                 row, oh, ow, out = (i.ravel() for i in np.indices(acc.shape, np.int32))
-                columns = [part.column(0).take(pa.array(row)), pa.array(oh), pa.array(ow), pa.array(outs[out].astype(np.int32)), pa.array(acc.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["row_id", "oh", "ow", "out_idx", "val"])
+                oh, ow = oh + (ty[row] * high).astype(np.int32), ow + (tx[row] * wide).astype(np.int32)
+                inside = (oh < n[0]) & (ow < n[1])
+                got = [part.column(0).take(pa.array(row[inside])), pa.array(oh[inside]), pa.array(ow[inside]), pa.array(outs[out[inside]].astype(np.int32)), pa.array(acc.ravel()[inside])]
+                yield pa.RecordBatch.from_arrays(got, ["row_id", "oh", "ow", "out_idx", "val"])
 
     value = F.coalesce(F.col("val").cast("long"), F.lit(0)).cast("double").alias("val")
-    cell = F.struct(*[F.col(p).cast("long").alias(p) for p in ("h", "w", "c")], value)
-    done = cells.groupBy("row_id").agg(F.collect_list(cell).alias("cells")).mapInArrow(run, out_schema)
+    cell = F.struct(*[F.col(p).cast("long").alias(p) for p in ("h", "w", "c")], value).alias("cell")
+    if rows * columns == 1:
+        zero = F.lit(0).cast("long")
+        tiles = cells.groupBy("row_id").agg(F.collect_list(cell).alias("cells")).select("row_id", zero.alias("ty"), zero.alias("tx"), "cells")
+    else:
+        ty = F.explode(_tiles_of(F.col("h"), high, rows, kernel[0], stride[0], dilation[0])).alias("ty")
+        tx = F.explode(_tiles_of(F.col("w"), wide, columns, kernel[1], stride[1], dilation[1])).alias("tx")
+        sent = cells.select("row_id", cell, ty).select("row_id", "cell", "ty", F.col("cell.w").alias("w")).select("row_id", "ty", tx, "cell")
+        # every tile of an image is there, also one without cells; the null it brings is not collected
+        every = cells.select("row_id").distinct().select("row_id", F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1).cast("long"))).alias("t"))
+        every = every.select("row_id", whole_div(F.col("t"), columns).cast("long").alias("ty"), (F.col("t") % columns).cast("long").alias("tx"), F.lit(None).cast(sent.schema["cell"].dataType).alias("cell"))
+        tiles = sent.unionByName(every).groupBy("row_id", "ty", "tx").agg(F.collect_list("cell").alias("cells"))
+    done = tiles.mapInArrow(run, out_schema)
     whole = not isinstance(weights.schema["w"].dataType, (T.FractionalType, T.DecimalType))
     return done.withColumn("val", F.col("val").cast("long")) if whole else done
 
 
-def conv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride=(1, 1), dilation=(1, 1), pads=(0, 0, 0, 0)) -> DataFrame:
-    """Convolution of images with ``(kh, kw, c, out_idx, w)``; an absent cell is zero.
+def depthwise2d(
+    cells: DataFrame, weights: DataFrame, shape, kernel, stride=(1, 1), dilation=(1, 1), pads=(0, 0, 0, 0), bipolar_width: int | None = None, thresholds: DataFrame | None = None, out_scale: float = 1, out_bias: float = 0
+) -> DataFrame:
+    """Per-channel convolution of images with ``(c, kh, kw, w)`` in tiles, as ``(row_id, oh, ow, c, val)``; an absent cell is zero.
 
-    Padding only shifts positions, since zeros add nothing to a sum.
+    Agreements and thresholds as in ``matmul.depthwise``, which takes windows and weights of any size.
     """
+    moved, size = _padded(cells, shape, pads)
+    if not rows_at_most(weights, MATRIX_ELEMENTS):
+        return depthwise(im2col(moved, size, kernel, stride, dilation), weights, bipolar_width, thresholds, out_scale, out_bias)
+    out = _convolve(moved, weights, size, kernel, stride, dilation, depthwise=True).withColumnRenamed("out_idx", "c")
+    out = out.withColumn("val", agreement(F.col("val"), bipolar_width)) if bipolar_width else out
+    return out if thresholds is None else multi_threshold(out, thresholds, out_scale, out_bias, spread=("row_id", "oh", "ow"))
+
+
+def _padded(cells: DataFrame, shape, pads) -> tuple[DataFrame, tuple[int, int]]:
+    """Padding only shifts positions, since zeros add nothing to a sum."""
     top, left, bottom, right = pads
-    shifted = cells.withColumn("h", F.col("h") + top).withColumn("w", F.col("w") + left)
-    size = (shape[0] + top + bottom, shape[1] + left + right)
-    return _convolve(shifted, weights, size, kernel, stride, dilation)
+    return cells.withColumn("h", F.col("h") + top).withColumn("w", F.col("w") + left), (shape[0] + top + bottom, shape[1] + left + right)
+
+
+def _convolution(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilation) -> DataFrame:
+    """In tiles with weights that every task can hold, else by a join of cells and weights."""
+    fits = rows_at_most(weights, MATRIX_ELEMENTS)
+    return (_convolve if fits else _convolve_cells)(cells, weights, size, kernel, stride, dilation)
+
+
+def conv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride=(1, 1), dilation=(1, 1), pads=(0, 0, 0, 0)) -> DataFrame:
+    """Convolution of images with ``(kh, kw, c, out_idx, w)``; an absent cell is zero."""
+    moved, size = _padded(cells, shape, pads)
+    return _convolution(moved, weights, size, kernel, stride, dilation)
 
 
 def downsample(cells: DataFrame, s: int, axes: tuple[str, ...] = ("h", "w")) -> DataFrame:
@@ -168,7 +263,7 @@ def deconv2d(cells: DataFrame, weights: DataFrame, shape, kernel, stride, pad: i
     size = _spread_size(shape, stride)
     edge = [kernel[a] - 1 - pad for a in (0, 1)]
     moved = _spread(cells, stride).withColumn("h", F.col("h") + edge[0]).withColumn("w", F.col("w") + edge[1])
-    return _convolve(moved, weights, (size[0] + 2 * edge[0], size[1] + 2 * edge[1]), kernel, (1, 1), (1, 1))
+    return _convolution(moved, weights, (size[0] + 2 * edge[0], size[1] + 2 * edge[1]), kernel, (1, 1), (1, 1))
 
 
 def mirrored(weights: DataFrame, kernel: tuple[int, int]) -> DataFrame:

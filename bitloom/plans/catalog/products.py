@@ -22,6 +22,14 @@ def _(spark, sf):
     return MM.matmul_cells(to_cells(vectors(spark, sf).drop("label")), ternary_weights(spark))
 
 
+@query("a1_matmul_block_product", f"WITH {ACC} SELECT row_id, o AS out_idx, acc FROM acc")
+def _(spark, sf):
+    rows = vectors(spark, sf).select(F.col("row_id").alias("_row"), "vec")
+    sums = MM.block_sums(rows, ternary_weights(spark), (64, 10), side=16, together=2048)
+    cells = sums.select(F.col("_row").alias("row_id"), "ob", F.posexplode("val").alias("o", "acc"))
+    return cells.select("row_id", (F.col("ob") * 16 + F.col("o")).alias("out_idx"), F.col("acc").cast("long").alias("acc"))
+
+
 @query("a1_matmul_strips", f"WITH {ACC} SELECT row_id, o AS out_idx, acc FROM acc")
 def _(spark, sf):
     return MM.matmul_blocks(vectors(spark, sf), ternary_weights(spark), 10, block=8)
@@ -117,7 +125,7 @@ def windows_sql(size: int, k: int, s: int = 1, d: int = 1) -> str:
     f"""WITH {image_sql(4, 4)}, {windows_sql(4, 3)} SELECT row_id, oh, ow, c, sum(val * ((c*5 + kh*3 + kw*7) % 5 - 2))::BIGINT AS val FROM win GROUP BY row_id, oh, ow, c""",
 )
 def _(spark, sf):
-    return MM.depthwise(N.im2col(image(spark, sf, 4, 4), (4, 4), (3, 3)), _taps(spark, 3, 3, 4))
+    return N.depthwise2d(image(spark, sf, 4, 4), _taps(spark, 3, 3, 4), (4, 4), (3, 3))
 
 
 @query(
@@ -126,7 +134,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     signs = image(spark, sf, 4, 4).withColumn("val", S.sign_bipolar(F.col("val")))
-    return MM.depthwise(N.im2col(signs, (4, 4), (3, 3)), _taps(spark, 3, 3, 4, True), bipolar_width=9)
+    return N.depthwise2d(signs, _taps(spark, 3, 3, 4, True), (4, 4), (3, 3), bipolar_width=9)
 
 
 @query(
@@ -136,7 +144,7 @@ t AS (SELECT c, -112 + 16*s + (c % 3) AS t FROM range(4) a(c), range(15) b(s))
 SELECT row_id, oh, ow, c, (SELECT count(*) FROM t WHERE t.c = s.c AND t <= x) - 8 AS val FROM s""",
 )
 def _(spark, sf):
-    return MM.depthwise(N.im2col(image(spark, sf, 4, 4), (4, 4), (3, 3)), _taps(spark, 3, 3, 4), thresholds=step_thresholds(spark, 4), out_bias=-8)
+    return N.depthwise2d(image(spark, sf, 4, 4), _taps(spark, 3, 3, 4), (4, 4), (3, 3), thresholds=step_thresholds(spark, 4), out_bias=-8)
 
 
 @query("a5_global_sum_pool", f"WITH {image_sql(4, 4)} SELECT row_id, c, sum(val)::BIGINT AS val FROM px GROUP BY row_id, c")

@@ -1,5 +1,7 @@
 """Sliding windows and resampling on 8x8 and 4x4x4 images."""
 
+from pyspark.sql import functions as F
+
 from ...operators import spatial as N
 from .base import V, image, image_sql, query, vectors
 from .products import windows_sql
@@ -21,6 +23,22 @@ def _(spark, sf):
     return N.im2col(image(spark, sf, 64, 1), (1, 64), (1, 5), (1, 2))
 
 
+_SHAPES = [(0, 8, 8, 2, 2, 2, 2, 2, 2), (1, 8, 8, 3, 3, 1, 1, 1, 1), (2, 6, 5, 2, 3, 2, 1, 1, 1)]
+
+
+@query(
+    "n1_im2col_by_batch",
+    f"""WITH {image_sql(8, 1)}, s(batch_id, height, width, nh, nw, sh, sw, dh, dw) AS (VALUES {", ".join(map(str, _SHAPES))}),
+win AS (SELECT batch_id, row_id, a.oh, b.ow, e.kh, f.kw, a.oh * sh + e.kh * dh AS h, b.ow * sw + f.kw * dw AS w
+  FROM s JOIN v ON v.row_id % 3 = batch_id, range(8) a(oh), range(8) b(ow), range(3) e(kh), range(3) f(kw)
+  WHERE kh < nh AND kw < nw AND a.oh <= (height - dh * (nh - 1) - 1) // sh AND b.ow <= (width - dw * (nw - 1) - 1) // sw)
+SELECT batch_id::BIGINT AS batch_id, row_id, oh, ow, kh, kw, c, val FROM win JOIN px USING (row_id, h, w)""",
+)
+def _(spark, sf):
+    shapes = spark.createDataFrame(_SHAPES, "batch_id bigint, " + ", ".join(f"{c} int" for c in N.SHAPE))
+    return N.im2col_by_batch(image(spark, sf, 8, 1).withColumn("batch_id", F.col("row_id") % 3), shapes)
+
+
 def _kernel(spark, k, channels, outs):
     n = channels * outs
     return spark.range(k * k * n).selectExpr(f"CAST(id DIV {k * n} AS INT) kh", f"CAST(id DIV {n} % {k} AS INT) kw", f"CAST(id DIV {outs} % {channels} AS INT) c", f"CAST(id % {outs} AS INT) out_idx").selectExpr(

@@ -122,13 +122,15 @@ def test_lookup_paths_agree(spark, monkeypatch):
         elementwise.lookup(df, "idx", emb).collect()
 
 
-def test_large_weights_go_by_strips(spark, monkeypatch):
+def test_large_weights_go_by_blocks(spark, monkeypatch):
     # input 9 and output 3 have zero weights only, and two rows are equal
     w = spark.range(40).selectExpr("CAST(id DIV 4 AS INT) in_idx", "CAST(id % 4 AS INT) out_idx").selectExpr("*", "if(in_idx = 9 OR out_idx = 3, 0, (in_idx + 2 * out_idx) % 3 - 1) AS w")
     t = spark.range(12).selectExpr("CAST(id DIV 3 AS INT) c", "CAST(id % 3 AS INT) step", "CAST(3 * (id % 3) - 4 AS DOUBLE) t")
     rows = spark.range(40).selectExpr("if(id = 39, 38, id) AS row_id", "transform(sequence(0, 9), i -> (if(id = 39, 38, id) * 7 + i * i) % 11 - 5) AS vec")
     dense = matmul.matmul(rows, w, (10, 4)).collect(), matmul.mvau(rows, w, t, (10, 4), 3, 2, -1).collect()
     monkeypatch.setattr(matmul, "MATRIX_ELEMENTS", 30)
+    monkeypatch.setattr(matmul, "BLOCK_SIDE", 3)
+    monkeypatch.setattr(matmul, "BLOCK_ROWS", 9)
     strips = matmul.matmul(rows, w, (10, 4)).collect(), matmul.mvau(rows, w, t, (10, 4), 3, 2, -1).collect()
     assert [sorted(map(tuple, d)) for d in dense] == [sorted(map(tuple, s)) for s in strips]
     assert len(strips[0]) == 40
