@@ -69,3 +69,21 @@ def mark_frames(words: DataFrame, n: int, default: int = 1, direction: str = "ou
         raise ValueError(direction)
     size = n or default
     return words.withColumn("last", F.pmod(F.col("seq") + 1, F.lit(size)) == 0)
+
+
+def frame_metrics(n_words: int, k: int = 1, bits: int = 64) -> list[Column]:
+    """Metrics of the words that pass a step, for ``DataFrame.observe``: their number, and the sum of their checksum terms.
+
+    The same for a batch (``Observation``) and for a stream (``StepWatch``); two steps that pass the same words report the same.
+    """
+    at = F.pmod(F.col("seq"), F.lit(n_words))
+    term = F.pmod(word_term(F.col("word"), at, k, bits), F.lit(MODULUS))
+    return [F.count(F.lit(1)).alias("n_words"), F.coalesce(F.sum(term), F.lit(0)).cast("long").alias("terms")]
+
+
+def frame_differences(before: DataFrame, after: DataFrame, n_words: int, k: int = 1, bits: int = 64) -> DataFrame:
+    """Frames of two steps compared by checksum, per stream: ``(stream_id, n_frames, n_different)``; a frame that only one step has is different."""
+    first, second = (frame_checksum(w, n_words, k, bits) for w in (before, after))
+    both = first.join(second.withColumnRenamed("checksum", "again"), ["stream_id", "frame"], "full_outer")
+    differs = F.count_if(~F.col("checksum").eqNullSafe(F.col("again")))
+    return both.groupBy("stream_id").agg(F.count("*").alias("n_frames"), differs.alias("n_different"))

@@ -1,21 +1,28 @@
 """Frames, traces, throughput and buffer sizing on events and orders."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ...functions.scalars import clock_micros
 from ...operators import integrity as I
 from ...operators import telemetry as V
-from ...session import cut_lineage
+from ...session import cut_lineage, saved
 from .base import WORDS, query, table, words
 
 _FOLD = "xor(xor({v} & 8388607, ({v} >> 23) & 8388607), ({v} >> 46) & 8388607)"
 
 
-def checksum_sql(n: int, k: int, bits: int) -> str:
+def terms_sql(n: int, k: int, bits: int, source: str = "words") -> str:
     w = bits // k
     terms = " + ".join(f"((seq % {n} * {k} + {j}) % 3 + 1) * " + _FOLD.format(v=f"((word >> {j * w}) & {(1 << w) - 1 if w < 63 else 9223372036854775807})") for j in range(k))
-    return f"""WITH {WORDS}, t AS (SELECT stream_id, seq // {n} AS frame, ({terms}) % 16777216 AS term FROM words)
-SELECT stream_id, frame, (frame % 256) * 16777216 + (sum(term) % 16777216)::BIGINT AS checksum FROM t GROUP BY 1, 2 HAVING count(*) = {n}"""
+    return f"SELECT stream_id, seq // {n} AS frame, ({terms}) % 16777216 AS term FROM {source}"
+
+
+CHECKSUM = "(frame % 256) * 16777216 + (sum(term) % 16777216)::BIGINT"
+
+
+def checksum_sql(n: int, k: int, bits: int) -> str:
+    return f"WITH {WORDS}, t AS ({terms_sql(n, k, bits)})\nSELECT stream_id, frame, {CHECKSUM} AS checksum FROM t GROUP BY 1, 2 HAVING count(*) = {n}"
 
 
 @query("e1_frame_checksum", checksum_sql(16, 1, 64))
@@ -181,3 +188,27 @@ def _(spark, sf):
     runs = table(spark, sf, "customer").selectExpr("c_nationkey AS run_group", "pow(8, c_custkey % 5) AS batch", "2.5D + 0.031D * pow(8, c_custkey % 5) + c_custkey % 3 AS runtime_ms")
     out = V.batch_regression(runs)
     return out.withColumn("overhead_ms", F.round("overhead_ms", 5)).withColumn("ms_per_item", F.round("ms_per_item", 8))
+
+
+_ALTERED = f"""{WORDS}, altered AS (SELECT stream_id, seq, word + CASE WHEN seq % 97 = 5 THEN 1 ELSE 0 END AS word FROM words),
+t AS ({terms_sql(16, 1, 64)}), u AS ({terms_sql(16, 1, 64, "altered")})"""
+
+
+@query(
+    "x4_observed_step",
+    f"""WITH {_ALTERED}, a AS (SELECT stream_id, frame, {CHECKSUM} AS c FROM t GROUP BY 1, 2 HAVING count(*) = 16),
+b AS (SELECT stream_id, frame, {CHECKSUM} AS c FROM u GROUP BY 1, 2 HAVING count(*) = 16)
+SELECT stream_id, count(*) AS n_frames, count(*) FILTER (a.c <> b.c) AS n_different, (SELECT count(*) FROM t) AS n_words,
+  (SELECT sum(term) FROM t)::BIGINT AS terms_before, (SELECT sum(term) FROM u)::BIGINT AS terms_after FROM a JOIN b USING (stream_id, frame) GROUP BY 1""",
+)
+def _(spark, sf):
+    """A step that alters every 97th word, between two observers; the checksum branches say which streams it met."""
+    before, after = Observation("before"), Observation("after")
+    came = words(spark, sf).select("stream_id", "seq", "word").observe(before, *I.frame_metrics(16))
+    altered = came.withColumn("word", F.col("word") + (F.col("seq") % 97 == 5).cast("long"))
+    out = saved(altered.observe(after, *I.frame_metrics(16)), "altered")
+    seen, then = before.get, after.get
+    if seen["n_words"] != then["n_words"]:
+        raise ValueError("the step lost words")
+    differences = I.frame_differences(words(spark, sf), out, 16)
+    return differences.select("*", F.lit(seen["n_words"]).alias("n_words"), F.lit(seen["terms"]).alias("terms_before"), F.lit(then["terms"]).alias("terms_after"))

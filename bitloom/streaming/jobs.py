@@ -7,15 +7,17 @@ when that frame or word is complete.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from math import gcd
+from threading import Event
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.scalars import clock_micros, whole_div
@@ -23,6 +25,10 @@ from ..operators.integrity import MODULUS, frame_terms
 
 Chain = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: micro-batches between two bases of ``keep_latest``, and files of a base
+COMPACT_EVERY = 16
+COMPACT_BUCKETS = 8
+
 
 def score_stream(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, order: str = "row_id", keys: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
     """Score each micro-batch and append it, ordered per key inside every file."""
@@ -73,86 +79,146 @@ def latest_params(spark, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/rows/version={newest}").withColumn("version", F.lit(newest))
 
 
-class _OpenFrame(StatefulProcessor):
-    """Sum of one frame until all its words have come."""
+class _Open(StatefulProcessor):
+    """What waits until it is complete: a frame or a run of words. With ``wait_ms`` it leaves, incomplete, that long after its first rows."""
 
-    def __init__(self, n_words: int) -> None:
-        self.n_words = n_words
+    def __init__(self, fields: str, wait_ms: int | None) -> None:
+        self.fields, self.wait_ms = fields, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("frame", "s BIGINT, n BIGINT")
+        self.handle, self.state = handle, handle.getValueState("open", self.fields)
+
+    def keep(self, value: tuple, clock: int | None) -> None:
+        if self.wait_ms is not None and not self.state.exists():
+            self.handle.registerTimer(clock + self.wait_ms)
+        self.state.update(value)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the timer of what was completed in time finds no state
+        if self.state.exists():
+            value = self.state.get()
+            self.state.clear()
+            yield self.left(key, value)
+
+    def left(self, key, value) -> pd.DataFrame:
+        raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        s = n = 0
+    def close(self) -> None:
+        pass
+
+
+class _OpenFrame(_Open):
+    """Sum of one frame until all its words have come."""
+
+    def __init__(self, n_words: int, wait_ms: int | None) -> None:
+        super().__init__("s BIGINT, n BIGINT", wait_ms)
+        self.n_words = n_words
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s, n, clock = 0, 0, None
         for part in rows:
             s, n = (s + int(part["term"].sum())) % MODULUS, n + len(part)
+            clock = _latest(clock, part)
         # a frame that is whole within the micro-batch never touches the state
         if n < self.n_words:
             if self.state.exists():
                 before_s, before_n = self.state.get()
                 s, n = (s + before_s) % MODULUS, n + before_n
             if n < self.n_words:
-                self.state.update((s, n))
+                self.keep((s, n), clock)
                 return
             self.state.clear()
-        stream_id, frame = key
-        yield pd.DataFrame({"stream_id": [stream_id], "frame": [frame], "checksum": [frame % 256 * MODULUS + s]})
+        yield self._row(key, key[1] % 256 * MODULUS + s, n)
+
+    def left(self, key, value) -> pd.DataFrame:
+        return self._row(key, None, value[1])
+
+    def _row(self, key, checksum: int | None, n: int) -> pd.DataFrame:
+        row = {"stream_id": [key[0]], "frame": [key[1]], "checksum": pd.array([checksum], "Int64")}
+        return pd.DataFrame(row if self.wait_ms is None else row | {"n_words": [n]})
+
+
+def _latest(clock: int | None, part: pd.DataFrame) -> int | None:
+    if "clock" not in part:
+        return None
+    newest = int(part["clock"].max())
+    return newest if clock is None else max(clock, newest)
 
-    def close(self) -> None:
-        pass
 
+def _clocked(words: DataFrame, late: str | None) -> tuple[DataFrame, list[str], str]:
+    """Rows with ``ts`` as event time, the columns that go with it, and the time mode. A row without a word only moves the watermark."""
+    if late is None:
+        return words, [], "None"
+    # the filter names ts, so that it stays above the watermark and does not hide such a row from it
+    timed = words.withWatermark("ts", late).where((~F.col("idle")) | F.col("ts").isNull())
+    return timed.withColumn("clock", F.unix_millis("ts")), ["ts", "clock"], "EventTime"
 
-def checksum_stream(words: DataFrame, n_words: int, k: int = 1, bits: int = 64) -> DataFrame:
-    """Frame checksums of a stream; frames may span micro-batches."""
-    terms = frame_terms(words, n_words, k, bits).select("stream_id", "frame", "term")
+
+def checksum_stream(words: DataFrame, n_words: int, k: int = 1, bits: int = 64, late: str | None = None, wait_ms: int = 60_000) -> DataFrame:
+    """Frame checksums of a stream; frames may span micro-batches.
+
+    With ``late`` the words have an event time ``ts``. A frame that is incomplete ``wait_ms`` after its first words, by the
+    watermark, leaves the state as a row without checksum; ``n_words`` says how many words had come. Rows whose word is null move the watermark only.
+    """
+    timed, more, mode = _clocked(words.withColumn("idle", F.col("word").isNull()), late)
+    terms = frame_terms(timed, n_words, k, bits).select("stream_id", "frame", "term", *more)
+    schema = "stream_id STRING, frame BIGINT, checksum BIGINT" + (", n_words BIGINT" if late else "")
     return terms.groupBy("stream_id", "frame").transformWithStateInPandas(
-        statefulProcessor=_OpenFrame(n_words), outputStructType="stream_id STRING, frame BIGINT, checksum BIGINT", outputMode="Append", timeMode="None"
+        statefulProcessor=_OpenFrame(n_words, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
-class _OpenWords(StatefulProcessor):
-    """Elements of one common multiple of both widths until all have come."""
+class _OpenWords(_Open):
+    """Words of one common multiple of both widths until all have come."""
 
-    def __init__(self, span: int, m: int) -> None:
+    def __init__(self, span: int, m: int, wait_ms: int | None) -> None:
+        super().__init__("at ARRAY<BIGINT>, vecs ARRAY<ARRAY<BIGINT>>", wait_ms)
         self.span, self.m = span, m
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("left", "at ARRAY<BIGINT>, val ARRAY<BIGINT>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at: list[int] = []
-        val: list[int] = []
+        vecs: list = []
+        clock = None
         for part in rows:
-            for start, vec in zip(part["at"], part["vec"]):
-                at.extend(range(int(start), int(start) + len(vec)))
-                val.extend(int(v) for v in vec)
+            at += part["at"].tolist()
+            vecs += [v.tolist() for v in part["vec"]]
+            clock = _latest(clock, part)
         # elements that are whole within the micro-batch never touch the state
-        if len(at) < self.span:
+        if sum(map(len, vecs)) < self.span:
             if self.state.exists():
-                before_at, before_val = self.state.get()
-                at, val = [*map(int, before_at), *at], [*map(int, before_val), *val]
-            if len(at) < self.span:
-                self.state.update((at, val))
+                before_at, before_vecs = self.state.get()
+                at, vecs = [*map(int, before_at), *at], [*[list(map(int, v)) for v in before_vecs], *vecs]
+            if sum(map(len, vecs)) < self.span:
+                self.keep((at, vecs), clock)
                 return
             self.state.clear()
         stream_id, block = key
-        flat = [v for _, v in sorted(zip(at, val))]
+        flat = [x for i in sorted(range(len(at)), key=at.__getitem__) for x in vecs[i]]
         words = [flat[i : i + self.m] for i in range(0, self.span, self.m)]
         first = block * (self.span // self.m)
-        yield pd.DataFrame({"stream_id": [stream_id] * len(words), "seq": range(first, first + len(words)), "vec": words})
+        done = {"stream_id": [stream_id] * len(words), "seq": range(first, first + len(words)), "vec": words}
+        yield pd.DataFrame(done if self.wait_ms is None else done | {"n_elements": [self.m] * len(words)})
+
+    def left(self, key, value) -> pd.DataFrame:
+        first = key[1] * (self.span // self.m)
+        return pd.DataFrame({"stream_id": [key[0]], "seq": [first], "vec": [None], "n_elements": [sum(map(len, value[1]))]})
 
-    def close(self) -> None:
-        pass
 
+def rechunk_stream(words: DataFrame, n: int, m: int, late: str | None = None, wait_ms: int = 60_000) -> DataFrame:
+    """Words of ``n`` elements to words of ``m``; left-over elements wait for the next micro-batch.
 
-def rechunk_stream(words: DataFrame, n: int, m: int) -> DataFrame:
-    """Words of ``n`` elements to words of ``m``; left-over elements wait for the next micro-batch."""
+    With ``late`` the words have an event time ``ts``. Elements that cannot be completed leave ``wait_ms`` after the first of
+    them, by the watermark, as one row without a vector at the first of their words; ``n_elements`` says how many there were.
+    Rows whose vector is null move the watermark only.
+    """
     span = n * m // gcd(n, m)
-    placed = words.select(
-        "stream_id", whole_div(F.col("seq") * n, span).alias("block"), F.pmod(F.col("seq") * n, F.lit(span)).alias("at"), F.col("vec").cast("array<bigint>").alias("vec")
+    timed, more, mode = _clocked(words.withColumn("idle", F.col("vec").isNull()), late)
+    placed = timed.select(
+        "stream_id", whole_div(F.col("seq") * n, span).alias("block"), F.pmod(F.col("seq") * n, F.lit(span)).alias("at"), F.col("vec").cast("array<bigint>").alias("vec"), *more
     )
+    schema = "stream_id STRING, seq BIGINT, vec ARRAY<BIGINT>" + (", n_elements BIGINT" if late else "")
     return placed.groupBy("stream_id", "block").transformWithStateInPandas(
-        statefulProcessor=_OpenWords(span, m), outputStructType="stream_id STRING, seq BIGINT, vec ARRAY<BIGINT>", outputMode="Append", timeMode="None"
+        statefulProcessor=_OpenWords(span, m, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
@@ -180,22 +246,55 @@ def throughput_windows(events: DataFrame, ts: str, width: str, by: tuple[str, ..
     )
 
 
-def keep_latest(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write the changed rows of a running aggregate, one partition per micro-batch."""
+def keep_latest(df: DataFrame, out: str, checkpoint: str, key: tuple[str, ...], trigger: dict | None = None, every: int = COMPACT_EVERY, buckets: int = COMPACT_BUCKETS) -> StreamingQuery:
+    """Write the changed rows of a running aggregate, one partition per micro-batch.
+
+    After each ``every`` micro-batches the newest row of each key goes to a new base of at most ``buckets`` files. A reader takes the
+    newest base that was published whole and the changes since, however long the stream has run. A repeated
+    micro-batch replaces its changes and its base.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _replace_batch(batch, out, batch_id)
+        epoch = batch_id // every
+        _replace_batch(batch, f"{out}/changes/epoch={epoch}", batch_id)
+        if batch_id % every == every - 1:
+            spark = batch.sparkSession
+            _latest_rows(spark, out, key, epoch).repartition(buckets, *key).write.mode("overwrite").parquet(f"{out}/bases/epoch={epoch}")
+            spark.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("append").parquet(f"{out}/published")
 
     return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
 
 
-def read_latest(spark, out: str, key: tuple[str, ...]) -> DataFrame:
-    """The newest row of each key from ``keep_latest``."""
-    rows = spark.read.parquet(out)
+def _if_there(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest_rows(spark, out: str, key: tuple[str, ...], epoch: int) -> DataFrame:
+    """The newest row of each key up to an epoch, from the base before it and its changes."""
+    changes = _if_there(spark, f"{out}/changes/epoch={epoch}")
+    base = spark.read.parquet(f"{out}/bases/epoch={epoch - 1}").withColumn("batch", F.lit(-1)) if epoch else None
+    if base is None or changes is None:
+        rows = base if changes is None else changes
+        if rows is None:
+            raise ValueError(f"no micro-batch was written to {out}")
+    else:
+        rows = base.unionByName(changes.withColumn("batch", F.col("batch").cast("int")))
     value = F.struct(*[c for c in rows.columns if c not in (*key, "batch")])
     return rows.groupBy(*key).agg(F.max_by(value, "batch").alias("_v")).select(*key, "_v.*")
 
 
+def read_latest(spark, out: str, key: tuple[str, ...]) -> DataFrame:
+    """The newest row of each key from ``keep_latest``."""
+    published = _if_there(spark, f"{out}/published")
+    newest = -1 if published is None else published.agg(F.max("epoch")).first()[0]
+    return _latest_rows(spark, out, key, newest + 1)
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows a finished or running query left out because they came after the watermark."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
@@ -231,3 +330,45 @@ def run_to_end(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
         query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def run_while_fed(df: DataFrame, out: str, checkpoint: str, parts: Iterable[DataFrame], source: str) -> tuple[DataFrame, StreamingQuery]:
+    """One query that keeps running while the parts are appended to the folder it reads, each as a micro-batch of its own or several in order."""
+    with keyed_state_store(df.sparkSession):
+        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").start()
+    feed(query, parts, source)
+    return df.sparkSession.read.schema(df.schema).parquet(out), query
+
+
+def feed(query: StreamingQuery, parts: Iterable[DataFrame | Callable[[], None]], source: str) -> None:
+    """Append each part to the folder a query reads and wait until it is processed; a part may also be an action between two of them."""
+    try:
+        for part in parts:
+            if callable(part):
+                part()
+                continue
+            part.write.mode("append").parquet(source)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+class StepWatch(StreamingQueryListener):
+    """Adds up what ``DataFrame.observe`` reports under a name, over the micro-batches of a query."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.totals, self.ended = name, {}, Event()
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.clear()
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        for k, v in ({} if row is None else row.asDict()).items():
+            self.totals[k] = self.totals.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()

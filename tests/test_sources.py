@@ -126,7 +126,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     for day in ("2024-01-05", "2024-01-20", "2024-01-01"):
         spark.createDataFrame([(day + " 01:00:00",)], "ts string").select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = jobs.keep_latest(jobs.throughput_windows(stream, "ts", "1 day", late="1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    q = jobs.keep_latest(jobs.throughput_windows(stream, "ts", "1 day", late="1 day"), str(tmp_path / "out"), str(tmp_path / "state"), ("start_us",))
     q.awaitTermination()
     kept = jobs.read_latest(spark, str(tmp_path / "out"), ("start_us",)).agg(F.sum("n_items")).first()[0]
     assert kept + jobs.dropped_rows(q) == 3 and jobs.dropped_rows(q) >= 1
