@@ -2,7 +2,8 @@
 
 A group is cut into blocks of its integer order and each block is scanned by its own task. The
 block totals are scanned the same way, in groups of blocks, so that order values with any gaps
-leave at most 2^20 values, 2^22 blocks or 2^22 groups of blocks to one task.
+leave at most 2^20 values, 2^22 blocks or 2^22 groups of blocks to one task. How many levels that takes
+follows from the least and the largest order value, which are read first: up to 2^42 values apart it is one.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ def _same_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(named, on).drop(*[f"_key_{i}" for i in range(len(keys))])
 
 
-def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str], lasts: Sequence[str], bits: int) -> DataFrame:
-    """``_far_*``: what all blocks of a key before block ``_blk`` add up to; a block spans ``2^bits`` order values."""
-    top = bits + GROUP_BITS >= ORDER_BITS
+def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str], lasts: Sequence[str], bits: int, order_bits: int) -> DataFrame:
+    """``_far_*``: what all blocks of a key before block ``_blk`` add up to; a block spans ``2^bits`` of ``2^order_bits`` order values."""
+    top = bits + GROUP_BITS >= order_bits
     work = totals if top else totals.withColumn("_grp", F.shiftright("_blk", GROUP_BITS))
     place = [*keys] if top else [*keys, "_grp"]
     past = Window.partitionBy(*place).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +46,7 @@ def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str], lasts:
         *[F.sum(f"_tot_{n}").alias(f"_tot_{n}") for n in sums],
         *[F.max_by(F.col(f"_tot_{n}"), F.when(F.col(f"_tot_{n}").isNotNull(), F.struct("_blk"))).alias(f"_tot_{n}") for n in lasts],
     )
-    outer = _before(groups.withColumnRenamed("_grp", "_blk"), keys, sums, lasts, bits + GROUP_BITS)
+    outer = _before(groups.withColumnRenamed("_grp", "_blk"), keys, sums, lasts, bits + GROUP_BITS, order_bits)
     outer = outer.withColumnsRenamed({"_blk": "_grp"} | {f"_far_{n}": f"_out_{n}" for n in [*sums, *lasts]})
     joined = _same_keys(near, outer, place)
     return joined.select(
@@ -56,6 +57,15 @@ def _before(totals: DataFrame, keys: Sequence[str], sums: Sequence[str], lasts:
     )
 
 
+def _range_of(df: DataFrame, place: Column) -> tuple[int, int]:
+    """Where the order values begin and how many bits their range takes; 0 and all bits where differences might not fit."""
+    least, most = df.agg(F.min(place), F.max(place)).first()
+    if least is None:
+        return 0, 1
+    width = (most - least).bit_length()
+    return (least, width) if width < ORDER_BITS - 1 else (0, ORDER_BITS)
+
+
 def block_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,14 +74,19 @@ def block_scan(
     lasts: dict[str, Column] | None = None,
     inclusive: bool = True,
     block_bits: int = BLOCK_BITS,
+    order_bits: int | None = None,
 ) -> DataFrame:
     """Add running sums and last non-null values per key.
 
     ``order_by[0]`` is an integer column; together the order columns are unique per key. With
-    ``inclusive=False`` a row sees only the rows before it.
+    ``inclusive=False`` a row sees only the rows before it. Give ``order_bits`` where the order is known to run from 0 to
+    less than ``2^order_bits``; otherwise its range is read.
     """
     sums, lasts, keys = sums or {}, lasts or {}, list(keys)
-    work = df.withColumn("_blk", F.shiftright(F.col(order_by[0]).cast("long"), block_bits))
+    place, first = F.col(order_by[0]).cast("long"), 0
+    if order_bits is None:
+        first, order_bits = _range_of(df, place)
+    work = df.withColumn("_blk", F.shiftright(place - F.lit(first), block_bits))
     for name, c in {**sums, **lasts}.items():
         work = work.withColumn(f"_in_{name}", c)
     order = [F.col(c) for c in order_by]
@@ -90,7 +105,7 @@ def block_scan(
             for n in lasts
         ],
     )
-    carry = _before(totals, keys, list(sums), list(lasts), block_bits)
+    carry = _before(totals, keys, list(sums), list(lasts), block_bits, order_bits)
     joined = _same_keys(local, carry, keys + ["_blk"])
     zero = F.lit(0)
     out = [F.col(c) for c in df.columns]
