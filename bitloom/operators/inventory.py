@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sizing import param_join
+from ..session import saved
 from .paths import critical_path
 
 # Memory primitives as (width, depth).
@@ -123,6 +124,7 @@ def cycles(layers: DataFrame) -> DataFrame:
 
 def performance(nodes: DataFrame, edges: DataFrame, clk_ns: float) -> DataFrame:
     """Slowest layer (the first on ties), critical path, rate and latency per model."""
+    nodes = saved(nodes.select("model_id", "layer_id", "cycles"), "cycles")
     path = critical_path(nodes, edges).groupBy("model_id").agg(F.max("path").alias("critical_path_cycles"))
     slow = nodes.groupBy("model_id").agg(
         F.max("cycles").alias("max_cycles"), F.max_by("layer_id", F.struct("cycles", -F.col("layer_id"))).alias("max_cycles_layer")

@@ -99,7 +99,7 @@ def cumulative_flow(txns: DataFrame, period: int, block_bits: int = 20) -> DataF
     moved = txns.select("stream_id", inside.cast("long").alias("t"), F.lit(1).alias("x"))
     grid = txns.select("stream_id").distinct().select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long"))).alias("t"))
     dense = moved.unionByName(grid.withColumn("x", F.lit(0))).groupBy("stream_id", "t").agg(F.max("x").alias("x"))
-    level = block_scan(dense, ["stream_id"], ["t"], sums={"level": F.col("x").cast("long")}, block_bits=block_bits)
+    level = block_scan(dense, ["stream_id"], ["t"], sums={"level": F.col("x").cast("long")}, block_bits=block_bits, order_bits=int(period).bit_length())
     totals = moved.distinct().groupBy("stream_id").agg(F.count("*").alias("total"))
     both = param_join(level, totals, ["stream_id"], spread=["t"]).withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1))))
     return both.select("stream_id", (F.col("t") + F.col("rep") * period).alias("t"), (F.col("level") + F.col("rep") * F.col("total")).alias("level"))
@@ -133,7 +133,8 @@ def transfer_depth(prod: DataFrame, cons: DataFrame, period: int, block_bits: in
     """
     inside = F.when(F.col("cycle") >= period, F.raise_error(F.lit("cycle outside the period"))).otherwise(F.col("cycle"))
     prod, cons = [df.select("edge_id", inside.cast("long").alias("t")).distinct() for df in (prod, cons)]
-    nth_p, nth_c = [block_scan(df, ["edge_id"], ["t"], sums={"n": F.lit(1).cast("long")}, block_bits=block_bits) for df in (prod, cons)]
+    bits = int(period).bit_length()
+    nth_p, nth_c = [block_scan(df, ["edge_id"], ["t"], sums={"n": F.lit(1).cast("long")}, block_bits=block_bits, order_bits=bits) for df in (prod, cons)]
     met = nth_c.join(nth_p.withColumnRenamed("t", "tau"), ["edge_id", "n"], "left")
     wait = F.greatest(F.coalesce("tau", F.lit(period)) - F.col("t"), F.lit(0))
     shift = met.groupBy("edge_id").agg(F.least(F.max(wait), F.lit(period - 1)).cast("int").alias("shift"))
@@ -143,7 +144,7 @@ def transfer_depth(prod: DataFrame, cons: DataFrame, period: int, block_bits: in
     taken = [F.struct(F.col("t"), F.lit(-1).alias("d")), F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("d"))]
     taken = cons.select("edge_id", F.explode(F.array(*taken)).alias("m")).select("edge_id", "m.*", F.lit(None).cast("int").alias("shift"))
     moves = later.unionByName(taken).groupBy("edge_id", "t").agg(F.sum("d").alias("d"), F.max("shift").alias("shift"))
-    fill = block_scan(moves, ["edge_id"], ["t"], sums={"fill": F.col("d")}, block_bits=block_bits)
+    fill = block_scan(moves, ["edge_id"], ["t"], sums={"fill": F.col("d")}, block_bits=block_bits, order_bits=bits)
     peaks = fill.groupBy("edge_id").agg(F.max("shift").alias("shift"), F.max("fill").alias("depth"))
     return peaks.where(F.col("shift").isNotNull())
 
