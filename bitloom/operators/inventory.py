@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, saved
 from ..sizing import param_join
-from ..session import saved
 from .paths import critical_path
 
 # Memory primitives as (width, depth).
