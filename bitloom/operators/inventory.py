@@ -85,10 +85,13 @@ def with_cost(layers: DataFrame) -> DataFrame:
     so trying a candidate later is one division.
     """
     names = "C vec batch kh kw dh dw sh sw H W OH OW MW MH labels".split()
-    # one column per attribute: used more than once, a column is kept and not copied into its uses
-    read = [f"double({_a(n)}) AS `_l_{n}`" for n in names]
-    read += [f"{_a('is1d', 0)} = 1 AS _l_flat", f"{_a('depthwise', 0)} = 1 AS _l_deep", f"{_a('parallel_window', 0)} = 1 AS _l_par"]
-    known = layers.selectExpr("*", *read)
+    flags = "is1d depthwise parallel_window".split()
+    # all attributes by one lambda: read one by one, their code makes a method too long for the JVM to compile
+    listed = ", ".join(f"'{n}'" for n in [*names, *flags])
+    values = f"transform(array({listed}), (n, i) -> double(coalesce(CAST(try_element_at(attrs, n) AS BIGINT), if(i < {len(names)}, 1L, 0L)))) AS _l"
+    read = [f"_l[{i}] AS `_l_{n}`" for i, n in enumerate(names)]
+    read += [f"_l[{len(names) + i}] = 1 AS _l_{n}" for i, n in enumerate(("flat", "deep", "par"))]
+    known = layers.selectExpr("*", values).selectExpr("*", *read).drop("_l")
     naive = "_l_deep AND (_l_sw * _l_sh > 2 OR _l_dw * _l_dh > 1)"  # depthwise with a stride above 2, or dilated
     window = f"""CASE WHEN NOT _l_flat THEN _l_C * (_l_W * _l_kh * _l_dh + _l_OH * greatest(_l_OW * _l_kh * _l_kw, _l_sw * _l_W))
         WHEN _l_par THEN 0 WHEN {naive} THEN _l_C * _l_OW * _l_kw + _l_C * _l_W WHEN _l_deep THEN _l_C * _l_OW * _l_kw + _l_C * (_l_kw - 1)
