@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,24 @@ def compare(expected: DataFrame, got: DataFrame, item: str = "row_id", cell: Seq
     return per.withColumn("status", F.when(F.col("n_bad") == 0, "SUCCESS").otherwise("FAIL"))
 
 
+def flat_cells(df: DataFrame, shape: Mapping[str, int], item: str = "row_id", val: str = "val") -> DataFrame:
+    """``(item, at, val)`` with the position of each cell in the flattened array, the last index fastest; null outside the shape."""
+    at, inside = F.lit(0).cast("long"), F.lit(True)
+    for name, size in shape.items():
+        at, inside = at * size + F.col(name), inside & F.col(name).between(0, size - 1)
+    return df.select(item, F.when(inside, at).alias("at"), val)
+
+
+def compare_reshaped(expected: DataFrame, got: DataFrame, expected_shape: Mapping[str, int], got_shape: Mapping[str, int], item: str = "row_id", val: str = "val", atol: float = 1e-3) -> DataFrame:
+    """As ``compare`` for arrays of equal size and different shape, such as an image and the vector it was flattened to.
+
+    Shapes name the index columns and their sizes. A cell outside its shape meets nothing and fails its item.
+    """
+    if prod(expected_shape.values()) != prod(got_shape.values()):
+        raise ValueError(f"shapes of different size: {dict(expected_shape)}, {dict(got_shape)}")
+    return compare(flat_cells(expected, expected_shape, item, val), flat_cells(got, got_shape, item, val), item, ("at",), val, atol)
+
+
 def compare_rows(expected: DataFrame, got: DataFrame, item: str = "row_id", vec: str = "vec", atol: float = 1e-3) -> DataFrame:
     """As ``compare`` for one array per item: rows are joined, not elements. A shorter or absent array lacks its cells."""
     none = F.array().cast("array<double>")

@@ -148,6 +148,20 @@ def _(spark, sf):
     return M.compare(cells.withColumn("val", F.col("val").cast("double")), got)
 
 
+@query(
+    "j7_golden_reshaped",
+    f"""WITH {Q}, e AS (SELECT row_id, i, x::DOUBLE AS e FROM q), g AS (SELECT row_id, i, x + CASE WHEN row_id % 5 = 0 AND i = 37 THEN 0.5 ELSE 0.0005 END::DOUBLE AS g FROM q WHERE NOT (row_id % 13 = 3 AND i = 63)),
+c AS (SELECT row_id, coalesce(abs(e - g) <= 0.001::DOUBLE + 0.00001::DOUBLE * abs(g), false) AS near FROM e FULL JOIN g USING (row_id, i))
+SELECT row_id, count(*) AS n_cells, count(*) FILTER (NOT near) AS n_bad, CASE WHEN bool_and(near) THEN 'SUCCESS' ELSE 'FAIL' END AS status FROM c GROUP BY row_id""",
+)
+def _(spark, sf):
+    """Images of 4 by 4 by 4 against the vectors they are flattened to."""
+    golden = image(spark, sf, 4, 4).withColumn("val", F.col("val").cast("double"))
+    shift = F.when((F.col("row_id") % 5 == 0) & (F.col("i") == 37), 0.5).otherwise(0.0005)
+    got = to_cells(vectors(spark, sf).drop("label")).withColumn("val", F.col("val") + shift).where("NOT (row_id % 13 = 3 AND i = 63)")
+    return M.compare_reshaped(golden, got, {"h": 4, "w": 4, "c": 4}, {"i": 64})
+
+
 @query("j8_duplicate", f"WITH {V} SELECT copy, count(*) AS n, sum(list_sum(vec))::BIGINT AS total FROM v, range(3) r(copy) GROUP BY copy")
 def _(spark, sf):
     copies = E.tee(vectors(spark, sf), 3)
@@ -198,6 +212,14 @@ def _(spark, sf):
     )
 
 
+@query("k3_verify_changed", f"WITH {V} SELECT row_id, (list_slice(list_reverse_sort(vec), 1, 2) = list_reverse_sort([list_max(vec), vec[row_id % 64 + 1]]))::BIGINT AS ok FROM v")
+def _(spark, sf):
+    """The second index is one that depends on the row, and so is right in few rows."""
+    vec = F.col("vec")
+    chosen = F.array(F.element_at(R.label_select(vec, 1), 1).cast("long"), F.col("row_id") % 64)
+    return vectors(spark, sf).select("row_id", R.verify_topk(vec, chosen, 2).cast("long").alias("ok"))
+
+
 @query("k4_rank_by", "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*), event_type) AS rank FROM events GROUP BY 1")
 def _(spark, sf):
     n = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -72,6 +72,20 @@ def _(spark, sf):
     return readers.read_labelled_files(spark, path).groupBy("label", "folder").agg(F.sum("length").alias("n_bytes"))
 
 
+@query(
+    "s5_sampled_files",
+    """WITH f AS (SELECT 's_nationkey=' || s_nationkey AS folder, string_agg(s_name || chr(10), '' ORDER BY s_suppkey) AS content FROM supplier GROUP BY 1),
+l AS (SELECT row_number() OVER (ORDER BY folder) - 1 AS label, * FROM f)
+SELECT label, folder, octet_length(encode(content))::BIGINT AS length, sha256(content) AS content_sha256 FROM l WHERE label < 10""",
+)
+def _(spark, sf):
+    """One file of supplier names for each nation; ten are taken class by class and only those are opened."""
+    path = scratch_path(spark, "sampled")
+    named = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    named.drop("s_suppkey").write.partitionBy("s_nationkey").text(path)
+    return readers.sample_labelled_files(spark, path, 10, True).select("label", "folder", "length", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("s6_reports", f"WITH {LAYERS}, {_COUNTS} SELECT model_id, coalesce(layer_id, -1) AS layer_id, metric, sum(value) AS value FROM cnt GROUP BY GROUPING SETS ((model_id, layer_id, metric), (model_id, metric))")
 def _(spark, sf):
     path = scratch_path(spark, "report")

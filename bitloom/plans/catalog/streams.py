@@ -196,6 +196,27 @@ def _(spark, sf):
     return J.read_latest(spark, out, ("start_us",))
 
 
+DAY_US = 86_400_000_000
+
+
+@query(
+    "e9_late_rows",
+    f"""WITH e AS (SELECT epoch_us(ts) AS us, event_id % 4 = 0 AS after FROM events), m AS (SELECT (max(us) // 1000) * 1000 - 10 * {DAY_US} AS mark FROM e WHERE NOT after)
+SELECT (us // {DAY_US}) * {DAY_US} AS start_us, count(*) AS n_given, count(*) FILTER (NOT after OR (us // {DAY_US} + 1) * {DAY_US} > mark) AS n_kept,
+  count(*) FILTER (after AND (us // {DAY_US} + 1) * {DAY_US} <= mark) AS n_late FROM e, m GROUP BY 1""",
+)
+def _(spark, sf):
+    """Three quarters of the events come in time; the last quarter comes after them, when windows that ended ten days before the newest event are closed."""
+    path = scratch_path(spark, "late")
+    events = table(spark, sf, "events").select("event_id", "ts")
+    out, state = _paths(spark, "late")
+    for part in ("event_id % 4 <> 0", "event_id % 4 = 0"):
+        events.where(part).select("ts").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.select("ts").schema).parquet(path)
+        J.keep_latest(J.throughput_windows(stream, "ts", "1 day", late="10 days"), out, state, ("start_us",)).awaitTermination()
+    return J.late_rows(spark.read.parquet(path), J.read_latest(spark, out, ("start_us",)), "ts", "1 day")
+
+
 @query("j8_fan_out_stream", "SELECT copy, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events, range(2) r(copy) GROUP BY 1")
 def _(spark, sf):
     paths = [scratch_path(spark, "fan-a"), scratch_path(spark, "fan-b")]

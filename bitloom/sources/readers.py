@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.features import label_vocabulary
+from ..operators.ranking import sample_items
 from ..operators.scans import block_scan
 from ..sizing import param_join
 
@@ -125,8 +127,8 @@ def verify_words(written: DataFrame, read: DataFrame) -> DataFrame:
 def read_labelled_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below class folders as ``(label, folder, name, path, length, content)``.
 
-    The class id is the position of the folder in sorted order. Take part of them with
-    ``sample_items``.
+    The class id is the position of the folder in sorted order. ``sample_labelled_files`` reads
+    a part of them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     named = files.select(
@@ -136,6 +138,27 @@ def read_labelled_files(spark: SparkSession, root: str) -> DataFrame:
     return param_join(named, classes, ["folder"], spread=["name"]).select("label", "folder", "name", "path", "length", "content")
 
 
+#: longest sample whose names are given to the reader one by one
+LISTED_FILES = 10_000
+
+
+def sample_labelled_files(spark: SparkSession, root: str, n: int, interleave: bool) -> DataFrame:
+    """``sample_items`` of the files below class folders, as ``read_labelled_files``.
+
+    Names alone are listed and sampled, and only chosen files are opened. Up to ``LISTED_FILES`` names go by the driver; a longer
+    sample is joined to all files.
+    """
+    names = read_labelled_files(spark, root).select("label", "folder", "name", "path")
+    chosen, wanted = sample_items(names, n, interleave), [root]
+    if n <= LISTED_FILES:
+        rows = chosen.collect()
+        chosen = spark.createDataFrame(rows, names.schema)
+        wanted = [re.sub(r"([{}\[\]*?\\])", r"\\\1", r["path"]) for r in rows] or wanted
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted)
+    joined = param_join(files.select("path", "length", "content"), chosen, ["path"], spread=["path"])
+    return joined.select("label", "folder", "name", "path", "length", "content")
+
+
 def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     """JSON reports as ``(model_id, layer_id, metric, value)``."""
     return spark.read.schema("model_id STRING, layer_id INT, metric STRING, value DOUBLE").json(glob)

@@ -300,6 +300,14 @@ def dropped_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
+def late_rows(given: DataFrame, latest: DataFrame, ts: str, width: str) -> DataFrame:
+    """Rows of each window that were given, that the windows of ``throughput_windows`` hold, and that came after the watermark."""
+    n = throughput_windows(given, ts, width).select("start_us", F.col("n_items").alias("n_given"))
+    kept = latest.groupBy("start_us").agg(F.sum("n_items").alias("n_kept"))
+    counted = n.join(kept, "start_us", "left").select("start_us", "n_given", F.coalesce("n_kept", F.lit(0).cast("long")).alias("n_kept"))
+    return counted.withColumn("n_late", F.col("n_given") - F.col("n_kept"))
+
+
 def fan_out(stream: DataFrame, paths: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """The same micro-batch for several consumers."""
 

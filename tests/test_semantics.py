@@ -294,3 +294,13 @@ def test_type_check_and_smallest(spark):
     for low, high, name in ((0, 1, "BINARY"), (0, 2, "UINT2"), (-1, 0, "INT1"), (-3, 4, "INT4"), (0, 255, "UINT8"), (-128, 127, "INT8")):
         df = spark.createDataFrame([(low,), (high,)], "x bigint")
         assert E.smallest_type(df, ["x"]).first().type == name
+
+
+def test_compare_reshaped(spark):
+    golden = spark.createDataFrame([(r, i // 3, i % 3, float(i)) for r in range(4) for i in range(6)], "row_id int, h int, w int, val double")
+    rows = [(0, i, float(i)) for i in range(6)] + [(1, i, float(i + (i == 4))) for i in range(6)] + [(2, i, float(i)) for i in range(5)] + [(3, i, float(i)) for i in range(7)]
+    got = spark.createDataFrame(rows, "row_id int, i int, val double")
+    out = {r.row_id: (r.n_cells, r.n_bad, r.status) for r in M.compare_reshaped(golden, got, {"h": 2, "w": 3}, {"i": 6}).collect()}
+    assert out == {0: (6, 0, "SUCCESS"), 1: (6, 1, "FAIL"), 2: (6, 1, "FAIL"), 3: (7, 1, "FAIL")}
+    with pytest.raises(ValueError):
+        M.compare_reshaped(golden, got, {"h": 2, "w": 3}, {"i": 7})

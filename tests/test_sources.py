@@ -90,6 +90,19 @@ def test_labelled_files_and_sampling(spark, tmp_path):
     assert [(r.label, r.name) for r in sample_items(files, 4, False).collect()] == [(0, "f0.bin"), (0, "f1.bin"), (0, "f2.bin"), (1, "f0.bin")]
 
 
+@pytest.mark.parametrize("listed", [readers.LISTED_FILES, 2])
+def test_only_sampled_files_are_opened(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(readers, "LISTED_FILES", listed)
+    for folder in ("k=[b]", "k=a*"):
+        (tmp_path / folder).mkdir()
+        for i in range(3):
+            (tmp_path / folder / f"f{{{i}}}.bin").write_bytes(f"{folder}{i}".encode())
+    got = readers.sample_labelled_files(spark, str(tmp_path), 3, True)
+    assert {(r.label, r.folder, r.name, bytes(r.content).decode()) for r in got.collect()} == {(0, "k=[b]", "f{0}.bin", "k=[b]0"), (1, "k=a*", "f{0}.bin", "k=a*0"), (0, "k=[b]", "f{1}.bin", "k=[b]1")}
+    assert len(got.inputFiles()) == (3 if listed > 2 else 6)
+    assert readers.sample_labelled_files(spark, str(tmp_path), 0, False).count() == 0
+
+
 def test_generators_do_not_depend_on_partitions(spark):
     q = QuantType.parse("INT4")
     a = generators.gen_typed(spark, q, 50, 6, 3)
@@ -130,3 +143,5 @@ def test_late_rows_are_counted(spark, tmp_path):
     q.awaitTermination()
     kept = jobs.read_latest(spark, str(tmp_path / "out"), ("start_us",)).agg(F.sum("n_items")).first()[0]
     assert kept + jobs.dropped_rows(q) == 3 and jobs.dropped_rows(q) >= 1
+    late = jobs.late_rows(spark.read.parquet(str(src)), jobs.read_latest(spark, str(tmp_path / "out"), ("start_us",)), "ts", "1 day")
+    assert late.agg(F.sum("n_late")).first()[0] == jobs.dropped_rows(q)
