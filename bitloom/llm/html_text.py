@@ -1,7 +1,8 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the blocks beside it,
-and the kind of container it lies in, where a heading in none is a kind of its own. A decision tree, grown on the small labelled table below, tells text from the rest.
+and the kind of container it lies in, where a heading in none is a kind of its own. What lies in an aside by its tag, role, class or id is
+no text; of all other blocks a decision tree, grown on the small labelled table below, tells text from the rest.
 
 Defined results: null, empty and malformed html give an empty text or the blocks that can be read; white space inside a block is one
 space; blocks are joined by one line feed in page order; repeated rows give repeated rows; a page's size is bounded by its row
@@ -49,26 +50,81 @@ CARD_WORDS = THREAD_WORDS | set("ad ads adv advert adverts advertisement adverti
 HARD, SOFT = -2, -1  # an aside of any size; one that is none if most of the page's words lie in it
 ENDS_P = BLOCK - {"body", "head", "html", "caption", "dd", "dt", "figcaption", "legend", "li", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 
-# words, link density; words and link density of the block before; of the block after; container (-1 aside, 0 none,
-# 0.5 a heading in none, 1 centre); is it text
-LABELLED = [
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 0),
-    (2, 1.0, 0, 0.0, 1, 1.0, -1, 0),
-    (6, 0.0, 1, 1.0, 10, 0.0, -1, 0),
-    (4, 0.0, 1, 1.0, 9, 0.0, -1, 0),
-    (35, 0.0, 12, 0.0, 60, 0.0, -1, 0),
-    (14, 0.1, 80, 0.0, 0, 0.0, -1, 0),
-    (60, 0.0, 120, 0.0, 45, 0.0, -1, 0),
-    (120, 0.0, 60, 0.0, 30, 0.0, -1, 0),
-    (3, 0.0, 25, 0.0, 40, 0.0, -1, 0),
-    (9, 0.6, 30, 0.0, 4, 1.0, -1, 0),
-    (20, 0.0, 20, 0.0, 1, 0.0, -1, 0),
-    (45, 0.0, 30, 0.0, 90, 0.0, -1, 0),
-    (7, 0.0, 2, 1.0, 5, 0.0, -1, 0),
-    (16, 0.0, 40, 0.0, 35, 0.0, -1, 0),
-    (90, 0.1, 1, 0.0, 2, 0.0, -1, 0),
-    (1, 0.0, 60, 0.0, 0, 0.0, -1, 0),
-    (25, 0.0, 7, 0.0, 12, 0.0, -1, 0),
+# Labelled blocks: words, link density; words and link density of the block before; of the block after; container (0 none,
+# 0.5 a heading in none, 1 article or main); is it text.
+# Blocks of pages 0 to 13 of the small table of pages, labelled by their place in the page's source, with class names taken out and articles
+# turned into plain elements: the advert, the heading, the first, the middle and the last paragraph of each.
+PAGE_BLOCKS = [
+    (10, 0.0, 1, 1.0, 9, 0.0, 0, 0),
+    (10, 0.0, 107, 0.0, 10, 0.0, 0, 1),
+    (10, 0.0, 12, 0.0, 46, 0.0, 0.5, 1),
+    (10, 0.0, 7, 0.0, 13, 0.0, 0.5, 1),
+    (10, 0.0, 9, 0.0, 32, 0.0, 0.5, 1),
+    (11, 0.0, 1, 1.0, 2, 0.0, 0, 0),
+    (11, 0.0, 4, 0.0, 23, 0.0, 0.5, 1),
+    (11, 0.0, 5, 0.0, 14, 0.0, 0.5, 1),
+    (11, 0.0, 8, 0.0, 41, 0.0, 0.5, 1),
+    (12, 0.0, 1, 1.0, 10, 0.0, 0, 0),
+    (12, 0.0, 1, 1.0, 8, 0.0, 0, 0),
+    (13, 0.0, 10, 0.0, 45, 0.0, 0, 1),
+    (13, 0.0, 33, 0.0, 9, 0.0, 0, 1),
+    (13, 0.0, 6, 0.0, 68, 0.0, 0, 1),
+    (14, 0.0, 11, 0.0, 32, 0.0, 0, 1),
+    (14, 0.0, 17, 0.0, 22, 0.0, 0, 1),
+    (14, 0.0, 8, 0.0, 35, 0.0, 0.5, 1),
+    (143, 0.0, 49, 0.0, 11, 0.0, 0, 1),
+    (152, 0.0, 26, 0.0, 6, 0.0, 0, 1),
+    (17, 0.0, 35, 0.0, 49, 0.0, 0, 1),
+    (17, 0.0, 83, 0.0, 14, 0.0, 0, 1),
+    (18, 0.0, 17, 0.0, 70, 0.0, 0, 1),
+    (2, 0.0, 11, 0.0, 2, 0.0, 0.5, 1),
+    (2, 0.0, 2, 0.0, 32, 0.0, 0, 1),
+    (20, 0.0, 4, 0.0, 222, 0.0, 0, 1),
+    (23, 0.0, 11, 0.0, 58, 0.0, 0, 1),
+    (26, 0.0, 6, 0.0, 102, 0.0, 0, 1),
+    (27, 0.0, 8, 0.0, 31, 0.0, 0, 1),
+    (31, 0.0, 5, 0.0, 1, 0.0, 0, 1),
+    (32, 0.0, 10, 0.0, 21, 0.0, 0, 1),
+    (35, 0.0, 14, 0.0, 17, 0.0, 0, 1),
+    (4, 0.0, 1, 1.0, 11, 0.0, 0, 0),
+    (4, 0.0, 4, 0.0, 19, 0.0, 0, 1),
+    (4, 0.0, 5, 0.0, 12, 0.0, 0, 1),
+    (4, 0.0, 7, 0.0, 4, 0.0, 0.5, 1),
+    (41, 0.0, 11, 0.0, 17, 0.0, 0, 1),
+    (43, 0.0, 3, 0.0, 153, 0.0, 0, 1),
+    (45, 0.0, 13, 0.0, 9, 0.0, 0, 1),
+    (46, 0.0, 10, 0.0, 10, 0.0, 0, 1),
+    (46, 0.0, 76, 0.0, 8, 0.0, 0, 1),
+    (5, 0.0, 1, 1.0, 11, 0.0, 0, 0),
+    (5, 0.0, 41, 0.0, 11, 0.0, 0, 1),
+    (5, 0.0, 9, 0.0, 15, 0.0, 0, 1),
+    (50, 0.0, 63, 0.0, 10, 0.0, 0, 1),
+    (58, 0.0, 23, 0.0, 15, 0.0, 0, 1),
+    (6, 0.0, 1, 1.0, 8, 0.0, 0, 0),
+    (6, 0.0, 8, 0.0, 13, 0.0, 0.5, 1),
+    (66, 0.0, 21, 0.0, 40, 0.0, 0, 1),
+    (69, 0.0, 35, 0.0, 7, 0.0, 0, 1),
+    (7, 0.0, 1, 1.0, 10, 0.0, 0, 0),
+    (7, 0.0, 1, 1.0, 4, 0.0, 0, 0),
+    (7, 0.0, 7, 0.0, 22, 0.0, 0, 1),
+    (7, 0.0, 8, 0.0, 7, 0.0, 0.5, 1),
+    (8, 0.0, 1, 1.0, 11, 0.0, 0, 0),
+    (8, 0.0, 1, 1.0, 14, 0.0, 0, 0),
+    (8, 0.0, 1, 1.0, 6, 0.0, 0, 0),
+    (8, 0.0, 1, 1.0, 7, 0.0, 0, 0),
+    (8, 0.0, 12, 0.0, 8, 0.0, 0.5, 1),
+    (8, 0.0, 6, 0.0, 8, 0.0, 0.5, 1),
+    (8, 0.0, 8, 0.0, 17, 0.0, 0, 1),
+    (8, 0.0, 8, 0.0, 27, 0.0, 0, 1),
+    (9, 0.0, 1, 1.0, 10, 0.0, 0, 0),
+    (9, 0.0, 10, 0.0, 9, 0.0, 0.5, 1),
+    (9, 0.0, 29, 0.0, 13, 0.0, 0, 1),
+    (9, 0.0, 31, 0.0, 13, 0.0, 0, 1),
+    (9, 0.0, 6, 0.0, 11, 0.0, 0, 1),
+    (9, 0.0, 9, 0.0, 6, 0.0, 0, 1),
+]
+# Blocks written by hand: what other pages have inside and outside article and main.
+WRITTEN_BLOCKS = [
     (80, 0.0, 9, 0.0, 60, 0.0, 1, 1),
     (11, 0.0, 5, 0.0, 90, 0.0, 1, 1),
     (3, 0.0, 90, 0.0, 5, 0.0, 1, 1),
@@ -123,34 +179,73 @@ LABELLED = [
     (2, 1.0, 2, 1.0, 70, 0.0, 0, 0),
     (10, 1.0, 90, 0.0, 12, 1.0, 0, 0),
     (50, 0.9, 20, 0.8, 20, 1.0, 0, 0),
+    # nothing, a short block, a long one or a link before, and each of them after: one word and eight, paragraphs and headings
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1),
+    (1, 0.0, 0, 0.0, 9, 0.0, 0, 1),
+    (1, 0.0, 0, 0.0, 40, 0.0, 0, 0),
+    (1, 0.0, 0, 0.0, 3, 1.0, 0, 0),
+    (1, 0.0, 9, 0.0, 0, 0.0, 0, 1),
+    (1, 0.0, 9, 0.0, 9, 0.0, 0, 1),
+    (1, 0.0, 9, 0.0, 40, 0.0, 0, 1),
+    (1, 0.0, 9, 0.0, 3, 1.0, 0, 1),
+    (1, 0.0, 40, 0.0, 0, 0.0, 0, 1),
+    (1, 0.0, 40, 0.0, 9, 0.0, 0, 1),
+    (1, 0.0, 40, 0.0, 40, 0.0, 0, 1),
+    (1, 0.0, 40, 0.0, 3, 1.0, 0, 1),
+    (1, 0.0, 3, 1.0, 0, 0.0, 0, 0),
+    (1, 0.0, 3, 1.0, 9, 0.0, 0, 0),
+    (1, 0.0, 3, 1.0, 40, 0.0, 0, 1),
+    (1, 0.0, 3, 1.0, 3, 1.0, 0, 0),
+    (8, 0.0, 0, 0.0, 0, 0.0, 0, 1),
+    (8, 0.0, 0, 0.0, 9, 0.0, 0, 1),
+    (8, 0.0, 0, 0.0, 40, 0.0, 0, 1),
+    (8, 0.0, 0, 0.0, 3, 1.0, 0, 1),
+    (8, 0.0, 9, 0.0, 0, 0.0, 0, 1),
+    (8, 0.0, 9, 0.0, 9, 0.0, 0, 1),
+    (8, 0.0, 9, 0.0, 40, 0.0, 0, 1),
+    (8, 0.0, 9, 0.0, 3, 1.0, 0, 1),
+    (8, 0.0, 40, 0.0, 0, 0.0, 0, 1),
+    (8, 0.0, 40, 0.0, 9, 0.0, 0, 1),
+    (8, 0.0, 40, 0.0, 40, 0.0, 0, 1),
+    (8, 0.0, 40, 0.0, 3, 1.0, 0, 1),
+    (8, 0.0, 3, 1.0, 0, 0.0, 0, 1),
+    (8, 0.0, 3, 1.0, 9, 0.0, 0, 0),
+    (8, 0.0, 3, 1.0, 40, 0.0, 0, 1),
+    (8, 0.0, 3, 1.0, 3, 1.0, 0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0.5, 1),
+    (1, 0.0, 0, 0.0, 9, 0.0, 0.5, 1),
+    (1, 0.0, 0, 0.0, 40, 0.0, 0.5, 1),
+    (1, 0.0, 0, 0.0, 3, 1.0, 0.5, 0),
+    (1, 0.0, 9, 0.0, 0, 0.0, 0.5, 1),
+    (1, 0.0, 9, 0.0, 9, 0.0, 0.5, 1),
+    (1, 0.0, 9, 0.0, 40, 0.0, 0.5, 1),
+    (1, 0.0, 9, 0.0, 3, 1.0, 0.5, 0),
+    (1, 0.0, 40, 0.0, 0, 0.0, 0.5, 1),
+    (1, 0.0, 40, 0.0, 9, 0.0, 0.5, 1),
+    (1, 0.0, 40, 0.0, 40, 0.0, 0.5, 1),
+    (1, 0.0, 40, 0.0, 3, 1.0, 0.5, 0),
+    (1, 0.0, 3, 1.0, 0, 0.0, 0.5, 1),
+    (1, 0.0, 3, 1.0, 9, 0.0, 0.5, 1),
+    (1, 0.0, 3, 1.0, 40, 0.0, 0.5, 1),
+    (1, 0.0, 3, 1.0, 3, 1.0, 0.5, 0),
+    (8, 0.0, 0, 0.0, 0, 0.0, 0.5, 1),
+    (8, 0.0, 0, 0.0, 9, 0.0, 0.5, 1),
+    (8, 0.0, 0, 0.0, 40, 0.0, 0.5, 1),
+    (8, 0.0, 0, 0.0, 3, 1.0, 0.5, 0),
+    (8, 0.0, 9, 0.0, 0, 0.0, 0.5, 1),
+    (8, 0.0, 9, 0.0, 9, 0.0, 0.5, 1),
+    (8, 0.0, 9, 0.0, 40, 0.0, 0.5, 1),
+    (8, 0.0, 9, 0.0, 3, 1.0, 0.5, 0),
+    (8, 0.0, 40, 0.0, 0, 0.0, 0.5, 1),
+    (8, 0.0, 40, 0.0, 9, 0.0, 0.5, 1),
+    (8, 0.0, 40, 0.0, 40, 0.0, 0.5, 1),
+    (8, 0.0, 40, 0.0, 3, 1.0, 0.5, 0),
+    (8, 0.0, 3, 1.0, 0, 0.0, 0.5, 1),
+    (8, 0.0, 3, 1.0, 9, 0.0, 0.5, 1),
+    (8, 0.0, 3, 1.0, 40, 0.0, 0.5, 1),
+    (8, 0.0, 3, 1.0, 3, 1.0, 0.5, 0),
 ]
-# what lies beside a block: nothing, few words, many, links
-BESIDE = [[(0, 0.0)], [(1, 0.0), (9, 0.0)], [(40, 0.0), (150, 0.0)], [(1, 1.0), (9, 1.0), (60, 1.0)]]
-# container and words; by what lies before (groups) and after (places of a group): is it text. Outside article and main, items, short and
-# last paragraphs and headings among text are text; short blocks between links, or after them at the end, and headings before links are not.
-BETWEEN = [
-    (0, 1, "1100 1111 1111 0110"),
-    (0, 2, "1111 1111 1111 0110"),
-    (0, 4, "1111 1111 1111 0110"),
-    (0, 7, "1111 1111 1111 0110"),
-    (0, 12, "1111 1111 1111 1111"),
-    (0, 40, "1111 1111 1111 1111"),
-    (0.5, 1, "1110 1110 1110 1110"),
-    (0.5, 2, "1110 1110 1110 1110"),
-    (0.5, 5, "1110 1110 1110 1110"),
-    (0.5, 12, "1111 1111 1111 1111"),
-    (-1, 1, "0000 0000 0000 0000"),
-    (-1, 12, "0000 0000 0000 0000"),
-    (-1, 40, "0000 0000 0000 0000"),
-    (1, 1, "1111 1111 1111 1111"),
-    (1, 4, "1111 1111 1111 1111"),
-    (1, 12, "1111 1111 1111 1111"),
-    (1, 40, "1111 1111 1111 1111"),
-]
-for _kind, _words, _marks in BETWEEN:
-    for _before, _group in zip(BESIDE, _marks.split()):
-        for _linked, _text in ((0.0, 1), (0.6, 1), (0.65, 0)):  # text with some links is text, most of it links is not
-            LABELLED += [(_words, _linked, *b, *a, _kind, int(m) * _text) for _after, m in zip(BESIDE, _group) for b in _before for a in _after]
+LABELLED = PAGE_BLOCKS + WRITTEN_BLOCKS
 
 
 def grow(rows: list[tuple], depth: int = 12):
@@ -174,6 +269,9 @@ def grow(rows: list[tuple], depth: int = 12):
 
 
 def decide(tree, features: tuple) -> bool:
+    """Features as in the labelled tables; a container of -1 is an aside."""
+    if features[-1] < 0:
+        return False
     while isinstance(tree, tuple):
         f, limit, low, high = tree
         tree = low if features[f] <= limit else high

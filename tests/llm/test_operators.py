@@ -499,6 +499,40 @@ def test_main_text_of_the_pages(spark):
         assert got[i]["n_chars"] == len(got[i]["text"])
 
 
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_blocks_decide_without_names(spark, article):
+    """Pages that gave no labelled block, class names and ids taken out, articles as they are or as plain elements: words, link density
+    and neighbours decide what the names said before."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").filter("page_id > 13 and html is not null").collect()
+    tree, right, blocks = html_text.grow(html_text.LABELLED), 0, 0
+    for page in pages:
+        bare = re.sub(r' (class|id)="[^"]*"', "", page["html"])
+        begin, end = bare.index("<article>"), bare.index("</article>")
+        inside = range(len(html_text.page_blocks(bare[:begin])), len(html_text.page_blocks(bare[:end])))
+        found = html_text.page_blocks(re.sub(r"<(/?)article>", rf"<\1{article}>", bare))
+        right += html_text.main_text(re.sub(r"<(/?)article>", rf"<\1{article}>", bare), tree) == "\n".join(found[k][0] for k in inside)
+        blocks += len(found)
+    assert blocks > 500 and right >= 0.98 * len(pages)
+
+
+def test_each_number_decides_somewhere():
+    """Size, links and both neighbours are all in the tree, and an aside is no text whatever its numbers."""
+
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    tree = html_text.grow(html_text.LABELLED)
+    assert used(tree) >= {0, 1, 2, 3, 4, 5}
+    assert not html_text.decide(tree, (90, 0.0, 40, 0.0, 40, 0.0, -1))
+
+
+def test_pages_with_repeated_rows_and_clashing_columns(spark):
+    html = "<article><p>one two three</p></article>"
+    pages = spark.createDataFrame([(1, "u", html, "x", 5), (1, "u", html, "x", 5), (None, None, html, None, None), (2, "u", None, "y", 1)], "page_id long, url string, html string, text string, id int")
+    got = sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract_text(pages).collect())
+    assert got == [(0, "one two three"), (1, "one two three"), (1, "one two three"), (2, "")]
+
+
 # all of them
 
 
