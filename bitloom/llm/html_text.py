@@ -179,6 +179,7 @@ WRITTEN_BLOCKS = [
     (2, 1.0, 2, 1.0, 70, 0.0, 0, 0),
     (10, 1.0, 90, 0.0, 12, 1.0, 0, 0),
     (50, 0.9, 20, 0.8, 20, 1.0, 0, 0),
+    (8, 0.0, 3, 1.0, 1, 0.0, 0, 0),
     # nothing, a short block, a long one or a link before, and each of them after: one word and eight, paragraphs and headings
     (1, 0.0, 0, 0.0, 0, 0.0, 0, 1),
     (1, 0.0, 0, 0.0, 9, 0.0, 0, 1),
