@@ -1,7 +1,9 @@
 """Near copies among embeddings: sign hashing by random hyperplanes in several tables, exact cosine, components.
 
 Tables and bits follow from the threshold, the target recall and the number of vectors. Equal vectors of one label are one
-node with a weight. Vectors that share a bucket of one label are compared in double precision, block against block.
+node with a weight. Vectors that share a bucket of one label meet block against block, twice: first with their sign bits only, where a pair
+goes on if few enough signs differ and no earlier table has it in one bucket; then, of the vectors with such a pair, with their
+numbers, and the cosine is taken in double precision. So the numbers of a vector are not sent once for each table.
 
 Defined results: a vector that is null, empty, zero or holds a null or a non-finite number links with nothing, as does one
 with a null label; vectors of different lengths do not link; repeated rows are copies; an empty table gives an empty table;
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .blocks import _runs, block_components
 from .common import stored
 from .components import components
 
@@ -26,6 +29,8 @@ THRESHOLD = 0.93
 RECALL = 0.999
 SEED = 5
 BLOCK_ROWS = 1024
+SCREEN_BITS = 256  # signs a pair is screened by
+SCREEN_MISS = 1e-6  # share of pairs at the threshold that the screen may lose
 
 
 def choose_tables(threshold: float, recall: float, rows: int) -> tuple[int, int]:
@@ -35,6 +40,17 @@ def choose_tables(threshold: float, recall: float, rows: int) -> tuple[int, int]
     return math.ceil(math.log(1 - recall) / math.log1p(-same)), bits
 
 
+def choose_screen(threshold: float, tables: int, bits: int) -> tuple[int, int]:
+    """(tables, signs): the tables whose signs are compared, and how many may differ: a sign differs with the angle over pi."""
+    used = min(tables, math.ceil(SCREEN_BITS / bits))
+    n, p, tail = used * bits, math.acos(threshold) / math.pi, 1.0
+    for k in range(n):
+        tail -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail <= SCREEN_MISS:
+            return used, k
+    return used, n
+
+
 def _vectors(tables: int, bits: int):
     planes: dict[int, np.ndarray] = {}
 
@@ -46,11 +62,12 @@ def _vectors(tables: int, bits: int):
                 if vec.is_valid and (not len(x) or vec.values.null_count or not np.isfinite(x).all() or not x.any()):
                     x = np.empty(0)
                 out.append(x)
-            nodes, keys, data = [], [], []
+            nodes, keys, signs, data = [], [], [], []
             for label, x in zip(batch.column(1).to_pylist(), out):
                 if not len(x):
                     nodes.append(None)
                     keys.append(None)
+                    signs.append(None)
                     data.append(None)
                     continue
                 if len(x) not in planes:
@@ -61,18 +78,123 @@ def _vectors(tables: int, bits: int):
                 tag = f"{label}\0{len(x)}\0".encode()
                 nodes.append(xxhash.xxh3_64_intdigest(tag + x.tobytes()) - (1 << 63))
                 keys.append([xxhash.xxh3_64_intdigest(tag + bytes([t & 255, t >> 8]) + row.tobytes()) - (1 << 63) for t, row in enumerate(about)])
+                signs.append(about.tobytes())
                 data.append(unit.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["id", "node", "keys", "payload"])
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "keys", "signs", "payload"])
 
     return run
 
 
-def cosine_links(threshold: float):
-    def kernel(payloads: list[bytes]) -> np.ndarray:
-        x = np.frombuffer(b"".join(payloads), np.float64).reshape(len(payloads), -1)
-        return x @ x.T >= threshold
+def _table_of(signs: list[bytes], tables: int) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), tables, -1)
+
+
+def _as_words(signs: np.ndarray) -> np.ndarray:
+    """The signs of each row as 64-bit words, filled up with zeros."""
+    flat = signs.reshape(len(signs), -1)
+    return np.pad(flat, ((0, 0), (0, -flat.shape[1] % 8))).view(np.uint64)
+
+
+def few_differ(left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
+    differ = np.zeros((len(left), len(right)), np.uint16)
+    for w in range(left.shape[1]):
+        differ += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+    return differ <= limit
+
+
+def met_first(signs: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+    """For pairs in one bucket of table t: is none of the tables before it one where all signs are equal."""
+    before = signs[:, :t]
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i) if t else 0, 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = ~(before[i[part]] == before[j[part]]).all(axis=2).any(axis=1)
+    return out
+
+
+def _pairs(group: pa.Table, tables: int, linked):
+    """Rows of a block pair, once each, and their pairs that ``linked(rows, left, right)`` marks and no earlier table has."""
+    _, rows = np.unique(group.column("node").to_numpy(), return_index=True)
+    group = group.take(pa.array(rows))
+    side, lo, hi = group.column("own").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    signs = _table_of(group.column("signs").to_pylist(), tables)
+    marks = linked(group, signs, left, right)
+    if lo == hi:
+        marks = np.triu(marks, 1)
+    i, j = np.nonzero(marks)
+    i, j = left[i], right[j]
+    first = met_first(signs, i, j, group.column("t")[0].as_py())
+    return group, i[first], j[first]
+
+
+def _joined(tables, rows: int = 20_000):
+    """Few large batches from many small tables."""
+    held, n = [], 0
+    for table in tables:
+        held.append(table)
+        n += len(table)
+        if n >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+SEAT = ["key", "lo", "hi", "own", "t", "node"]
 
-    return kernel
+
+def _screened(tables: int, used: int, limit: int):
+    """Rows that have a pair to verify in their block pair."""
+
+    def linked(group, signs, left, right):
+        words = _as_words(signs[:, :used])
+        return few_differ(words[left], words[right], limit)
+
+    def found(batches):
+        for group in _runs(batches, 3):
+            if len(group) > 1:
+                group, i, j = _pairs(group, tables, linked)
+                if len(i):
+                    yield group.select(SEAT).take(pa.array(np.union1d(i, j)))
+
+    return lambda batches: _joined(found(batches))
+
+
+def _verified(tables: int, threshold: float):
+    """node, weight of its links and the smallest node it is connected with, for each block pair."""
+
+    def linked(group, signs, left, right):
+        x = np.frombuffer(b"".join(group.column("payload").to_pylist()), np.float64).reshape(len(group), -1)
+        return x[left] @ x[right].T >= threshold
+
+    def found(batches):
+        for group in _runs(batches, 3):
+            group, i, j = _pairs(group, tables, linked)
+            if not len(i):
+                continue
+            nodes, weights = group.column("node").to_numpy(), group.column("weight").to_numpy()
+            total = np.bincount(i, weights[j], len(nodes)) + np.bincount(j, weights[i], len(nodes))
+            some = np.union1d(i, j)
+            root = nodes[block_components(i, j, len(nodes))[some]]
+            yield pa.table([pa.array(nodes[some]), pa.array(total[some].astype(np.int64)), pa.array(root)], ["node", "links", "root"])
+
+    return lambda batches: _joined(found(batches))
+
+
+def block_links(classes: DataFrame, tables: int, bits: int, threshold: float) -> DataFrame:
+    """classes: node, weight, keys, signs, payload. Gives node, links and root, several rows a node."""
+    seats = blocks.seats(classes.select("node", F.octet_length("payload").cast("long").alias("size"), "keys"), BLOCK_ROWS)
+    rows = classes.select("node", "signs").join(seats, "node").select("node", "signs", F.explode("seats").alias("s"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "s.key"), F.col("s.blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("s.blocks") - 1)).alias("other"))
+    rows = rows.select(F.col("s.key").alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("s.t").alias("t"), "node", "signs")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    left = rows.mapInArrow(_screened(tables, *choose_screen(threshold, tables, bits)), "key bigint, lo int, hi int, own int, t int, node bigint")
+    left = left.join(classes.select("node", "weight", "signs", "payload"), "node").select(*SEAT, "weight", "signs", "payload")
+    left = left.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return left.mapInArrow(_verified(tables, threshold), "node bigint, links bigint, root bigint")
 
 
 def vector_links(
@@ -87,15 +209,13 @@ def vector_links(
     tables, bits = choose_tables(threshold, recall, vectors.count())
     rows = vectors.select(vectors[id_col].alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vec_col].alias("v"))
     kind = rows.schema["id"].dataType.simpleString()
-    hashed = stored(rows.mapInArrow(_vectors(tables, bits), f"id {kind}, node bigint, keys array<bigint>, payload binary"), "vectors")
+    hashed = stored(rows.mapInArrow(_vectors(tables, bits), f"id {kind}, node bigint, keys array<bigint>, signs binary, payload binary"), "vectors")
 
     classes = hashed.filter("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("payload").alias("payload")
+        F.count(F.lit(1)).alias("weight"), F.min("id").alias("first_id"), F.first("keys").alias("keys"), F.first("signs").alias("signs"), F.first("payload").alias("payload")
     )
     classes = stored(classes, "classes")
-    seats = blocks.seats(classes.select("node", F.octet_length("payload").cast("long").alias("size"), "keys"), BLOCK_ROWS)
-    payloads = classes.select("node", "weight", "payload").join(seats, "node")
-    links = blocks.link(payloads, cosine_links(threshold), "links")
+    links = stored(block_links(classes, tables, bits, threshold), "links")
 
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))

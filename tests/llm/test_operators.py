@@ -429,6 +429,29 @@ def test_small_leaves_repeat_through_the_pipeline(spark, documents):
     assert rows == {i: c for i, (c, _) in chosen.items()}
 
 
+def test_the_screen_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    tables, bits = vector_dedup.choose_tables(0.93, 0.999, 50_000)
+    used, limit = vector_dedup.choose_screen(0.93, tables, bits)
+    a = rng.standard_normal((3000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.standard_normal(a.shape)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * other
+    planes = rng.standard_normal((48, used * bits))
+    words = [vector_dedup._as_words(np.packbits((x @ planes > 0).reshape(len(x), used, bits), axis=2)) for x in (a, b)]
+    marks = vector_dedup.few_differ(*words, limit)
+    assert marks.diagonal().all()  # one in a million may be lost
+    assert marks.sum() < 1.01 * len(a)  # and unrelated pairs go
+
+
+def test_pairs_count_in_the_first_table_they_share():
+    signs = np.array([[[1], [2], [3]], [[9], [2], [3]], [[1], [7], [3]]], np.uint8)
+    i, j = np.array([0, 0, 1]), np.array([1, 2, 2])
+    assert [vector_dedup.met_first(signs, i, j, t).tolist() for t in range(3)] == [[True] * 3, [True, False, True], [False, False, True]]
+
+
 # pages
 
 
