@@ -96,20 +96,14 @@ def _as_words(signs: np.ndarray) -> np.ndarray:
     return np.pad(flat, ((0, 0), (0, -flat.shape[1] % 8))).view(np.uint64)
 
 
-def few_differ(left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
-    differ = np.zeros((len(left), len(right)), np.uint16)
-    for w in range(left.shape[1]):
-        differ += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
-    return differ <= limit
-
-
-def met_first(signs: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
-    """For pairs in one bucket of table t: is none of the tables before it one where all signs are equal."""
-    before = signs[:, :t]
+def met_first(signs: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For pairs that share a bucket of table t (one per pair): is none of the tables before it one where all signs are equal."""
     out = np.ones(len(i), bool)
-    for at in range(0, len(i) if t else 0, 1 << 16):
+    earlier = np.arange(signs.shape[1])
+    for at in range(0, len(i), 1 << 16):
         part = slice(at, at + (1 << 16))
-        out[part] = ~(before[i[part]] == before[j[part]]).all(axis=2).any(axis=1)
+        same = (signs[i[part]] == signs[j[part]]).all(axis=2)
+        out[part] = ~(same & (earlier < t[part, None])).any(axis=1)
     return out
 
 
@@ -125,7 +119,7 @@ def _pairs(group: pa.Table, tables: int, linked):
         marks = np.triu(marks, 1)
     i, j = np.nonzero(marks)
     i, j = left[i], right[j]
-    first = met_first(signs, i, j, group.column("t")[0].as_py())
+    first = met_first(signs, i, j, group.column("t").to_numpy()[i])
     return group, i[first], j[first]
 
 
@@ -145,19 +139,59 @@ def _joined(tables, rows: int = 20_000):
 SEAT = ["key", "lo", "hi", "own", "t", "node"]
 
 
+def _close(words: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, size: int, limit: int):
+    """Row numbers of the pairs with few differing signs in groups of one size, all groups at once."""
+    at = starts[:, None] + np.arange(size)
+    part, side = words[at], own[at]
+    differ = np.zeros((len(at), size, size), np.uint16)
+    for w in range(part.shape[2]):
+        differ += np.bitwise_count(part[:, :, None, w] ^ part[:, None, :, w])
+    across = (side[:, :, None] != side[:, None, :]) | (lo[starts] == hi[starts])[:, None, None]
+    g, i, j = np.nonzero((differ <= limit) & across & np.triu(np.ones((size, size), bool), 1))
+    return at[g, i], at[g, j]
+
+
+SMALL = 1 << 20  # cells of the matrices that are compared at once
+
+
 def _screened(tables: int, used: int, limit: int):
-    """Rows that have a pair to verify in their block pair."""
+    """Rows that have a pair to verify in their block pair. Input is sorted by key, lo, hi; a group may run over batches."""
 
-    def linked(group, signs, left, right):
+    def pairs(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray):
+        own, lo, hi, t = (rows.column(c).to_numpy() for c in ("own", "lo", "hi", "t"))
+        signs = _table_of(rows.column("signs").to_pylist(), tables)
         words = _as_words(signs[:, :used])
-        return few_differ(words[left], words[right], limit)
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            of_size = starts[sizes == size]
+            step = max(1, SMALL // size**2)
+            for k in range(0, len(of_size), step):
+                i, j = _close(words, own, lo, hi, of_size[k : k + step], size, limit)
+                first = met_first(signs, i, j, t[i])
+                yield np.union1d(i[first], j[first])
+
+    def marked(rows: pa.Table, starts: np.ndarray):
+        if len(rows):
+            for at in pairs(rows, starts, np.diff(starts, append=len(rows))):
+                if len(at):
+                    yield rows.select(SEAT).take(pa.array(at))
 
     def found(batches):
-        for group in _runs(batches, 3):
-            if len(group) > 1:
-                group, i, j = _pairs(group, tables, linked)
-                if len(i):
-                    yield group.select(SEAT).take(pa.array(np.union1d(i, j)))
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([rest, rows]) if rest is not None else rows).combine_chunks()
+            if not len(rows):
+                continue
+            change = np.zeros(len(rows), bool)
+            change[0] = True
+            for c in ("key", "lo", "hi"):
+                x = rows.column(c).to_numpy()
+                change[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(change)
+            yield from marked(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield from marked(rest, np.zeros(1, np.int64))
 
     return lambda batches: _joined(found(batches))
 

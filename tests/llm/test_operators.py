@@ -441,15 +441,18 @@ def test_the_screen_keeps_pairs_at_the_threshold():
     b = 0.93 * a + (1 - 0.93**2) ** 0.5 * other
     planes = rng.standard_normal((48, used * bits))
     words = [vector_dedup._as_words(np.packbits((x @ planes > 0).reshape(len(x), used, bits), axis=2)) for x in (a, b)]
-    marks = vector_dedup.few_differ(*words, limit)
-    assert marks.diagonal().all()  # one in a million may be lost
-    assert marks.sum() < 1.01 * len(a)  # and unrelated pairs go
+    both = np.stack(words, axis=1).reshape(2 * len(a), -1)  # a pair of rows each
+    none = np.zeros(2 * len(a), int)
+    i, j = vector_dedup._close(both, none, none, none, np.arange(0, 2 * len(a), 2), 2, limit)
+    assert len(i) == len(a) and (j == i + 1).all()  # one in a million may be lost
+    i, j = vector_dedup._close(both, none, none, none, np.arange(1, 2 * len(a) - 1, 2), 2, limit)
+    assert len(i) < 0.01 * len(a)  # and unrelated pairs go
 
 
 def test_pairs_count_in_the_first_table_they_share():
     signs = np.array([[[1], [2], [3]], [[9], [2], [3]], [[1], [7], [3]]], np.uint8)
     i, j = np.array([0, 0, 1]), np.array([1, 2, 2])
-    assert [vector_dedup.met_first(signs, i, j, t).tolist() for t in range(3)] == [[True] * 3, [True, False, True], [False, False, True]]
+    assert [vector_dedup.met_first(signs, i, j, np.full(3, t)).tolist() for t in range(3)] == [[True] * 3, [True, False, True], [False, False, True]]
 
 
 # pages
