@@ -36,8 +36,9 @@ ROWS = 512  # sets held by a task at once
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows, so the fewest false candidates, whose bands reach the recall at the threshold."""
-    best = (max_hashes, 1)
+    """(bands, rows): the most rows, so the fewest false candidates, whose bands reach the recall at the threshold within
+    ``max_hashes``. If no number of rows does, bands of one row, as many as the recall asks for."""
+    best = (math.ceil(math.log(1 - recall) / math.log1p(-threshold)), 1)
     for rows in range(1, max_hashes + 1):
         bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if bands * rows > max_hashes:

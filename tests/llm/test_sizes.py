@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -51,6 +52,13 @@ def test_markov_spans_overlap_no_base_span(spark):
         assert spans == sorted(spans, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
 
 
+@pytest.mark.parametrize("threshold", [0.02, 0.1, 0.5, 0.8, 0.95])
+def test_bands_reach_their_recall(threshold):
+    bands, rows = ngram_join.choose_bands(threshold, 0.9999)
+    assert 1 - (1 - threshold**rows) ** bands >= 0.9999 - 1e-12
+    assert bands * rows <= ngram_join.MAX_HASHES or rows == 1
+
+
 def test_pages_with_many_unmatched_tags():
     n = 100_000
     begun = time.monotonic()
