@@ -7,7 +7,7 @@ from ...operators import thresholds as TH
 from ...functions.scalars import whole_div
 from ...operators.integrity import frame_metrics
 from ...operators.ranking import label_select
-from ...session import scratch_path
+from ...session import saved, scratch_path
 from ...streaming import jobs as J
 from .base import OUT, V, WORDS, query, step_thresholds, table, ternary_weights, vectors, words
 from .joins import _PRED, predictions
@@ -18,10 +18,10 @@ EPOCH = 1_700_000_000
 
 
 def as_stream(spark, df, name: str):
-    """Write a table as a few files and read it back as a stream of one file per micro-batch."""
-    path = scratch_path(spark, name)
-    df.repartition(PARTS).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Write a table as files, one a core for each micro-batch, and read it back as a stream of ``PARTS`` micro-batches."""
+    path, files = scratch_path(spark, name), spark.sparkContext.defaultParallelism
+    df.repartition(PARTS * files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _paths(spark, name: str) -> tuple[str, str]:
@@ -113,6 +113,7 @@ def _(spark, sf):
 
 def _in_order(df, idle: str):
     """Words in parts by number, one second of event time each, and a last row without a word, long after, that closes what is open."""
+    df = saved(df, "in-order")
     timed = df.withColumn("ts", F.timestamp_seconds(F.col("seq") + EPOCH))
     span = df.agg(F.max("seq")).scalar() + 1
     parts = [timed.where(whole_div(F.col("seq") * PARTS, span) == p) for p in range(PARTS)]

@@ -1,20 +1,22 @@
 """Structured Streaming jobs.
 
 Rows carry their sequence number, so frames and words are cut by number and not by arrival. State
-is keyed by the open frame or word, which spreads one busy stream over all tasks, and is dropped
-when that frame or word is complete.
+is keyed by a run of consecutive frames or blocks of words, which spreads one busy stream over all tasks, and
+holds what is open of them: a frame or word leaves it when it is complete.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import compress
 from math import gcd
 from threading import Event
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -28,6 +30,9 @@ Chain = Callable[[DataFrame, DataFrame], DataFrame]
 #: micro-batches between two bases of ``keep_latest``, and files of a base
 COMPACT_EVERY = 16
 COMPACT_BUCKETS = 8
+#: words, and elements, of the frames and blocks that share one state: a call of Python and a write of the state serve so many
+RUN_WORDS = 1 << 12
+RUN_ELEMENTS = 1 << 14
 
 
 def score_stream(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, order: str = "row_id", keys: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
@@ -80,69 +85,114 @@ def latest_params(spark, root: str) -> DataFrame:
 
 
 class _Open(StatefulProcessor):
-    """What waits until it is complete: a frame or a run of words. With ``wait_ms`` it leaves, incomplete, that long after its first rows."""
+    """What waits until it is complete: the open frames, or the words, of one run. With ``wait_ms`` they leave, incomplete, that long after their first rows.
 
-    def __init__(self, fields: str, wait_ms: int | None) -> None:
-        self.fields, self.wait_ms = fields, wait_ms
+    The state is a table by columns; ``due`` says when a row of it leaves. A run has one timer, at the earliest of them (``armed``).
+    """
+
+    def __init__(self, columns: tuple[str, ...], per_run: int, wait_ms: int | None) -> None:
+        self.columns, self.per_run, self.wait_ms = (*columns, "due"), per_run, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("open", self.fields)
+        fields = [f"{c} ARRAY<BIGINT>" for c in self.columns]
+        self.handle, self.state = handle, handle.getValueState("open", ", ".join([*fields, "armed BIGINT"]))
+
+    def held(self) -> tuple[list, int | None]:
+        """The columns of what waits, and when the timer ends."""
+        if not self.state.exists():
+            return [[] for _ in self.columns], None
+        *columns, armed = self.state.get()
+        return columns, armed
+
+    def keep(self, columns: list[list], armed: int | None) -> None:
+        """Hold this and move the timer from ``armed`` to the earliest ``due``."""
+        until = min(columns[-1]) if self.wait_ms is not None and columns[-1] else None
+        if until != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            if until is not None:
+                self.handle.registerTimer(until)
+        if columns[-1]:
+            self.state.update((*columns, until))
+        elif self.state.exists():
+            self.state.clear()
 
-    def keep(self, value: tuple, clock: int | None) -> None:
-        if self.wait_ms is not None and not self.state.exists():
-            self.handle.registerTimer(clock + self.wait_ms)
-        self.state.update(value)
+    def due(self, clock: np.ndarray) -> np.ndarray:
+        """When rows leave whose newest event time is ``clock``."""
+        if self.wait_ms is None:
+            return np.zeros(len(clock), np.int64)
+        if np.isnan(clock).any():
+            raise ValueError("a row that has to wait has no event time")
+        return clock.astype(np.int64) + self.wait_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the timer of what was completed in time finds no state
-        if self.state.exists():
-            value = self.state.get()
-            self.state.clear()
-            yield self.left(key, value)
-
-    def left(self, key, value) -> pd.DataFrame:
+        columns, armed = self.held()
+        if not columns[-1]:
+            return
+        ended, due = expiredTimerInfo.getExpiryTimeInMs(), np.array(columns[-1], np.int64)
+        leave = (due <= ended) | (due <= timerValues.getCurrentWatermarkInMs())
+        gone, rest = (self.where(columns, mask) for mask in (leave, ~leave))
+        # the timer that has just ended is removed by Spark
+        self.keep(rest, None if armed == ended else armed)
+        if gone[-1]:
+            yield self.left(key, gone)
+
+    def where(self, columns: list[list], mask: np.ndarray) -> list[list]:
+        """The rows of the state for which ``mask`` holds."""
+        return [list(compress(c, mask)) for c in columns]
+
+    def number(self, key, at) -> pd.Series:
+        """Numbers of frames or blocks from their places in the run; null where the rows have no number."""
+        numbers = pd.Series(np.asarray(at, np.int64), dtype="Int64")
+        return numbers + int(key[1]) * self.per_run if not pd.isna(key[1]) else numbers.mask(numbers.notna())
+
+    def left(self, key, columns: list[list]) -> pd.DataFrame:
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class _OpenFrame(_Open):
-    """Sum of one frame until all its words have come."""
+class _OpenFrames(_Open):
+    """Sums of the frames of a run until all their words have come."""
 
-    def __init__(self, n_words: int, wait_ms: int | None) -> None:
-        super().__init__("s BIGINT, n BIGINT", wait_ms)
+    def __init__(self, n_words: int, per_run: int, wait_ms: int | None) -> None:
+        super().__init__(("place", "s", "n"), per_run, wait_ms)
         self.n_words = n_words
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, n, clock = 0, 0, None
-        for part in rows:
-            s, n = (s + int(part["term"].sum())) % MODULUS, n + len(part)
-            clock = _latest(clock, part)
+        came = pd.concat([self._sums(part) for part in rows]).groupby("place", as_index=False).agg({"s": "sum", "n": "sum", "clock": "max"})
+        whole = came["n"] >= self.n_words
         # a frame that is whole within the micro-batch never touches the state
-        if n < self.n_words:
-            if self.state.exists():
-                before_s, before_n = self.state.get()
-                s, n = (s + before_s) % MODULUS, n + before_n
-            if n < self.n_words:
-                self.keep((s, n), clock)
-                return
-            self.state.clear()
-        yield self._row(key, key[1] % 256 * MODULUS + s, n)
-
-    def left(self, key, value) -> pd.DataFrame:
-        return self._row(key, None, value[1])
-
-    def _row(self, key, checksum: int | None, n: int) -> pd.DataFrame:
-        row = {"stream_id": [key[0]], "frame": [key[1]], "checksum": pd.array([checksum], "Int64")}
-        return pd.DataFrame(row if self.wait_ms is None else row | {"n_words": [n]})
-
-
-def _latest(clock: int | None, part: pd.DataFrame) -> int | None:
-    if "clock" not in part:
-        return None
-    newest = int(part["clock"].max())
-    return newest if clock is None else max(clock, newest)
+        done, came = came[whole], came[~whole]
+        if len(came):
+            columns, armed = self.held()
+            before = pd.DataFrame(dict(zip(self.columns, columns)), dtype="int64")
+            met = before["place"].isin(came["place"])
+            totals = pd.concat([before[met], came]).groupby("place", as_index=False).agg({"s": "sum", "n": "sum", "due": "first", "clock": "last"})
+            whole = totals["n"] >= self.n_words
+            done, waits = pd.concat([done, totals[whole]]), totals[~whole].copy()
+            fresh = waits["due"].isna().to_numpy()
+            waits.loc[fresh, "due"] = self.due(waits["clock"].to_numpy("float64")[fresh])
+            after = pd.concat([before[~met], waits])
+            self.keep([after[c].astype("int64").tolist() for c in self.columns], armed)
+        if len(done):
+            frame = self.number(key, done["place"])
+            yield self._rows(key, frame, frame % 256 * MODULUS + (done["s"] % MODULUS).astype("int64").to_numpy(), done["n"])
+
+    @staticmethod
+    def _sums(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(clock=part["clock"] if "clock" in part else np.nan, n=1)
+        sums = part.groupby("place", as_index=False).agg({"term": "sum", "n": "sum", "clock": "max"})
+        return sums.rename(columns={"term": "s"}).astype({"s": "int64", "clock": "float64"}).assign(due=np.nan)
+
+    def left(self, key, columns: list[list]) -> pd.DataFrame:
+        at, _, n, _ = columns
+        return self._rows(key, self.number(key, at), None, n)
+
+    def _rows(self, key, frame: pd.Series, checksum, n) -> pd.DataFrame:
+        rows = pd.DataFrame({"stream_id": [key[0]] * len(frame), "frame": frame, "checksum": pd.array([None] * len(frame), "Int64") if checksum is None else checksum})
+        return rows if self.wait_ms is None else rows.assign(n_words=np.asarray(n, np.int64))
 
 
 def _clocked(words: DataFrame, late: str | None) -> tuple[DataFrame, list[str], str]:
@@ -154,6 +204,12 @@ def _clocked(words: DataFrame, late: str | None) -> tuple[DataFrame, list[str],
     return timed.withColumn("clock", F.unix_millis("ts")), ["ts", "clock"], "EventTime"
 
 
+def _in_run(number: Column, per_run: int) -> list[Column]:
+    """The run of a frame or block, and its place there."""
+    run = whole_div(number, per_run)
+    return [run.alias("run"), F.coalesce(number - run * per_run, F.lit(0)).cast("long").alias("place")]
+
+
 def checksum_stream(words: DataFrame, n_words: int, k: int = 1, bits: int = 64, late: str | None = None, wait_ms: int = 60_000) -> DataFrame:
     """Frame checksums of a stream; frames may span micro-batches.
 
@@ -161,47 +217,87 @@ def checksum_stream(words: DataFrame, n_words: int, k: int = 1, bits: int = 64,
     watermark, leaves the state as a row without checksum; ``n_words`` says how many words had come. Rows whose word is null move the watermark only.
     """
     timed, more, mode = _clocked(words.withColumn("idle", F.col("word").isNull()), late)
-    terms = frame_terms(timed, n_words, k, bits).select("stream_id", "frame", "term", *more)
+    per_run = max(1, RUN_WORDS // n_words)
+    terms = frame_terms(timed, n_words, k, bits).select("stream_id", *_in_run(F.col("frame"), per_run), "term", *more)
     schema = "stream_id STRING, frame BIGINT, checksum BIGINT" + (", n_words BIGINT" if late else "")
-    return terms.groupBy("stream_id", "frame").transformWithStateInPandas(
-        statefulProcessor=_OpenFrame(n_words, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
+    return terms.groupBy("stream_id", "run").transformWithStateInPandas(
+        statefulProcessor=_OpenFrames(n_words, per_run, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 
 class _OpenWords(_Open):
-    """Words of one common multiple of both widths until all have come."""
+    """Words of the blocks of a run until all have come; a block has one common multiple of both widths. All elements are in one column, ``size`` of them a word."""
 
-    def __init__(self, span: int, m: int, wait_ms: int | None) -> None:
-        super().__init__("at ARRAY<BIGINT>, vecs ARRAY<ARRAY<BIGINT>>", wait_ms)
+    def __init__(self, span: int, m: int, per_run: int, wait_ms: int | None) -> None:
+        super().__init__(("x", "size", "block", "at"), per_run, wait_ms)
         self.span, self.m = span, m
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at: list[int] = []
-        vecs: list = []
-        clock = None
-        for part in rows:
-            at += part["at"].tolist()
-            vecs += [v.tolist() for v in part["vec"]]
-            clock = _latest(clock, part)
-        # elements that are whole within the micro-batch never touch the state
-        if sum(map(len, vecs)) < self.span:
-            if self.state.exists():
-                before_at, before_vecs = self.state.get()
-                at, vecs = [*map(int, before_at), *at], [*[list(map(int, v)) for v in before_vecs], *vecs]
-            if sum(map(len, vecs)) < self.span:
-                self.keep((at, vecs), clock)
-                return
-            self.state.clear()
-        stream_id, block = key
-        flat = [x for i in sorted(range(len(at)), key=at.__getitem__) for x in vecs[i]]
-        words = [flat[i : i + self.m] for i in range(0, self.span, self.m)]
-        first = block * (self.span // self.m)
-        done = {"stream_id": [stream_id] * len(words), "seq": range(first, first + len(words)), "vec": words}
-        yield pd.DataFrame(done if self.wait_ms is None else done | {"n_elements": [self.m] * len(words)})
-
-    def left(self, key, value) -> pd.DataFrame:
-        first = key[1] * (self.span // self.m)
-        return pd.DataFrame({"stream_id": [key[0]], "seq": [first], "vec": [None], "n_elements": [sum(map(len, value[1]))]})
+        words = pd.concat(list(rows), ignore_index=True)
+        columns, armed = self.held()
+        old, new = len(columns[-1]), len(words)
+        gap = np.array([x is None for x in columns[0]], bool)
+        x = np.concatenate([np.array([0 if v is None else v for v in columns[0]] if gap.any() else columns[0], np.int64), *words["vec"]])
+        if words["gaps"].notna().any():
+            gaps = [np.zeros(len(v), bool) if g is None else np.asarray(g, bool) for v, g in zip(words["vec"], words["gaps"])]
+        else:
+            gaps = [np.zeros(len(x) - len(gap), bool)]
+        gap = np.concatenate([gap, *gaps])
+        size = np.concatenate([np.array(columns[1], np.int64), words["vec"].map(len).to_numpy(np.int64)])
+        block, at = (np.concatenate([np.array(c, np.int64), words[name].to_numpy(np.int64)]) for c, name in ((columns[2], "place"), (columns[3], "at")))
+        came = np.arange(old + new) >= old
+        blocks, of = np.unique(block, return_inverse=True)
+
+        # a block that is whole within the micro-batch never touches the state
+        alone = np.bincount(of[came], size[came], len(blocks)) >= self.span
+        whole = alone | (np.bincount(of, size, len(blocks)) >= self.span)
+        done = np.where(alone[of], came, whole[of])
+        wait = np.flatnonzero(~done)
+        clock = np.full(len(blocks), np.nan)
+        if self.wait_ms is not None:
+            np.fmax.at(clock, of[came], words["clock"].to_numpy("float64"))
+        due = np.zeros(len(blocks), np.int64)
+        due[of[:old]] = columns[-1]
+        fresh = ~whole & (np.bincount(of[:old], minlength=len(blocks)) == 0)
+        due[fresh] = self.due(clock[fresh])
+        cells = _cells_of(wait, size)
+        kept = x[cells].tolist()
+        for i in np.flatnonzero(gap[cells]).tolist():
+            kept[i] = None
+        if len(wait) or old:
+            self.keep([kept, *(c[wait].tolist() for c in (size, block, at, due[of]))], armed)
+
+        order = np.flatnonzero(done)
+        if len(order):
+            order = order[np.lexsort((at[order], of[order]))]
+            cells, owner = _cells_of(order, size), np.repeat(of[order], size[order])
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            within = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
+            cells = cells[within < self.span].reshape(-1, self.m)
+            vecs = list(x[cells])
+            for i in np.flatnonzero(gap[cells].any(axis=1)).tolist():
+                vecs[i] = [None if g else v for v, g in zip(vecs[i].tolist(), gap[cells[i]])]
+            each = self.span // self.m
+            seq = self.number(key, np.repeat(blocks[owner[first]], each)) * each + np.tile(np.arange(each), len(first))
+            done = pd.DataFrame({"stream_id": [key[0]] * len(vecs), "seq": seq, "vec": pd.Series(vecs, dtype=object)})
+            yield done if self.wait_ms is None else done.assign(n_elements=self.m)
+
+    def where(self, columns: list[list], mask: np.ndarray) -> list[list]:
+        x, *rest = columns
+        return [list(compress(x, np.repeat(mask, rest[0]))), *super().where(rest, mask)]
+
+    def left(self, key, columns: list[list]) -> pd.DataFrame:
+        _, size, block, _, _ = columns
+        n = pd.DataFrame({"block": block, "size": size}).groupby("block", as_index=False)["size"].sum()
+        first = self.number(key, n["block"]) * (self.span // self.m)
+        return pd.DataFrame({"stream_id": [key[0]] * len(n), "seq": first, "vec": pd.Series([None] * len(n), dtype=object), "n_elements": n["size"]})
+
+
+def _cells_of(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the elements of the given words lie, word by word."""
+    start = np.cumsum(size) - size
+    n = size[words]
+    return np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def rechunk_stream(words: DataFrame, n: int, m: int, late: str | None = None, wait_ms: int = 60_000) -> DataFrame:
@@ -212,13 +308,17 @@ def rechunk_stream(words: DataFrame, n: int, m: int, late: str | None = None, wa
     Rows whose vector is null move the watermark only.
     """
     span = n * m // gcd(n, m)
+    per_run = max(1, RUN_ELEMENTS // span)
     timed, more, mode = _clocked(words.withColumn("idle", F.col("vec").isNull()), late)
-    placed = timed.select(
-        "stream_id", whole_div(F.col("seq") * n, span).alias("block"), F.pmod(F.col("seq") * n, F.lit(span)).alias("at"), F.col("vec").cast("array<bigint>").alias("vec"), *more
-    )
+    vec = F.col("vec").cast("array<bigint>")
+    # an array with a null comes to Python as floats, so nulls go beside the numbers
+    numbers = F.transform(vec, lambda x: F.coalesce(x, F.lit(0).cast("long"))).alias("vec")
+    gaps = F.when(F.exists(vec, lambda x: x.isNull()), F.transform(vec, lambda x: x.isNull())).alias("gaps")
+    at = F.coalesce(F.pmod(F.col("seq") * n, F.lit(span)), F.lit(0)).cast("long")
+    placed = timed.select("stream_id", *_in_run(whole_div(F.col("seq") * n, span), per_run), at.alias("at"), numbers, gaps, *more)
     schema = "stream_id STRING, seq BIGINT, vec ARRAY<BIGINT>" + (", n_elements BIGINT" if late else "")
-    return placed.groupBy("stream_id", "block").transformWithStateInPandas(
-        statefulProcessor=_OpenWords(span, m, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
+    return placed.groupBy("stream_id", "run").transformWithStateInPandas(
+        statefulProcessor=_OpenWords(span, m, per_run, wait_ms if late else None), outputStructType=schema, outputMode="Append", timeMode=mode
     )
 
 

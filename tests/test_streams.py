@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import integrity
+from bitloom.operators import integrity, spatial
 from bitloom.streaming import jobs
 
 
@@ -65,3 +65,46 @@ def test_differences_of_a_step(spark):
     assert sorted(map(tuple, integrity.frame_differences(words, words, 8).collect())) == [("s0", 4, 0), ("s1", 4, 0)]
     assert sorted(map(tuple, integrity.frame_differences(words, changed, 8).collect())) == [("s0", 4, 0), ("s1", 4, 1)]
     assert sorted(map(tuple, integrity.frame_differences(words, lost, 8).collect())) == [("s0", 4, 2), ("s1", 4, 0)]
+
+
+def test_frames_of_a_run_share_one_state(spark, tmp_path):
+    """Half of the words come first, so most frames are open; they are a row of the state a run, and not one each."""
+    words = spark.range(6000).selectExpr("concat('s', id % 2) AS stream_id", "id DIV 2 AS seq", "id * 977 AS word", "array(id, -id, NULL, id * 3) AS vec")
+    parts = [words.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == p).coalesce(1) for p in range(2)]
+    for name, job, wanted in (
+        ("sums", lambda s: jobs.checksum_stream(s.drop("vec"), 4), integrity.frame_checksum(words, 4)),
+        ("chunks", lambda s: jobs.rechunk_stream(s.drop("word"), 4, 6), spatial.rechunk(words, 6, n=4)),
+    ):
+        source = str(tmp_path / name)
+        words.limit(0).write.parquet(source)
+        stream = spark.readStream.schema(words.schema).parquet(source)
+        out, query = jobs.run_while_fed(job(stream), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state"), parts, source)
+        assert out.exceptAll(wanted).isEmpty() and out.count() == wanted.count()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(held) == 2 and held[-1] == 0
+
+
+def test_words_of_a_run_leave_at_their_own_times(spark, tmp_path):
+    """Of one run block 0 leaves incomplete while block 2 waits and ends in time, as block 1 did; nulls inside a word stay, and large numbers beside them."""
+    big = (1 << 62) + 1
+
+    def part(*rows):
+        at = [(s, i, v, datetime.fromtimestamp(1_700_000_000 + t, timezone.utc)) for s, i, v, t in rows]
+        return spark.createDataFrame(at, "stream_id string, seq bigint, vec array<bigint>, ts timestamp").coalesce(1)
+
+    parts = [
+        part(("a", 0, [1, 2], 0), ("a", 3, [big, None], 0), ("a", 4, [9, 10], 0)),
+        part(("a", 5, [11, 12], 40), ("a", 6, [13, 14], 45), ("a", 7, [15, 16], 45)),
+        part(("", 0, None, 70)),
+        part(("a", 8, [None, 18], 70)),
+        part(("b", 0, [0, 0], 71)),
+        part(("", 0, None, 10_000)),
+    ]
+    source = str(tmp_path / "in")
+    parts[0].limit(0).write.parquet(source)
+    stream = spark.readStream.schema(parts[0].schema).parquet(source)
+    out, query = jobs.run_while_fed(jobs.rechunk_stream(stream, 2, 3, late="5 seconds", wait_ms=60_000), str(tmp_path / "out"), str(tmp_path / "state"), parts, source)
+    got = {(r.stream_id, r.seq): (r.vec, r.n_elements) for r in out.collect()}
+    whole = {("a", 2): [big, None, 9], ("a", 3): [10, 11, 12], ("a", 4): [13, 14, 15], ("a", 5): [16, None, 18]}
+    assert got == {k: (v, 3) for k, v in whole.items()} | {("a", 0): (None, 2), ("b", 0): (None, 2)}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
