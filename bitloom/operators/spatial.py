@@ -17,6 +17,8 @@ from .thresholds import multi_threshold
 
 #: cells a tile of an image reads, or results it gives, at most about
 TILE_CELLS = 1 << 21
+#: cells that tiles smaller than this read, or give, together in one step of a worker
+STEP_CELLS = 1 << 18
 OUT_CLASSES = 64
 
 
@@ -121,7 +123,7 @@ def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilati
 
     Outputs are cut into tiles. A cell goes to the tiles that read it, more than one only in the halo where tiles overlap, and a
     tile is one row of at most about ``TILE_CELLS`` cells, multiplied in Arrow batches with weights of proven size.
-    An image of up to that size is one tile. ``depthwise`` weights have no ``out_idx``: each channel is its own output.
+    An image of up to that size is one tile; small tiles are multiplied together, ``STEP_CELLS`` at a time. ``depthwise`` weights have no ``out_idx``: each channel is its own output.
     """
     n = [window_count(size[a], kernel[a], stride[a], dilation[a]) for a in (0, 1)]
     table = weights.select("kh", "kw", "c", *([F.col("c").alias("out_idx")] if depthwise else ["out_idx"]), "w").toArrow()
@@ -145,7 +147,7 @@ def _convolve(cells: DataFrame, weights: DataFrame, size, kernel, stride, dilati
         return acc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together = max(1, 2 * TILE_CELLS // (max(read[0] * read[1], high * wide) * deep))
+        together = max(1, STEP_CELLS // (max(read[0] * read[1], high * wide) * deep))
         for batch in batches:
             for start in range(0, batch.num_rows, together):
                 part = batch.slice(start, together)

@@ -111,3 +111,23 @@ def test_shapes_by_batch(spark):
     for column, value in (("kh", 9), ("sw", 0), ("dw", None)):
         with pytest.raises(Exception, match="no window fits"):
             spatial.im2col_by_batch(cells, shapes.withColumn(column, F.lit(value).cast("int"))).collect()
+
+
+def test_small_tiles_are_multiplied_in_steps(spark, monkeypatch):
+    """However many images an Arrow batch has, a step works on ``STEP_CELLS`` cells."""
+    cells = spark.range(3000 * 256).selectExpr("id DIV 256 AS row_id", "CAST(id % 256 DIV 32 AS INT) h", "CAST(id % 32 DIV 4 AS INT) w", "CAST(id % 4 AS INT) c", "id % 13 AS val")
+    w = spark.range(32).selectExpr("CAST(id DIV 16 AS INT) kh", "CAST(id DIV 8 % 2 AS INT) kw", "CAST(id DIV 2 % 4 AS INT) c", "CAST(id % 2 AS INT) out_idx", "id % 5 AS w")
+    whole, run, steps = type(cells).mapInArrow, [], []
+
+    def kept(df, step, schema):
+        run.append((df, step))
+        return whole(df, step, schema)
+
+    monkeypatch.setattr(type(cells), "mapInArrow", kept)
+    got = spatial.conv2d(cells, w, (8, 8), (2, 2)).agg(F.count("*"), F.sum("val")).first()
+    for df, step in run:
+        table = df.toArrow().combine_chunks()
+        steps += step(iter(table.to_batches()))
+    assert len(steps) > 1 and max(s.num_rows for s in steps) <= spatial.STEP_CELLS
+    assert tuple(got) == (sum(s.num_rows for s in steps), sum(int(s["val"].to_numpy().sum()) for s in steps))
+    assert got[0] == 3000 * 49 * 2
