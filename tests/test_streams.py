@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from bitloom.operators import integrity, spatial
+from bitloom.plans.catalog import streams
 from bitloom.streaming import jobs
 
 
@@ -108,3 +109,12 @@ def test_words_of_a_run_leave_at_their_own_times(spark, tmp_path):
     whole = {("a", 2): [big, None, 9], ("a", 3): [10, 11, 12], ("a", 4): [13, 14, 15], ("a", 5): [16, None, 18]}
     assert got == {k: (v, 3) for k, v in whole.items()} | {("a", 0): (None, 2), ("b", 0): (None, 2)}
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_words_in_order_are_worked_out_once(spark):
+    """The range, the parts and the last row read the saved words and not what they were made from."""
+    words = spark.range(100).selectExpr("'a' AS stream_id", "id AS seq", "id * 3 AS word")
+    parts = streams._in_order(words, "word")
+    assert all("/in-order-" in f for p in parts for f in p.inputFiles()) and all(p.inputFiles() for p in parts)
+    assert sorted(r.seq for p in parts[:-1] for r in p.collect()) == list(range(100))
+    assert [(r.seq, r.word) for r in parts[-1].collect()] == [(99, None)]
