@@ -118,3 +118,23 @@ def test_words_in_order_are_worked_out_once(spark):
     assert all("/in-order-" in f for p in parts for f in p.inputFiles()) and all(p.inputFiles() for p in parts)
     assert sorted(r.seq for p in parts[:-1] for r in p.collect()) == list(range(100))
     assert [(r.seq, r.word) for r in parts[-1].collect()] == [(99, None)]
+
+
+def test_frames_of_a_run_leave_at_their_own_times(spark, tmp_path):
+    """Three frames of a run are open: one leaves, one ends in time, one leaves later; they are one row of the state."""
+    parts = [
+        words_of(spark, [("a", 0, 1, 0), ("a", 4, 5, 20), ("a", 8, 9, 25)]),
+        words_of(spark, [("a", i, i, 30) for i in (5, 6)]),
+        words_of(spark, [("", 0, None, 70)]),
+        words_of(spark, [("a", 7, 8, 70)]),
+        words_of(spark, [("", 0, None, 10_000)]),
+    ]
+    source = str(tmp_path / "in")
+    parts[0].limit(0).write.parquet(source)
+    stream = spark.readStream.schema(parts[0].schema).parquet(source)
+    out, query = jobs.run_while_fed(jobs.checksum_stream(stream, 4, late="5 seconds", wait_ms=60_000), str(tmp_path / "out"), str(tmp_path / "state"), parts, source)
+    assert {(r.frame, r.checksum is not None, r.n_words) for r in out.collect()} == {(0, False, 1), (1, True, 4), (2, False, 1)}
+    whole = integrity.frame_checksum(parts[0].union(parts[1]).union(parts[3]), 4)
+    assert [r.checksum for r in whole.collect()] == [r.checksum for r in out.where("checksum is not null").collect()]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) == 1 and held[-1] == 0, held
