@@ -138,3 +138,16 @@ def test_frames_of_a_run_leave_at_their_own_times(spark, tmp_path):
     assert [r.checksum for r in whole.collect()] == [r.checksum for r in out.where("checksum is not null").collect()]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(held) == 1 and held[-1] == 0, held
+
+
+def test_a_stream_of_files_has_a_file_for_each_core(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id")
+    stream = streams.as_stream(spark, rows, "files")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(read) == streams.PARTS and sum(read) == 4000
+    assert all(abs(n - 4000 / streams.PARTS) <= 2 * cores for n in read)
+    source = spark.read.parquet(query.lastProgress["sources"][0]["description"].removeprefix("FileStreamSource[").removesuffix("]"))
+    assert len(source.inputFiles()) == streams.PARTS * cores
